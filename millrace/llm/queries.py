@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, simhash, substring
+from . import mixing, packing, simhash, substring, token_files
 from .common import table
 
 
@@ -20,13 +20,25 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op7_repair_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, count and checksum of each document's ids, from the written Re-Pair shards."""
+    found = token_files.read_shards(token_files.write_shards(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of each piece of each document in sequences of 4096 tokens."""
+    found = packing.pack(packing.pieces(table(spark, sf_dir, "documents")))
+    return found.withColumn("piece", F.col("piece").cast("int"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words kept of each document once 50-word passages of earlier documents are gone."""
     found = substring.dedup_substrings(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op3_source_mixing, op4_simhash_near_dedup, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op3_source_mixing, op4_simhash_near_dedup, op7_repair_token_ids, op9_best_fit_packing, op10_substring_dedup)}
 
 SQL = {
     "op3_source_mixing": r"""
