@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, simhash, substring, token_files
+from . import mixing, packing, quality, simhash, substring, token_files, topk
 from .common import table
 
 
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best rows by integer inner product for every vec_id divisible by 50."""
+    rows = table(spark, sf_dir, "embeddings").filter(topk.valid(F.col("embedding")))
+    return topk.top_k(rows.select("vec_id", topk.quantised(F.col("embedding")).alias("v")), F.col("vec_id") % 50 == 0)
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix by weights 1, 2, 3 takes of each document; targets by source."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -26,6 +32,12 @@ def op7_repair_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of each document, the limits of its language, and whether it stays."""
+    found = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "lang", "trusted", "chars", F.round("perplexity", 6).alias("perplexity"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "keep")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of each piece of each document in sequences of 4096 tokens."""
     found = packing.pack(packing.pieces(table(spark, sf_dir, "documents")))
@@ -38,9 +50,19 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op3_source_mixing, op4_simhash_near_dedup, op7_repair_token_ids, op9_best_fit_packing, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_exact_top_k, op3_source_mixing, op4_simhash_near_dedup, op7_repair_token_ids, op8_quality_classifier, op9_best_fit_packing, op10_substring_dedup)}
 
 SQL = {
+    "op1_exact_top_k": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+pairs AS (
+  SELECT q.vec_id AS query_id, d.vec_id, CAST(list_dot_product(q.v, d.v) AS BIGINT) AS score
+  FROM v q JOIN v d ON q.vec_id <> d.vec_id AND len(q.v) = len(d.v) WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM pairs)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 5""",
     "op3_source_mixing": r"""
 WITH rows AS (
   SELECT doc_id, source, text, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
