@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, simhash, substring, token_files, topk
+from . import extraction, media, mixing, packing, quality, simhash, substring, token_files, topk
 from .common import table
 
 
@@ -26,6 +26,16 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of each page by the recurrent block labeller."""
+    return extraction.extract(table(spark, sf_dir, "pages"))
+
+
+def op6_webp_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checksums and features of each document's text, stored as lossless WebP and read back."""
+    return media.read_media(media.with_media(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op7_repair_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place, count and checksum of each document's ids, from the written Re-Pair shards."""
     found = token_files.read_shards(token_files.write_shards(table(spark, sf_dir, "documents")))
@@ -50,7 +60,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_top_k, op3_source_mixing, op4_simhash_near_dedup, op7_repair_token_ids, op8_quality_classifier, op9_best_fit_packing, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_exact_top_k, op3_source_mixing, op4_simhash_near_dedup, op5_html_extraction, op6_webp_media, op7_repair_token_ids, op8_quality_classifier, op9_best_fit_packing, op10_substring_dedup)}
 
 SQL = {
     "op1_exact_top_k": """
@@ -84,7 +94,7 @@ targets AS (
   SELECT source, source_size, CASE WHEN l IS NULL THEN cap ELSE least(cap, weight * l) END AS target FROM steps, level),
 placed AS (
   SELECT r.doc_id, r.size, t.source_size, t.target, CAST(floor(t.target) AS BIGINT) AS budget,
-         CAST(sum(r.size) OVER (PARTITION BY r.source ORDER BY r.k, r.size, r.text ROWS UNBOUNDED PRECEDING) AS BIGINT) - r.size AS first_word
+         CAST(sum(r.size) OVER (PARTITION BY r.source ORDER BY r.k, r.size, md5(r.text) NULLS FIRST ROWS UNBOUNDED PRECEDING) AS BIGINT) - r.size AS first_word
   FROM rows r JOIN targets t ON r.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target,
        CAST(CASE WHEN source_size > 0 THEN budget // source_size * size
