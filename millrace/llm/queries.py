@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import extraction, media, mixing, packing, quality, simhash, substring, token_files, topk
+from . import extraction, lines, media, mixing, packing, quality, simhash, substring, token_files, topk
 from .common import table
 
 
@@ -15,6 +15,12 @@ def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows.select("vec_id", topk.quantised(F.col("embedding")).alias("v")), F.col("vec_id") % 50 == 0)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of each document, those dropped because their template recurs, and what is left."""
+    found = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix by weights 1, 2, 3 takes of each document; targets by source."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -60,7 +66,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_top_k, op3_source_mixing, op4_simhash_near_dedup, op5_html_extraction, op6_webp_media, op7_repair_token_ids, op8_quality_classifier, op9_best_fit_packing, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_line_dedup, op3_source_mixing, op4_simhash_near_dedup, op5_html_extraction, op6_webp_media, op7_repair_token_ids, op8_quality_classifier, op9_best_fit_packing, op10_substring_dedup)}
 
 SQL = {
     "op1_exact_top_k": """
@@ -73,6 +79,30 @@ pairs AS (
   FROM v q JOIN v d ON q.vec_id <> d.vec_id AND len(q.v) = len(d.v) WHERE q.vec_id % 50 = 0),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM pairs)
 SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 5""",
+    "op2_line_dedup": r"""
+WITH raw AS (
+  SELECT doc_id, coalesce(text, '') AS body, pos, string_split(text, chr(10))[pos] AS line
+  FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS u(pos)),
+tok AS (
+  SELECT *, list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tokens FROM raw),
+long_lines AS (SELECT *, tokens[1:3] AS head, len(tokens) AS n FROM tok WHERE len(tokens) >= 3),
+leaves AS (SELECT n, head FROM long_lines GROUP BY n, head HAVING count(*) >= 6),
+l AS (SELECT x.* FROM long_lines x JOIN leaves USING (n, head)),
+kinds AS (SELECT n, head, tokens, count(*) AS c FROM l GROUP BY ALL),
+places AS (SELECT n, head, tokens, c, p, tokens[p] AS token FROM kinds, unnest(range(1, n + 1)) AS u(p)),
+fixed AS (SELECT n, head, p, token FROM places WHERE token <> '<*>' GROUP BY n, head, p, token HAVING sum(c) >= 6),
+templates AS (
+  SELECT a.n, a.head, a.tokens, string_agg(CASE WHEN f.token IS NOT NULL THEN a.token ELSE '<*>' END, ' ' ORDER BY a.p) AS template
+  FROM places a LEFT JOIN fixed f ON a.n = f.n AND a.head = f.head AND a.p = f.p AND a.token = f.token
+  GROUP BY a.n, a.head, a.tokens HAVING avg(CASE WHEN f.token IS NOT NULL THEN 1.0 ELSE 0.0 END) >= 0.6),
+found AS (SELECT l.doc_id, l.body, l.pos, t.template FROM l JOIN templates t ON l.n = t.n AND l.head = t.head AND l.tokens = t.tokens),
+held AS (SELECT template, min(doc_id) AS keeper FROM found GROUP BY template HAVING count(DISTINCT body) >= 6),
+gone AS (SELECT DISTINCT f.doc_id, f.body, f.pos FROM found f JOIN held h ON f.template = h.template WHERE f.doc_id <> h.keeper),
+kept AS (
+  SELECT r.doc_id, r.body, count(*) FILTER (regexp_matches(r.line, '[^\x20\x09-\x0D]')) AS n_lines, count(g.pos) AS n_dropped,
+         coalesce(string_agg(r.line, chr(10) ORDER BY r.pos) FILTER (g.pos IS NULL), '') AS kept
+  FROM raw r LEFT JOIN gone g ON r.doc_id = g.doc_id AND r.body = g.body AND r.pos = g.pos GROUP BY r.doc_id, r.body)
+SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM kept""",
     "op3_source_mixing": r"""
 WITH rows AS (
   SELECT doc_id, source, text, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
