@@ -1,4 +1,11 @@
 """Every registered query of the library, and its SQL."""
 
+from __future__ import annotations
+
+from . import corpus, relational, search, tools
+
 QUERIES: dict = {}
 SQL: dict = {}
+for _module in (corpus, search, tools, relational):
+    QUERIES |= _module.book.queries
+    SQL |= _module.book.sql
