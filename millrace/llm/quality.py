@@ -1,13 +1,16 @@
 """Quality classifier: an interpolated modified Kneser-Ney character model.
 
 The model is of order ORDER over characters, one a language, trained on the
-text of all trusted documents (labelled good and not toxic).  Counts are kept
+trusted documents (labelled good and not toxic) but for one in HELD, drawn by
+hash, on which the limits are set: text that the model has seen scores better
+than equally good text that it has not.  Counts are kept
 as a table sharded by (language, gram); continuation counts, context totals
 and discounts are aggregates of it, and the probability of every gram that any
 document holds comes from joins of these tables, order by order.  A document's
 score is its mean negative log probability a character.  Documents whose score
-leaves the range between two quantiles of the trusted scores of their language,
-widened by a margin, are rejected.
+leaves the range between two quantiles of their language, widened by a margin,
+are rejected: the lower one of all trusted scores, the upper one of those held
+back.
 
 The finished table of gram probabilities goes to the tasks as a broadcast
 while it has at most BROADCAST rows; beyond that the documents' grams are
@@ -17,7 +20,8 @@ Grams are packed, 12 bits a character: code points over 4094 fold onto
 smaller ones.  White space runs count as one space.
 
 Edge cases: null and empty texts have no score and are rejected; a language
-without trusted text keeps its documents, with a null threshold; a null
+without trusted text, or with none held back, keeps its other documents, with
+a null threshold; a null
 language is one of its own; repeated rows are scored each; a doc_id with
 several labels is trusted if all of them say so.
 """
@@ -40,7 +44,9 @@ BROADCAST, TRUSTED = 2_000_000, 4_000_000
 #: Characters of average text that every score starts with, so that short texts don't stray.
 PRIOR = 60
 #: Quantiles of the trusted scores, their margin in nats, and the width of the bins that they are read from.
-LOW, HIGH, MARGIN, BIN = 0.002, 0.998, 0.15, 0.001
+LOW, HIGH, MARGIN, BIN = 0.002, 0.99, 0.2, 0.001
+#: One in so many trusted documents is held back from training.
+HELD = 5
 
 
 def codes(text: str) -> np.ndarray:
@@ -134,15 +140,30 @@ def train(docs: DataFrame) -> DataFrame:
     return stash(probabilities(wanted, known).select("lang", "g", F.log("p").cast("float").alias("logp")), "gram-logs")
 
 
+def _table(model: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """lang -> (grams, ascending; their logs).  The rows travel as bytes, 12 a gram, which the tasks have packed."""
+
+    def work(frames):
+        for frame in frames:
+            for lang, part in frame.groupby("lang", sort=False):
+                yield pd.DataFrame({"lang": [lang], "g": [part["g"].to_numpy(np.int64).tobytes()], "logp": [part["logp"].to_numpy(np.float32).tobytes()]})
+
+    held: dict = {}
+    for lang, g, logp in model.mapInPandas(work, "lang string, g binary, logp binary").toLocalIterator():
+        held.setdefault(lang, []).append((np.frombuffer(g, np.int64), np.frombuffer(logp, np.float32)))
+    table = {}
+    for lang, parts in held.items():
+        grams_, logs = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(grams_)
+        table[lang] = grams_[order], logs[order]
+    return table
+
+
 def scores(docs: DataFrame, model: DataFrame, broadcast_rows: int = BROADCAST) -> DataFrame:
     """docs with chars and nll, the summed negative log probability; null nll where the language has no model."""
     if model.count() > broadcast_rows:
         return _joined_scores(docs, model)
-    table = {}
-    whole = model.toPandas()
-    for lang, part in whole.groupby("lang"):
-        order = np.argsort(part["g"].to_numpy())
-        table[lang] = part["g"].to_numpy()[order], part["logp"].to_numpy()[order]
+    table = _table(model)
     shared = docs.sparkSession.sparkContext.broadcast(table)
     names = docs.columns
 
@@ -191,24 +212,25 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = HIGH, margin: float = MARGIN, prior: int = PRIOR) -> DataFrame:
     """docs with trusted, chars, perplexity, low, high (perplexities) and keep."""
     own = docs.columns
-    ids = checkpointed(trusted_ids(labels)).withColumn("trusted", F.lit(True))
+    ids = checkpointed(trusted_ids(labels)).select("doc_id", F.lit(True).alias("trusted"), (F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(HELD)) == 0).alias("held"))
     if ids.count() <= TRUSTED:
         ids = F.broadcast(ids)
-    rows = docs.join(ids, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
-    model = train(rows)
+    rows = docs.join(ids, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False))).withColumn("held", F.coalesce("held", F.lit(False)))
+    model = train(rows.withColumn("trusted", F.col("trusted") & ~F.col("held")))
     return judged(scores(rows, model), own, low, high, margin, prior)
 
 
 def judged(scored: DataFrame, own: list[str], low: float, high: float, margin: float, prior: int) -> DataFrame:
-    light = stash(scored.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "trusted", "chars", "nll", F.xxhash64("text").alias("_text")), "scores")
+    light = stash(scored.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "trusted", "held", "chars", "nll", F.xxhash64("text").alias("_text")), "scores")
     mean = light.filter("trusted").groupBy("lang").agg((F.sum("nll") / F.sum("chars")).alias("mean"))
     light = light.join(F.broadcast(mean), "lang", "left").withColumn("score", (F.col("nll") + prior * F.col("mean")) / (F.col("chars") + prior))
-    bins = light.filter("trusted and chars > 0").groupBy("lang", F.floor(F.col("score") / BIN).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    rising = W.partitionBy("lang").orderBy("bin")
-    share = bins.withColumn("upto", F.sum("n").over(rising) / F.sum("n").over(W.partitionBy("lang")))
+    score = F.floor(F.col("score") / BIN)
+    bins = light.filter("trusted and chars > 0").groupBy("lang", score.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.count_if("held").alias("n_held"))
+    rising, whole = W.partitionBy("lang").orderBy("bin"), W.partitionBy("lang")
+    share = bins.select("lang", "bin", *[F.try_divide(F.sum(n).over(rising), F.sum(n).over(whole)).alias(a) for n, a in (("n", "all_upto"), ("n_held", "held_upto"))])
     limits = share.groupBy("lang").agg(
-        (F.min(F.when(F.col("upto") >= low, F.col("bin"))) * BIN - margin).alias("least"),
-        ((F.min(F.when(F.col("upto") >= high, F.col("bin"))) + 1) * BIN + margin).alias("most"),
+        (F.min(F.when(F.col("all_upto") >= low, F.col("bin"))) * BIN - margin).alias("least"),
+        ((F.min(F.when(F.col("held_upto") >= high, F.col("bin"))) + 1) * BIN + margin).alias("most"),
     )
     light = light.join(F.broadcast(limits), "lang", "left")
     keep = (F.col("chars") > 0) & F.coalesce(F.col("score").between(F.col("least"), F.col("most")), F.lit(True))
