@@ -4,7 +4,7 @@ Documents become pieces of at most `room` tokens.  Pieces are dealt at random
 to groups of about GROUP rows; a group is packed best-fit decreasing, and then
 underfull bins exchange pieces: one moves, one goes for one, or two go for
 one, whenever the squared fill of the two bins rises, until the emptier bins
-are empty or nothing helps.  What lies in underfull bins of all groups is
+are empty or nothing helps.  What lies in the loose bins of all groups is
 packed once more together, so groups cost next to nothing.
 
 Edge cases: a null or empty text is its end id alone; repeated rows are packed
@@ -27,6 +27,8 @@ from .tokens import encoder
 ROOM = 4096
 END = 1
 GROUP = 16_384
+#: Bins with more than this part of their room left are packed once more, together.
+SLACK = 64
 
 
 def pieces(docs: DataFrame, name: str = "word_bpe_49k.json", end_id: int = END, room: int = ROOM) -> DataFrame:
@@ -79,7 +81,8 @@ def improve(bins: list[list[int]], lengths: list[int], room: int, rounds: int =
             break
         loose.sort(key=lambda b: sum(lengths[i] for i in b))
         moved = False
-        for at, low in enumerate(loose):
+        # as many of the emptiest bins as are over the bound give their pieces to the fuller ones
+        for at, low in enumerate(loose[: len(full) + len(loose) - least]):
             for high in reversed(loose[at + 1 :]):
                 if not low:
                     break
@@ -144,6 +147,7 @@ def pack(rows: DataFrame, room: int = ROOM, group: int = GROUP) -> DataFrame:
 
     once, groups = deal(rows, 0)
     once = stash(once, "packed")
-    again, _ = deal(once.filter(F.col("fill") < room), groups)
-    done = once.filter(F.col("fill") == room).unionByName(again)
+    loose = F.col("fill") < room - room // SLACK
+    again, _ = deal(once.filter(loose), groups)
+    done = once.filter(~loose).unionByName(again)
     return done.select(*names, "sequence_id", "offset")
