@@ -14,23 +14,28 @@ expansion lengths uint32 [rules], symbol counts uint32 [documents], symbols.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 
 MAGIC = 0x52503031
-ROUNDS, LEAST, NEW_RULES = 4, 24, 3500
+ROUNDS, LEAST, NEW_RULES = 3, 24, 5000
 BUCKETS = 1 << 20
 
 
-def _frequent(left: np.ndarray, right: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, counts) of the pairs that occur at least `least` times.
+def _frequent(left: np.ndarray, right: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The up to `most` pairs that occur most often, `least` times at least: (pairs, places of their occurrences, pair of each).
 
     A first count by hash buckets leaves out most rare pairs before the exact one.
     """
     mixed = (left * np.uint32(0x9E3779B1) ^ right * np.uint32(0x85EBCA77)) >> np.uint32(12)
-    heavy = np.bincount(mixed, minlength=BUCKETS)[mixed] >= least
-    key = left[heavy].astype(np.uint64) << np.uint64(32) | right[heavy]
-    keys, counts = np.unique(key, return_counts=True)
-    enough = counts >= least
-    return keys[enough], counts[enough]
+    heavy = np.flatnonzero((np.bincount(mixed, minlength=BUCKETS) >= least)[mixed])
+    code, pairs = pd.factorize(left[heavy].astype(np.int64) << 32 | right[heavy])
+    counts = np.bincount(code, minlength=len(pairs))
+    best = np.argsort(-counts, kind="stable")[:most]
+    best = best[counts[best] >= least]
+    rank = np.full(len(pairs), -1, np.int64)
+    rank[best] = np.arange(len(best))
+    rank = rank[code]
+    return pairs[best], heavy[rank >= 0], rank[rank >= 0]
 
 
 def compress(ids: np.ndarray, lengths: np.ndarray, first: int, rounds: int = ROUNDS, least: int = LEAST, new_rules: int = NEW_RULES) -> bytes:
@@ -44,15 +49,10 @@ def compress(ids: np.ndarray, lengths: np.ndarray, first: int, rounds: int = ROU
             break
         left, right = symbols[:-1], symbols[1:]
         inside = np.flatnonzero(~last[:-1])
-        keys, counts = _frequent(left[inside], right[inside], least)
-        if not len(keys):
+        best, place, rank = _frequent(left[inside], right[inside], least, new_rules)
+        if not len(best):
             break
-        best = np.sort(keys[np.argsort(counts, kind="stable")[::-1][:new_rules]])
-        key = left[inside].astype(np.uint64) << np.uint64(32) | right[inside]
-        rank = np.searchsorted(best, key)
-        rank[rank == len(best)] = 0
-        match = best[rank] == key
-        place, rank = inside[match], rank[match]
+        place = inside[place]
         # of matches in a row, that overlap, every second is taken
         starts = np.concatenate(([True], np.diff(place) != 1))
         run = np.maximum.accumulate(np.where(starts, np.arange(len(place)), 0))
@@ -63,7 +63,7 @@ def compress(ids: np.ndarray, lengths: np.ndarray, first: int, rounds: int = ROU
         keep = np.ones(len(symbols), bool)
         keep[place + 1] = False
         symbols, last = symbols[keep], last[keep]
-        rules = np.concatenate((rules, np.stack((best >> np.uint64(32), best & np.uint64(0xFFFFFFFF)), axis=1).astype(np.uint32)))
+        rules = np.concatenate((rules, np.stack((best >> 32, best & 0xFFFFFFFF), axis=1).astype(np.uint32)))
     sizes = _sizes(rules, first)
     counts = np.zeros(len(lengths), np.uint32)
     counts[lengths > 0] = np.diff(np.concatenate(([-1], np.flatnonzero(last))))

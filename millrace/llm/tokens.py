@@ -14,7 +14,9 @@ import functools
 import numpy as np
 
 #: Pieces that a worker remembers, and characters of the longest one.
-CACHE, LONGEST = 400_000, 48
+CACHE, LONGEST = 1_000_000, 48
+#: Marks that the tokenizers keep apart from a letter before them.
+MARKS = ".,"
 
 
 def tokenizer_path(name: str) -> str:
@@ -33,6 +35,7 @@ class Encoder:
         self.library = Tokenizer.from_file(tokenizer_path(name))
         self.keeps_space = keeps_space
         self.known: dict[str, bytes] = {}
+        self.marks = dict(zip(MARKS, self._whole(list(MARKS))))
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint32).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -63,18 +66,41 @@ class Encoder:
             return None
         return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [self.pieces(t) for t in texts]
-        if len(self.known) > CACHE:
-            self.known.clear()
-        new = [p for p in set().union(*(c for c in cut if c)) if p not in self.known]
-        fresh = {}
+    def _fresh(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of pieces that aren't known yet.
+
+        A full stop or comma after a letter is a token of its own, so such a
+        piece is its stem, known perhaps, and the mark.
+        """
+        stems = {p: p[:-1] for p in pieces if p[-1:] in MARKS and p[-2:-1].isalpha()}
+        new = [p for p in {stems.get(p, p) for p in pieces} if p not in self.known]
+        found: dict[str, bytes] = {}
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
-            fresh.update(zip(part, self._many(part)))
-        self.known.update((p, ids) for p, ids in fresh.items() if len(p) <= LONGEST)
-        get = (self.known | fresh).__getitem__ if any(len(p) > LONGEST for p in new) else self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, c)) if c is not None else self._whole([t])[0], np.uint32) for t, c in zip(texts, cut)]
+            found.update(zip(part, self._many(part)))
+        self.known.update((p, ids) for p, ids in found.items() if len(p) <= LONGEST)
+        ids = {stem: found[stem] if stem in found else self.known[stem] for stem in set(stems.values())}
+        found.update((p, ids[stem] + self.marks[p[-1]]) for p, stem in stems.items())
+        found.update((p, self.known[p]) for p in pieces if p not in found)
+        self.known.update((p, found[p]) for p in stems if len(p) <= LONGEST)
+        return found
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        cut = [self.pieces(t) for t in texts]
+        if len(self.known) > CACHE:  # what this batch uses stays
+            used = set().union(*(c for c in cut if c))
+            self.known = {p: ids for p, ids in self.known.items() if p in used}
+        get = self.known.get
+        found = [list(map(get, c)) if c is not None else None for c in cut]
+        fresh = self._fresh({p for c, ids in zip(cut, found) if c for p, x in zip(c, ids) if x is None})
+        out = []
+        for text, c, ids in zip(texts, cut, found):
+            if c is None:
+                ids = self._whole([text])
+            elif None in ids:
+                ids = [fresh[p] if x is None else x for p, x in zip(c, ids)]
+            out.append(np.frombuffer(b"".join(ids), np.uint32))
+        return out
 
 
 @functools.cache
