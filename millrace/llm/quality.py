@@ -40,7 +40,7 @@ from .common import blocks, checkpointed, stash
 ORDER, BITS = 5, 12
 ALPHABET = 1 << BITS
 #: Rows of the gram table, and trusted ids, up to which they are broadcast.
-BROADCAST, TRUSTED = 2_000_000, 4_000_000
+BROADCAST, TRUSTED = 6_000_000, 4_000_000
 #: Characters of average text that every score starts with, so that short texts don't stray.
 PRIOR = 60
 #: Quantiles of the trusted scores, their margin in nats, and the width of the bins that they are read from.
@@ -65,11 +65,9 @@ def grams(texts: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]
     packed = np.zeros(max(0, n), np.int64)
     for k in range(order):
         packed = packed << BITS | line[k : k + n]
-    ends = np.cumsum(sizes + order - 1)
-    keep = np.ones(len(packed), bool)
-    for k in range(order - 1):  # grams that end in the pad of the next text
-        keep[(ends[:-1] - order + 1 + 1 + k)[ends[:-1] - order + 1 + 1 + k < len(keep)]] = False
-    return packed[keep], sizes
+    # a text's grams end in its own characters, not in the pad of the next text
+    own = np.arange(int(sizes.sum())) + np.repeat(np.arange(len(sizes)) * (order - 1), sizes)
+    return packed[own], sizes
 
 
 def _counts(values: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
