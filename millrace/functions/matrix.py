@@ -108,7 +108,8 @@ def tool(work, **fields: str):
 
     @F.pandas_udf(schema)
     def run(*columns: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(_rows(work, *columns)).reindex(columns=schema.names)
+        rows = _rows(work, *columns)
+        return pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype=object) for n in schema.names})
 
     return run
 
