@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import matrix, numeric
+from ..functions import matrix, numeric, verification
 from ..functions import text as X
 from ..operators import evaluation, gates
 from .book import Book, table
@@ -143,3 +143,37 @@ def degenerate_arrays(spark, sf_dir):
     """Users whose values form an array too long to be an argument."""
     rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda x: x["value"]).alias("v"))
     return rows.select("user_id", gates.degenerate_array(c("v")).alias("degenerate"), F.size("v").alias("n"))
+
+
+def _records(spark):
+    """Records of six kinds over an index, every fourth with one value off, every fifth without one."""
+    i = c("id").cast("double")
+    m = lambda **values: F.map_from_arrays(F.array(*[F.lit(k) for k in values]), F.array(*[v.cast("double") for v in values.values()]))
+    f = lambda x: F.lit(float(x))
+    off = F.when(c("id") % 4 == 0, 0.5).otherwise(0.0)
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<array<double>>"))
+    kinds = {
+        "scalar_cbf_filter": m(x=i / 10, x_min=f(1), alpha=f(2), u_nom=-i, h=i / 10 - 1, u=F.greatest(-i, -2 * (i / 10 - 1)) + off),
+        "first_order_step": m(gain=i, tau=i / 7, final=i, at_tau=i * (1 - F.exp(f(-1))) + off, settling=-i / 7 * F.ln(f(0.02))),
+        "scalar_stationary_covariance": m(a=i / 100, q=f(3), p=3 / (1 - i * i / 10_000) + off),
+        "small_gain": m(g1=i / 20, g2=f(0.8), product=i / 20 * 0.8 + off, certified=(i / 20 * 0.8 < 1).cast("double")),
+        "crossover_margins": m(magnitude=i / 40, phase_deg=-i, gain_margin=40 / i, gain_margin_db=-20 * F.log10(i / 40), phase_margin=180 - i + off),
+        "zero_dynamics": m(a=i - 20, zero=20 - i + off, minimum_phase=(i > 20).cast("double")),
+    }
+    rows = None
+    for kind, s in kinds.items():
+        part = spark.range(1, 81).select("id", F.lit(kind).alias("kind"), F.when(c("id") % 5 == 0, F.map_filter(s, lambda k, v: k != s_names(kind)[0])).otherwise(s).alias("s"), none.alias("v"))
+        rows = part if rows is None else rows.unionAll(part)
+    return rows
+
+
+def s_names(kind: str) -> tuple[str, ...]:
+    """The value that the incomplete records of a kind lack."""
+    return {"scalar_cbf_filter": ("u",), "first_order_step": ("settling",), "scalar_stationary_covariance": ("p",), "small_gain": ("g1",), "crossover_margins": ("magnitude",), "zero_dynamics": ("zero",)}[kind]
+
+
+@book.query("""SELECT k AS kind, CAST(i AS BIGINT) AS id, CASE WHEN i % 5 = 0 THEN NULL ELSE i % 4 <> 0 END AS verified
+FROM range(1, 81) AS r(i), unnest(['scalar_cbf_filter', 'first_order_step', 'scalar_stationary_covariance', 'small_gain', 'crossover_margins', 'zero_dynamics']) AS u(k)""")
+def ground_truth_checks(spark, sf_dir):
+    """Recomputed ground truths: right, wrong, and incomplete ones."""
+    return _records(spark).select("kind", "id", verification.verified(c("kind"), c("s"), c("v")).alias("verified"))
