@@ -248,3 +248,20 @@ def test_streams(spark, tmp_path):
     events = spark.createDataFrame([(1, 1, "token", "a ", None), (1, 2, "tool_end", None, "t"), (1, 3, "token", "b", None), (2, 1, "token", "x", None), (2, 2, "error", "e", None), (2, 3, "done", "whole", None)], "request_id long, seq long, type string, content string, tool string")
     got = {r.request_id: (r.text, r.tools, r.errors, r.finished) for r in streams.fold_trace(events).collect()}
     assert got == {1: ("a b", ["t"], 0, False), 2: ("whole", [], 1, True)}
+
+
+def test_fuzzy_join(spark):
+    from millrace.operators import matching
+
+    targets = spark.createDataFrame([(1, "Feedback Systems: An Introduction", ["Karl Åström", "R. Murray"]), (2, "Unrelated", []), (3, "Robust Control Toolbox", ["A. Smith"])], "target_id long, title string, authors array<string>")
+    works = spark.createDataFrame([(10, "Feedback systems - an introduction", ["Murray"], 5), (11, "Feedback Systems an introduction", ["X"], 9), (12, "robust control toolboxes", ["Smith"], 1), (13, "robust control tools", ["B. Other"], 1)], "work_id long, title string, authors array<string>, cited int")
+    got = {r.target_id: (r.work_id, r.overlap) for r in matching.fuzzy_join(targets, works).collect()}
+    assert got == {1: (10, 1), 3: (12, 1)}
+
+
+def test_verification_needs_every_value(spark):
+    from millrace.functions import verification
+
+    rows = [("finite_discounted_return", {"gamma": 0.5, "value": 2.5}, {"rewards": [1.0, 2.0, 2.0], "terms": [1.0, 1.0, 0.5]}), ("residual_autocorrelation", {"lag": 1.0, "acf": 0.5}, {"residual": [1.0, 1.0, 0.0]}), ("finite_horizon_lqr", {"a": 1.0, "b": 1.0, "q": 1.0, "r": 1.0, "p_final": 1.0, "steps": 1.0, "p_initial": 1.5}, {"gains": [0.5]}), ("single_actuator_loss_isolation", {"measured": 4.0, "lost": 1.0}, {"b": [1.0, 2.0], "u": [4.0, 3.0]}), ("hinf_first_order", {"gain": -2.0}, {}), ("no_such_kind", {"x": 1.0}, {})]
+    df = spark.createDataFrame(rows, "kind string, s map<string,double>, v map<string,array<double>>")
+    assert [r.x for r in df.select(verification.verified(F.col("kind"), F.col("s"), F.col("v")).alias("x")).collect()] == [True, True, True, True, None, None]
