@@ -265,3 +265,21 @@ def test_verification_needs_every_value(spark):
     rows = [("finite_discounted_return", {"gamma": 0.5, "value": 2.5}, {"rewards": [1.0, 2.0, 2.0], "terms": [1.0, 1.0, 0.5]}), ("residual_autocorrelation", {"lag": 1.0, "acf": 0.5}, {"residual": [1.0, 1.0, 0.0]}), ("finite_horizon_lqr", {"a": 1.0, "b": 1.0, "q": 1.0, "r": 1.0, "p_final": 1.0, "steps": 1.0, "p_initial": 1.5}, {"gains": [0.5]}), ("single_actuator_loss_isolation", {"measured": 4.0, "lost": 1.0}, {"b": [1.0, 2.0], "u": [4.0, 3.0]}), ("hinf_first_order", {"gain": -2.0}, {}), ("no_such_kind", {"x": 1.0}, {})]
     df = spark.createDataFrame(rows, "kind string, s map<string,double>, v map<string,array<double>>")
     assert [r.x for r in df.select(verification.verified(F.col("kind"), F.col("s"), F.col("v")).alias("x")).collect()] == [True, True, True, True, None, None]
+
+
+def test_tool_calls_are_read_from_damaged_text(spark):
+    from millrace.functions import calls
+
+    cases = {
+        'go <tool_call>{"name": "zoh", "arguments": {"A": [[0,1],[2,3]]}}</tool_call> on': ("zoh", {"A": [[0, 1], [2, 3]]}),
+        '<tool_call>{"name": "x", "arguments": {"v": [1 2 3], "m": [1 0; 0 1],}}': ("x", {"v": [1, 2, 3], "m": [[1, 0], [0, 1]]}),
+        'text ```json\n{"name": "y", "arguments": {"e": "a\\sigma"}}\n``` end': ("y", {"e": "a\\sigma"}),
+        'so {"name": "z", "arguments": {"k": 1': ("z", {"k": 1}),
+    }
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(cases)] + [(9, None), (10, "no call")], "i int, t string")
+    got = {r.i: r.c for r in rows.select("i", calls.tool_calls("t").alias("c")).collect()}
+    for i, (name, arguments) in enumerate(cases.values()):
+        assert got[i].calls[0].name == name and json.loads(got[i].calls[0].arguments) == arguments
+    assert got[9].calls == [] and got[10].cleaned == "no call" and got[0].cleaned == "go  on"
+    df = spark.createDataFrame([('{"A": [[1, 3], [2, 4]], "x": [5, 6], "s": 1}', "use [1 2; 3 4] and [5, 6.0]"), ('{"x": [7, 7]}', "use [5 6]")], "a string, c string")
+    assert [r.x for r in df.select(calls.unfounded_arguments("a", "c").alias("x")).collect()] == [[], ["x"]]
