@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import word_count
 
 #: Documents in a range of keys, about.
-RANGE_ROWS = 50_000
+RANGE_ROWS = 5_000
 #: Hex digits of the key that a range may use.
 RANGE_DIGITS = 7
 
@@ -69,7 +69,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), epochs: int = 3
     than half of it lies before the cut, so that taken is a multiple of size.
     """
     own = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
-    rows = docs.select(*own, word_count(F.col("text")).alias("size"), mix_key(F.col("doc_id"), seed).alias("_key"))
+    rows = docs.select(*own, word_count(F.col("text")).alias("size"), mix_key(F.col("doc_id"), seed).alias("_key"), F.md5("text").alias("_tie"))
     targets = source_targets(rows.select("source", "size"), weights, epochs, share)
     # few rows against all documents: AQE broadcasts it while it is small and splits skewed sources otherwise
     rows = rows.withColumnRenamed("source", "_s").join(targets, F.col("_s").eqNullSafe(F.col("source"))).drop("_s")
@@ -83,7 +83,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), epochs: int = 3
         (F.sum("_words").over(W.partitionBy("source").orderBy("_range")) - F.col("_words")).alias("_start"),
     )
     rows = rows.join(starts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")))
-    within = W.partitionBy("source", "_range").orderBy("_key", "size", "text").rowsBetween(W.unboundedPreceding, 0)
+    within = W.partitionBy("source", "_range").orderBy("_key", "size", "_tie").rowsBetween(W.unboundedPreceding, 0)
     end = F.col("_start") + F.sum("size").over(within)
     rows = rows.withColumn("_first", end - F.col("size"))
     budget = F.floor(F.col("target"))

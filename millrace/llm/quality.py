@@ -39,6 +39,8 @@ from .common import blocks, checkpointed, stash
 
 ORDER, BITS = 5, 12
 ALPHABET = 1 << BITS
+#: Characters that a task works on at once.
+BLOCK = 1_000_000
 #: Rows of the gram table, and trusted ids, up to which they are broadcast.
 BROADCAST, TRUSTED = 6_000_000, 4_000_000
 #: Characters of average text that every score starts with, so that short texts don't stray.
@@ -80,11 +82,11 @@ def gram_counts(docs: DataFrame) -> DataFrame:
 
     def work(frames):
         held: dict = {}
-        for frame in blocks(frames, "text"):
+        for frame in blocks(frames, "text", BLOCK):
             for lang, part in frame.groupby(frame["lang"].fillna(""), sort=False):
                 found, sizes = grams(part["text"].fillna("").tolist())
                 held.setdefault(lang, []).append(_counts(found, np.repeat(part["trusted"].to_numpy(), sizes)))
-            if sum(len(g) for kept in held.values() for g, _ in kept) > 2_000_000:
+            if sum(len(g) for kept in held.values() for g, _ in kept) > 1_000_000:
                 yield from flush(held)
         yield from flush(held)
 
@@ -166,7 +168,7 @@ def scores(docs: DataFrame, model: DataFrame, broadcast_rows: int = BROADCAST) -
     names = docs.columns
 
     def work(frames):
-        for frame in blocks(frames, "text"):
+        for frame in blocks(frames, "text", BLOCK):
             chars, nll = np.zeros(len(frame), np.int64), np.full(len(frame), np.nan)
             frame = frame.reset_index(drop=True)
             for lang, part in frame.groupby(frame["lang"].fillna(""), sort=False):
@@ -187,7 +189,7 @@ def _joined_scores(docs: DataFrame, model: DataFrame) -> DataFrame:
     """As scores(), by a join of the documents' grams with the sharded table."""
 
     def work(frames):
-        for frame in blocks(frames, "text"):
+        for frame in blocks(frames, "text", BLOCK):
             for row, lang, text in zip(frame["_row"], frame["lang"].fillna(""), frame["text"].fillna("")):
                 found, sizes = grams([text])
                 g, n = _counts(found, np.ones(len(found)))

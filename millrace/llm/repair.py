@@ -73,15 +73,21 @@ def compress(ids: np.ndarray, lengths: np.ndarray, first: int, rounds: int = ROU
     return b"".join(x.tobytes() for x in (header, rules.astype(kind), sizes.astype("<u4"), counts.astype("<u4"), symbols.astype(kind)))
 
 
-def _sizes(rules: np.ndarray, first: int) -> np.ndarray:
-    sizes = np.ones(len(rules), np.int64)
+def _rounds(rules: np.ndarray, first: int):
+    """Runs [start, end) of rules that refer only to rules before start."""
     start = 0
-    while start < len(rules):  # a rule refers to earlier rounds only
+    while start < len(rules):
         refers = (rules[start:].max(axis=1) >= first + start).nonzero()[0]
         end = start + (int(refers[0]) if len(refers) else len(rules) - start)
+        yield start, end
+        start = end
+
+
+def _sizes(rules: np.ndarray, first: int) -> np.ndarray:
+    sizes = np.ones(len(rules), np.int64)
+    for start, end in _rounds(rules, first):
         part = rules[start:end].astype(np.int64) - first
         sizes[start:end] = sum(np.where(p >= 0, sizes[np.maximum(p, 0)], 1) for p in part.T)
-        start = end
     return sizes
 
 
@@ -103,16 +109,8 @@ class Shard:
         self.starts = np.concatenate(([0], np.cumsum(self.counts)))
         self.offsets = np.concatenate(([0], np.cumsum(self.sizes)))
         self.flat = np.empty(int(self.offsets[-1]), np.uint32)
-        for i, (a, b) in enumerate(rules.tolist()):
-            at = self.offsets[i]
-            for side in (a, b):
-                if side < self.first:
-                    self.flat[at] = side
-                    at += 1
-                else:
-                    x, y = self.offsets[side - self.first], self.offsets[side - self.first + 1]
-                    self.flat[at : at + y - x] = self.flat[x:y]
-                    at += y - x
+        for a, b in _rounds(rules, self.first):
+            self.flat[self.offsets[a] : self.offsets[b]] = self.expand(rules[a:b].ravel())[0]
 
     def expand(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ids of each symbol) of a run of symbols."""

@@ -35,6 +35,8 @@ WINDOW = 50
 ANCHOR = 16
 #: An odd base for each of the two rolling hashes, and its inverse mod 2**64.
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+#: Stands for a missing doc_id.
+LAST = (1 << 63) - 1
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -144,23 +146,24 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     also starts in a document with a smaller doc_id.  kept: the other words,
     joined by a space.
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "text")
     # 64 bits name a text: two of n different texts share a name with a chance of n^2 / 2^65
     named = docs.withColumn("body", F.xxhash64("text", F.length("text")))
     rows = stash(named.select("text", "body").mapInPandas(lambda f: _anchor_rows(f, window, anchor), "anchor long, body long, at int"), "anchors")
     shared = rows.groupBy("anchor").agg(F.min("body").alias("lo"), F.max("body").alias("hi")).filter("lo < hi").select("anchor")
+    shared = stash(shared, "shared")  # as a scan it leaves the join free to split a hot anchor
     seeds = rows.join(shared, "anchor").groupBy("body").agg(F.collect_list("at").alias("seeds"))
     firsts = named.groupBy("body").agg(F.min("doc_id").alias("first"))
     seeds = stash(firsts.join(seeds, "body", "left"), "seeds")
-    known = named.filter(F.col("doc_id").isNotNull())
-    leaders = seeds.filter("seeds is not null and first is not null").select(F.col("first").alias("doc_id"), "body", "seeds")
-    windows = known.join(leaders, ["doc_id", "body"]).mapInPandas(lambda f: _window_rows(f, window, anchor), "a long, b long, doc_id long, body long, at int")
+    leaders = seeds.filter("seeds is not null").select(F.col("first").alias("doc_id"), "body", "seeds")
+    windows = named.join(leaders, ["doc_id", "body"]).mapInPandas(lambda f: _window_rows(f, window, anchor), "a long, b long, doc_id long, body long, at int")
     windows = stash(windows, "windows")
     least = windows.groupBy("a", "b").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("a", "b", "lo")
+    least = stash(least, "least")
     gone = windows.join(least, ["a", "b"]).filter("doc_id > lo").groupBy("doc_id", "body").agg(F.collect_list("at").alias("starts"))
     # what is known of each row beside its text: whether it repeats an earlier row's whole text, else its matched windows
     status = docs_status(named, firsts).join(gone, ["doc_id", "body"], "left")
-    whole = known.join(status, ["doc_id", "body"], "left").select("doc_id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "starts")
+    whole = named.join(status, ["doc_id", "body"], "left").select("doc_id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "starts")
 
     def finish(frames):
         for frame in blocks(frames, "text"):
@@ -172,12 +175,13 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
             n, removed, kept = zip(*out)
             yield pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(), "n_words": np.array(n, np.int64), "n_removed": np.array(removed, np.int64), "kept": list(kept)})
 
-    return whole.mapInPandas(finish, "doc_id long, n_words long, n_removed long, kept string")
+    done = whole.mapInPandas(finish, "doc_id long, n_words long, n_removed long, kept string")
+    return done.withColumn("doc_id", F.nullif("doc_id", F.lit(LAST)))
 
 
 def docs_status(named: DataFrame, firsts: DataFrame) -> DataFrame:
     """(doc_id, body, whole): rows whose text an earlier document has, or windows were found in; distinct."""
-    rows = named.filter(F.col("doc_id").isNotNull()).select("doc_id", "body").distinct()
+    rows = named.select("doc_id", "body").distinct()
     return rows.join(firsts, "body").select("doc_id", "body", (F.col("doc_id") > F.col("first")).alias("whole"))
 
 

@@ -14,7 +14,7 @@ import functools
 import numpy as np
 
 #: Pieces that a worker remembers, and characters of the longest one.
-CACHE, LONGEST = 1_000_000, 48
+CACHE, LONGEST = 600_000, 48
 #: Marks that the tokenizers keep apart from a letter before them.
 MARKS = ".,"
 
