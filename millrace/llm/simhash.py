@@ -15,17 +15,24 @@ Edge cases: null and empty texts have no words and fingerprint zero; they
 link like any other.  Equal fingerprints are one node.  Repeated rows share
 their class.  An empty table gives an empty result.  A null doc_id gets a
 class only through rows with an id.
+
+near_copies() is the wider operator of the pipeline: word shingles as sets,
+256-bit fingerprints that propose pairs, and exact Jaccard similarity that
+decides.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, utf8
+from .common import checkpointed, stash, utf8
 from .components import components
 
 RADIUS = 2
@@ -35,6 +42,15 @@ BANDS = ((42, 22), (21, 21), (0, 21))
 BUCKET, FULL = 1024, 4096
 SEED = 42
 
+#: near_copies(): words a shingle, least Jaccard similarity, and differing bits of 256 that a candidate may have.
+#: At similarity 0.8 about 39 bits differ, give or take 6; unrelated texts differ in 128, give or take 8.
+COPY_SHINGLE, SIMILAR, WIDE = 5, 0.8, 80
+#: Smallest shingle hashes of a set that serve as its keys, rows that span each other at once, and ways to cut a fuller key into tiles.
+KEYS, TILE, CUTS = 12, 1024, 3
+#: Differing bits of 256 up to which texts are as good as surely similar, and further candidates of a row beyond them.
+SURE, SPARE = 20, 8
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+
 
 def shingle_hashes(text: bytes, size: int = 3, seed: int = SEED) -> np.ndarray:
     """XXH64 of the word shingles, repeats included; fewer words: of the whole sequence."""
@@ -180,5 +196,130 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = SEED) -> Data
     return marked.join(checkpointed(classes), "fp").select("doc_id", "fp", "component_id")
 
 
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """256-bit SimHash of distinct hashes as four signed words, from four mixes of each hash."""
+    counts = np.zeros(256, np.int64)
+    for at in range(0, len(hashes), 1 << 14):
+        h = hashes[at : at + (1 << 14), None] * _MIX
+        h = (h ^ (h >> np.uint64(32))) * _MIX[::-1]
+        h ^= h >> np.uint64(29)
+        counts += np.unpackbits(np.ascontiguousarray(h).view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(hashes)).view(np.int64)
+
+
+def _set_key(hashes: np.ndarray) -> str:
+    return hashlib.md5(hashes.tobytes()).hexdigest()
+
+
+def sketches(docs: DataFrame, shingle: int = COPY_SHINGLE, similar: float = SIMILAR) -> DataFrame:
+    """(doc_id, set_key, size, words, keys) of every row: a digest of its set of shingles, how many they are, the wide fingerprint and the keys.
+
+    Two sets of the least similarity share one of their n - ceil(similar n) + 1
+    smallest hashes.  Of those at most KEYS are taken; no one of KEYS is shared
+    with a chance of (1 - similar) ** KEYS, 4e-9.
+    """
+
+    def work(frames):
+        for frame in frames:
+            rows = []
+            for text in frame["text"]:
+                found = np.unique(shingle_hashes(utf8(text), shingle))
+                n = len(found)
+                most = min(KEYS, n - math.ceil(similar * n - 1e-9) + 1) if n else 0
+                rows.append((_set_key(found), n, wide_fingerprint(found), found[:most].view(np.int64)))
+            yield pd.DataFrame(rows, columns=["set_key", "size", "words", "keys"]).assign(doc_id=frame["doc_id"].to_numpy())[["doc_id", "set_key", "size", "words", "keys"]]
+
+    return docs.select("doc_id", "text").mapInPandas(work, "doc_id long, set_key string, size long, words array<long>, keys array<long>")
+
+
+def spanning(words: np.ndarray, sizes: np.ndarray, radius: int, similar: float) -> list[tuple[int, int]]:
+    """Edges of a minimum spanning forest, by differing bits, of rows within the radius whose sizes allow the similarity (Prim).
+
+    Such a forest connects whatever is connected at any smaller radius.  Its
+    edges of more than SURE bits may fail on the sets where another would
+    hold: rows also get their SPARE nearest outside their part of the forest
+    without those edges.
+    """
+    far = 1 << 20
+
+    def bits(i: int) -> np.ndarray:
+        found = np.bitwise_count(words ^ words[i]).sum(axis=1, dtype=np.int64)
+        fits = (found <= radius) & (np.minimum(sizes, sizes[i]) >= similar * np.maximum(sizes, sizes[i]) - 1e-9)
+        return np.where(fits, found, far)
+
+    n = len(words)
+    best, near, free, part = np.full(n, far), np.zeros(n, np.int64), np.ones(n, bool), np.arange(n)
+    edges, at = [], 0
+    for _ in range(n - 1):
+        free[at] = False
+        found = bits(at)
+        closer = free & (found < best)
+        best[closer], near[closer] = found[closer], at
+        at = int(np.argmin(np.where(free, best, far + 1)))
+        if best[at] < far:
+            edges.append((at, int(near[at])))
+            if best[at] <= SURE:
+                part[at] = part[near[at]]
+    if (part != part[0]).any():
+        for i in range(n):
+            found = np.where(part != part[i], bits(i), far)
+            first = np.argsort(found, kind="stable")[:SPARE]
+            edges += [(i, int(j)) for j in first[found[first] < far]]
+    return edges
+
+
+def _candidates(nodes: DataFrame, radius: int, similar: float) -> DataFrame:
+    """(u, v): for every key a spanning forest of the nodes that have it and spare pairs; a key of more than TILE nodes is cut into tiles, in one of CUTS ways."""
+
+    def span(frame: pd.DataFrame) -> pd.DataFrame:
+        edges = spanning(np.stack(frame["words"].to_list()).astype(np.int64).view(np.uint64), frame["size"].to_numpy(), radius, similar)
+        node = frame["node"].to_numpy()
+        return pd.DataFrame({"u": [node[a] for a, _ in edges], "v": [node[b] for _, b in edges]}, dtype="int64")
+
+    keyed = nodes.select("node", "size", "words", F.explode("keys").alias("key"))
+    sizes = checkpointed(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("a"), F.max("node").alias("b")).filter("n > 1"))
+    side = lambda name: nodes.select(F.col("node").alias(name), F.col("size").alias(f"size_{name}"), F.col("words").alias(f"words_{name}"))
+    bits = sum((F.bit_count(F.col("words_u")[i].bitwiseXOR(F.col("words_v")[i])) for i in range(1, 4)), F.bit_count(F.col("words_u")[0].bitwiseXOR(F.col("words_v")[0])))
+    twos = sizes.filter("n = 2 and a < b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct().join(side("u"), "u").join(side("v"), "v")
+    twos = twos.filter((bits <= radius) & (F.least("size_u", "size_v") >= similar * F.greatest("size_u", "size_v") - 1e-9)).select("u", "v")
+    full = keyed.join(sizes.filter("n > 2").select("key", "n"), "key")
+    tile = F.pmod(F.xxhash64("node", F.pmod("key", F.lit(CUTS))), F.ceil(F.col("n") / TILE))
+    spans = full.select(F.concat_ws(":", "key", tile).alias("part"), "node", "size", "words").groupBy("part").applyInPandas(span, "u long, v long")
+    return twos.unionAll(spans).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u < v").distinct()
+
+
+def near_copies(docs: DataFrame, shingle: int = COPY_SHINGLE, radius: int = WIDE, similar: float = SIMILAR) -> DataFrame:
+    """(doc_id, component_id) for every row of docs (doc_id not null, text): classes of documents linked by a Jaccard similarity of `similar` or more.
+
+    Equal sets are one node.  Candidates are spanning forests, so a group of
+    copies costs links in proportion to its size; each is confirmed on the sets.
+    """
+
+    def sets(frames):
+        for frame in frames:
+            found = [np.unique(shingle_hashes(utf8(t), shingle)) for t in frame["text"]]
+            yield pd.DataFrame({"node": frame["doc_id"], "set_key": [_set_key(f) for f in found], "hashes": [f.tobytes() for f in found]})
+
+    def confirm(frames):
+        for frame in frames:
+            good = []
+            for a, b in zip(frame["a"], frame["b"]):
+                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                good.append(both >= similar * (len(a) + len(b) - both) - 1e-9)
+            yield frame.loc[good, ["u", "v"]]
+
+    marked = stash(sketches(docs, shingle, similar), "sketches")
+    nodes = stash(marked.groupBy("set_key").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("size", "words", "keys")]), "sets")
+    pairs = checkpointed(_candidates(nodes, radius, similar))
+    needed = pairs.select(F.col("u").alias("doc_id")).unionAll(pairs.select("v")).distinct()
+    held = docs.select("doc_id", "text").join(needed, "doc_id").mapInPandas(sets, "node long, set_key string, hashes binary")
+    held = stash(held.dropDuplicates(["node", "set_key"]), "shingles")
+    side = lambda name, value: held.select(F.col("node").alias(name), F.col("hashes").alias(value))
+    found = components(pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b").mapInPandas(confirm, "u long, v long"))
+    classes = nodes.join(found, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
+    return marked.select("doc_id", "set_key").join(checkpointed(classes), "set_key").select("doc_id", "component_id")
+
+
 def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

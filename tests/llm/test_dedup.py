@@ -5,10 +5,11 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import corpus_pipeline
 from millrace.llm import lines, simhash, substring
 from millrace.llm.components import components
 
-from .helpers import awkward, empty, words
+from .helpers import SCHEMA, awkward, empty, words
 
 
 def brute_fingerprint(text):
@@ -173,3 +174,48 @@ def test_words_that_vary_are_fields(spark):
     rows = [(i, f"alarm raised for unit {k} at rack\n{words(7, i)}") for i, k in enumerate(kinds)]
     got = {r.doc_id: r for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[0].n_dropped == 0 and all(got[i].n_dropped == 1 for i in range(1, 7))
+
+
+def edited(text, places):
+    w = text.split()
+    for p in places:
+        w[p] = f"edit{p}"
+    return " ".join(w)
+
+
+def test_near_copies_match_exact_jaccard(spark):
+    """Lightly edited copies of 100 and 1000 words, with 5-word similarities from 0.7 to 0.98, against all pairs."""
+    texts = []
+    for n in range(30):
+        short, long = words(100, 1000 + n), words(1000, 2000 + n)
+        texts += [short, edited(short, [50]), edited(short, [20, 70]), edited(short, [10, 40, 70]), long]
+        texts += [edited(long, range(0, 1000, 1000 // k)) for k in (10, 20, 40)]
+    texts += ["", None, "one", "ONE", "two words", words(7, 5), words(7, 5) + " more"]
+    docs = spark.createDataFrame([(i, t, "en", "src0", 1, "x") for i, t in enumerate(texts)], SCHEMA).repartition(3)
+    grams = [set(simhash.shingle_hashes((t or "").encode(), 5).tolist()) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(grams):
+        for j, b in enumerate(grams[:i]):
+            if len(a & b) >= 0.8 * len(a | b):
+                p, q = find(i), find(j)
+                root[max(p, q)] = min(p, q)
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
+    assert got == {i: find(i) for i in range(len(texts))}
+    stage = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").select("doc_id").collect()}
+    assert stage == {find(i) for i in range(len(texts))}
+    assert simhash.near_copies(empty(spark)).count() == 0
+
+
+def test_full_keys_are_cut_into_tiles_without_losing_links(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TILE", 40)
+    base = words(150, 77)
+    texts = [edited(base, [n % 150]) for n in range(150)] + [words(60, 300 + n) for n in range(40)]
+    docs = spark.createDataFrame([(i, t, "en", "src0", 1, "x") for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
+    assert got == {i: 0 if i < 150 else i for i in range(190)}
