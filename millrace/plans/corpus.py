@@ -224,13 +224,30 @@ def near_dup_pairs(spark, sf_dir):
     return dedup.banded_pairs(_simhash(spark, sf_dir), "doc_id")
 
 
+def _members(docs, marked):
+    """(doc_id, class_id) of every document: the smallest document of its fingerprint, null for texts without words."""
+    classes = marked.groupBy("bits").agg(F.min("doc_id").alias("class_id"))
+    return docs.select("doc_id").join(marked.join(classes, "bits").select("doc_id", "class_id"), "doc_id", "left")
+
+
+@book.query(f"WITH {_SIMHASH} SELECT d.doc_id, c.doc_id AS class_id FROM documents d LEFT JOIN marked m ON m.doc_id = d.doc_id LEFT JOIN classes c ON c.bits = m.bits")
+def near_dup_members(spark, sf_dir):
+    """The class of every document, for the classes of near_dup_pairs and those without a neighbour."""
+    return _members(table(spark, sf_dir, "documents"), _simhash(spark, sf_dir))
+
+
 @book.query()
 def near_dup_kept(spark, sf_dir):
-    """Classes that the greedy pass in ascending order keeps."""
+    """Whether the greedy pass in ascending order keeps a document, for every document.
+
+    Of a class of equal fingerprints only the smallest document can stay;
+    texts without words are near nothing and stay.
+    """
     marked = _simhash(spark, sf_dir)
     classes = marked.groupBy("bits").agg(F.min("doc_id").alias("v"))
-    kept = dedup.greedy_kept(classes, dedup.banded_pairs(marked, "doc_id"))
-    return kept.select(F.col("v").alias("doc_id"), "kept")
+    kept = dedup.greedy_kept(classes, dedup.banded_pairs(marked, "doc_id")).select(F.col("v").alias("class_id"), "kept")
+    rows = _members(table(spark, sf_dir, "documents"), marked).join(kept, "class_id", "left")
+    return rows.select("doc_id", "class_id", F.coalesce(F.col("kept") & (F.col("doc_id") == F.col("class_id")), F.lit(True)).alias("kept"))
 
 
 @book.query()

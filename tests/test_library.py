@@ -283,3 +283,32 @@ def test_tool_calls_are_read_from_damaged_text(spark):
     assert got[9].calls == [] and got[10].cleaned == "no call" and got[0].cleaned == "go  on"
     df = spark.createDataFrame([('{"A": [[1, 3], [2, 4]], "x": [5, 6], "s": 1}', "use [1 2; 3 4] and [5, 6.0]"), ('{"x": [7, 7]}', "use [5 6]")], "a string, c string")
     assert [r.x for r in df.select(calls.unfounded_arguments("a", "c").alias("x")).collect()] == [[], ["x"]]
+
+
+def test_near_dup_queries_have_a_row_for_every_document(spark, tmp_path):
+    """Copies, the same words in other order, a neighbour within 3 bits by brute force, and texts without words."""
+    import hashlib
+
+    from millrace.plans import registry
+
+    texts = {0: "alpha beta gamma delta", 1: "delta gamma beta alpha", 2: "alpha beta gamma delta", 3: "", 4: None, 5: "?!", 6: "wholly other words here"}
+    texts |= {7 + n: " ".join(f"word{k}" for k in range(300) if k != n) for n in range(6)}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+
+    def bits(text):
+        votes = [0] * 64
+        for w in set((text or "").split()):
+            h = int(hashlib.md5(w.encode()).hexdigest()[:16], 16)
+            votes = [v + (1 if h >> (63 - b) & 1 else -1) for b, v in enumerate(votes)]
+        return int("".join("1" if v >= 0 else "0" for v in votes), 2)
+
+    fps = {i: bits(t) for i, t in texts.items() if i not in (3, 4, 5)}
+    first = {i: min(j for j in fps if fps[j] == fps[i]) for i in fps}
+    kept = []
+    for i in sorted(fps):
+        if all((fps[i] ^ fps[j]).bit_count() > 3 for j in kept):
+            kept.append(i)
+    members = {r.doc_id: r.class_id for r in registry.QUERIES["near_dup_members"](spark, str(tmp_path)).collect()}
+    assert members == {i: first.get(i) for i in texts}
+    got = {r.doc_id: (r.class_id, r.kept) for r in registry.QUERIES["near_dup_kept"](spark, str(tmp_path)).collect()}
+    assert got == {i: (first.get(i), i in kept or i not in fps) for i in texts}
