@@ -35,15 +35,17 @@ def pieces(docs: DataFrame, name: str = "word_bpe_49k.json", end_id: int = END,
     """(doc_id, piece, start, length, ids_crc32) of every piece of docs (doc_id, text)."""
 
     def work(frames):
-        encode = encoder(name, False).encode
+        encode = encoder(name, False).flat
         for frame in blocks(frames, "text"):
-            out = []
-            for doc, ids in zip(frame["doc_id"], encode(frame["text"].fillna("").tolist())):
-                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                doc = None if pd.isna(doc) else int(doc)
-                out += [(doc, i // room, i, len(part := ids[i : i + room]), zlib.crc32(part.tobytes())) for i in range(0, len(ids), room)]
-            doc, *rest = zip(*out)
-            yield pd.DataFrame({"doc_id": pd.array(doc, "Int64")} | {k: np.array(v, np.int64) for k, v in zip(("piece", "start", "length", "ids_crc32"), rest)})
+            ids, sizes = encode(frame["text"].fillna("").tolist())
+            data, sizes = memoryview(np.insert(ids, np.cumsum(sizes), end_id).astype("<u4").tobytes()), sizes + 1
+            cut = -(-sizes // room)  # pieces of each document
+            doc = np.repeat(np.arange(len(sizes)), cut)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(cut) - cut, cut)
+            length = np.minimum(room, sizes[doc] - piece * room)
+            place = 4 * ((np.cumsum(sizes) - sizes)[doc] + piece * room)
+            crc = [zlib.crc32(data[a:b]) for a, b in zip(place.tolist(), (place + 4 * length).tolist())]
+            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None)[doc], "piece": piece, "start": piece * room, "length": length, "ids_crc32": crc}).astype({"doc_id": "Int64"})
 
     return docs.select("doc_id", "text").mapInPandas(work, "doc_id long, piece long, start long, length long, ids_crc32 long")
 

@@ -1,10 +1,11 @@
 """Public tokenizers inside tasks, with a cache of words.
 
 The tokenizers split a text before they merge: no token crosses from one
-space-led word into the next.  So a text is cut at spaces and line ends, each
-distinct piece goes through the library once, and the ids of the whole text
-are those of its pieces in order.  Texts in which white space itself could
-form tokens (two or more in a row) go to the library whole.
+space-led word into the next.  So the texts of a batch are cut at spaces and
+line ends and dictionary-encoded as one column; each distinct piece goes
+through the library once, and the ids of the texts are gathered from those of
+their pieces.  Texts in which white space itself could form tokens (two or
+more in a row) go to the library whole.
 """
 
 from __future__ import annotations
@@ -12,10 +13,12 @@ from __future__ import annotations
 import functools
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Pieces that a worker remembers, and characters of the longest one.
-CACHE, LONGEST = 600_000, 48
-#: Marks that the tokenizers keep apart from a letter before them.
+CACHE, LONGEST = 700_000, 48
+#: Marks that the tokenizers keep apart from an ASCII letter before them.
 MARKS = ".,"
 
 
@@ -26,6 +29,36 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs [start, start + size) of flat, one after the other."""
+    ends = np.cumsum(sizes)
+    return flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
+class Words:
+    """Ids of pieces: a dictionary from piece to number, and ids and counts by number."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.flat, self.starts, self.sizes, self.hits = (np.empty(0, t) for t in (np.uint32, np.int64, np.int64, np.int32))
+
+    def add(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n = len(self.starts)
+        self.number.update(zip(pieces, range(n, n + len(pieces))))
+        self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(sizes) - sizes))
+        self.flat, self.sizes = np.concatenate((self.flat, ids)), np.concatenate((self.sizes, sizes))
+        self.hits = np.concatenate((self.hits, np.zeros(len(pieces), np.int32)))
+
+    def keep(self, which: np.ndarray) -> None:
+        """Forget all pieces but those of the mask."""
+        new = np.cumsum(which) - 1
+        self.number = {p: int(new[i]) for p, i in self.number.items() if which[i]}
+        kept = np.flatnonzero(which)
+        self.flat = gather(self.flat, self.starts[kept], self.sizes[kept])
+        self.sizes, self.hits = self.sizes[kept], self.hits[kept] // 2
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+
 class Encoder:
     """encode(texts) gives uint32 ids; add_special_tokens is False throughout."""
 
@@ -34,73 +67,95 @@ class Encoder:
 
         self.library = Tokenizer.from_file(tokenizer_path(name))
         self.keeps_space = keeps_space
-        self.known: dict[str, bytes] = {}
-        self.marks = dict(zip(MARKS, self._whole(list(MARKS))))
+        self.words = Words()
+        marks = {m: self.library.encode(m, add_special_tokens=False).ids for m in MARKS}
+        self.marks = {m: ids[0] for m, ids in marks.items() if len(ids) == 1}
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _many(self, pieces: list[str]) -> list[bytes]:
-        """As _whole, but as one text, in which a mark that the tokenizer keeps apart stands between the pieces.
+    def _many(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids of each piece), from one text in which a mark that the tokenizer keeps apart stands between the pieces.
 
         One call for thousands of words takes a fraction of the time of as many calls.
         """
         mark = "\n" if self.keeps_space else " \x01 "
         own = self.library.encode(mark, add_special_tokens=False).ids
-        plain = [p for p in pieces if mark.strip(" ") not in p]
-        ids = np.array(self.library.encode_batch_fast([mark.join(plain)], add_special_tokens=False)[0].ids, np.uint32)
+        ids = self._whole([mark.join(pieces)])[0]
         cuts = np.flatnonzero(ids == own[0]) if len(own) == 1 else ()
-        if len(cuts) != len(plain) - 1:  # the mark isn't kept apart
-            return self._whole(pieces)
-        ids, starts, ends = ids.tobytes(), [0, *((cuts + 1) * 4).tolist()], [*(cuts * 4).tolist(), 4 * len(ids)]
-        found = dict(zip(plain, (ids[a:b] for a, b in zip(starts, ends))))
-        rest = [p for p in pieces if p not in found]
-        found.update(zip(rest, self._whole(rest)))
-        return [found[p] for p in pieces]
-
-    def pieces(self, text: str) -> list[str] | None:
-        """Pieces of text that the tokenizer never joins, or None if that isn't sure."""
-        if not self.keeps_space:  # white space only separates
-            return text.replace("\n", " ").split(" ")
-        if "\0" in text or any(run in text for run in ("  ", "\n\n", " \n", "\n ")):
-            return None
-        return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+        if len(cuts) != len(pieces) - 1:  # the mark isn't kept apart
+            parts = self._whole(pieces)
+            return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+        return np.delete(ids, cuts), np.diff(np.concatenate(([-1], cuts, [len(ids)]))) - 1
 
-    def _fresh(self, pieces: set[str]) -> dict[str, bytes]:
-        """Ids of pieces that aren't known yet.
+    def _learn(self, pieces: list[str]) -> None:
+        """Add pieces that aren't known yet.
 
-        A full stop or comma after a letter is a token of its own, so such a
-        piece is its stem, known perhaps, and the mark.
+        A full stop or comma after an ASCII letter is a token of its own, so
+        such a piece is its stem, known perhaps, and the mark.
         """
-        stems = {p: p[:-1] for p in pieces if p[-1:] in MARKS and p[-2:-1].isalpha()}
-        new = [p for p in {stems.get(p, p) for p in pieces} if p not in self.known]
-        found: dict[str, bytes] = {}
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            found.update(zip(part, self._many(part)))
-        self.known.update((p, ids) for p, ids in found.items() if len(p) <= LONGEST)
-        ids = {stem: found[stem] if stem in found else self.known[stem] for stem in set(stems.values())}
-        found.update((p, ids[stem] + self.marks[p[-1]]) for p, stem in stems.items())
-        found.update((p, self.known[p]) for p in pieces if p not in found)
-        self.known.update((p, found[p]) for p in stems if len(p) <= LONGEST)
-        return found
+        known, mark = self.words.number, "\n" if self.keeps_space else "\x01"
+        stems = {p: p[:-1] for p in pieces if p[-1:] in self.marks and p[-2:-1].isalpha() and p[-2].isascii()}
+        new = [p for p in dict.fromkeys(stems.get(p, p) for p in pieces) if p not in known]
+        plain = [p for p in new if mark not in p]
+        for at in range(0, len(plain), 20_000):
+            part = plain[at : at + 20_000]
+            self.words.add(part, *self._many(part))
+        if rest := [p for p in new if mark in p]:
+            parts = self._whole(rest)
+            self.words.add(rest, np.concatenate(parts), np.array([len(x) for x in parts], np.int64))
+        if stems:
+            own = np.fromiter((known[s] for s in stems.values()), np.int64, len(stems))
+            sizes = self.words.sizes[own] + 1
+            ends = np.cumsum(sizes)
+            ids = np.empty(int(ends[-1]), np.uint32)
+            ids[ends - 1] = [self.marks[p[-1]] for p in stems]
+            inside = np.ones(len(ids), bool)
+            inside[ends - 1] = False
+            ids[inside] = gather(self.words.flat, self.words.starts[own], sizes - 1)
+            self.words.add(list(stems), ids, sizes)
+
+    def _cut(self, texts: pa.Array) -> pa.Array:
+        if not self.keeps_space:  # white space only separates
+            return pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        return pc.split_pattern(pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n"), "\0")
+
+    def safe(self, text: str) -> bool:
+        """Whether the tokenizer surely never joins the pieces of text."""
+        return not self.keeps_space or not ("\0" in text or any(run in text for run in ("  ", "\n\n", " \n", "\n ")))
+
+    def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, ids of each)."""
+        if not all(map(self.safe, texts)):
+            parts = [self.flat([t]) if self.safe(t) else ((ids := self._whole([t])[0]), np.array([len(ids)])) for t in texts]
+            return np.concatenate([p for p, _ in parts]), np.concatenate([n for _, n in parts]).astype(np.int64)
+        cut = self._cut(pa.array(texts, pa.large_string()))
+        coded = cut.values.dictionary_encode()
+        pieces, words = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), self.words
+        found = list(map(words.number.get, pieces))
+        if None in found:
+            self._learn([p for p, i in zip(pieces, found) if i is None])
+            found = [words.number[p] if i is None else i for p, i in zip(pieces, found)]
+        own = np.array(found, np.int64)
+        words.hits[own] += 1
+        of = own[coded.indices.to_numpy()]
+        sizes = words.sizes[of]
+        ids = gather(words.flat, words.starts[of], sizes)
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        counts = np.diff(ends[cut.offsets.to_numpy()])
+        if len(words.number) > CACHE:  # what several batches use stays
+            long = np.zeros(len(words.starts), bool)
+            long[[i for p, i in words.number.items() if len(p) > LONGEST]] = True
+            words.keep((words.hits > 1) & ~long)
+            if len(words.number) > CACHE // 2:
+                words.keep(words.hits >= np.median(words.hits))
+                if len(words.number) > CACHE * 3 // 4:
+                    self.words = Words()
+        return ids, counts
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [self.pieces(t) for t in texts]
-        if len(self.known) > CACHE:  # what this batch uses stays
-            used = set().union(*(c for c in cut if c))
-            self.known = {p: ids for p, ids in self.known.items() if p in used}
-        get = self.known.get
-        found = [list(map(get, c)) if c is not None else None for c in cut]
-        fresh = self._fresh({p for c, ids in zip(cut, found) if c for p, x in zip(c, ids) if x is None})
-        out = []
-        for text, c, ids in zip(texts, cut, found):
-            if c is None:
-                ids = self._whole([text])
-            elif None in ids:
-                ids = [fresh[p] if x is None else x for p, x in zip(c, ids)]
-            out.append(np.frombuffer(b"".join(ids), np.uint32))
-        return out
+        ids, counts = self.flat(texts)
+        return np.split(ids, np.cumsum(counts)[:-1]) if len(counts) else []
 
 
 @functools.cache
