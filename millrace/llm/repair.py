@@ -1,10 +1,10 @@
 """Re-Pair grammar compression of token ids.
 
-A shard holds the ids of consecutive documents.  Frequent neighbouring pairs
-become nonterminals, round after round; a pair never crosses documents.  The
-shard stores the rules, each rule's expansion length and each document's
-symbol count, so that any document, or any run of its ids, is decoded without
-the others.
+A shard holds the ids of consecutive documents.  Neighbouring pairs that occur
+often become nonterminals, round after round, until no pair occurs as often as
+a rule costs; a pair never crosses documents.  The shard stores the rules, each
+rule's expansion length and each document's symbol count, so that any document,
+or any run of its ids, is decoded without the others.
 
 Layout, little-endian: header of 7 uint32 (magic, first nonterminal, rules,
 documents, symbols, bytes a rule side, bytes a symbol), then rules [rules, 2],
@@ -17,53 +17,80 @@ import numpy as np
 import pandas as pd
 
 MAGIC = 0x52503031
-ROUNDS, LEAST, NEW_RULES = 3, 24, 5000
-BUCKETS = 1 << 20
+#: A rule takes the room of three symbols and each replacement saves one: from four occurrences on it pays.
+LEAST = 4
+#: Occurrences that a pair must have in the first passes, so that the most frequent pairs are replaced first.
+STEPS = (256, 32)
+BUCKETS = 1 << 21
 
 
-def _frequent(left: np.ndarray, right: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The up to `most` pairs that occur most often, `least` times at least: (pairs, places of their occurrences, pair of each).
+def _frequent(left: np.ndarray, right: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs that occur `least` times or more: (pairs, counts, places of their occurrences, pair of each).
 
     A first count by hash buckets leaves out most rare pairs before the exact one.
     """
-    mixed = (left * np.uint32(0x9E3779B1) ^ right * np.uint32(0x85EBCA77)) >> np.uint32(12)
+    mixed = (left * np.uint32(0x9E3779B1) ^ right * np.uint32(0x85EBCA77)) >> np.uint32(11)
     heavy = np.flatnonzero((np.bincount(mixed, minlength=BUCKETS) >= least)[mixed])
     code, pairs = pd.factorize(left[heavy].astype(np.int64) << 32 | right[heavy])
     counts = np.bincount(code, minlength=len(pairs))
-    best = np.argsort(-counts, kind="stable")[:most]
-    best = best[counts[best] >= least]
-    rank = np.full(len(pairs), -1, np.int64)
-    rank[best] = np.arange(len(best))
-    rank = rank[code]
-    return pairs[best], heavy[rank >= 0], rank[rank >= 0]
+    often = counts[code] >= least
+    return pairs, counts, heavy[often], code[often]
 
 
-def compress(ids: np.ndarray, lengths: np.ndarray, first: int, rounds: int = ROUNDS, least: int = LEAST, new_rules: int = NEW_RULES) -> bytes:
+def _chosen(place: np.ndarray, code: np.ndarray, counts: np.ndarray, least: int) -> np.ndarray:
+    """Which occurrences, in ascending places, to replace, so that none overlap and every pair chosen has `least`.
+
+    Of overlapping ones the more frequent pair goes first, equal ones in a
+    mixed order, so that long repeats shrink everywhere at once; in a run of
+    one pair every second is taken.  Where overlaps leave no pair enough, the
+    most frequent of those that have enough by themselves goes alone.
+    """
+    if not len(place):
+        return np.empty(0, bool)
+    touch, nth = np.diff(place) == 1, np.arange(len(place))
+    same = np.concatenate(([False], touch & (code[1:] == code[:-1])))
+    single = (nth - np.maximum.accumulate(np.where(same, 0, nth))) % 2 == 0
+    strength = counts[code].astype(np.int64) << 32 | (code.astype(np.int64) * 0x9E3779B1 & 0xFFFFFFFF)
+    take = single.copy()
+    take[1:] &= ~touch | (strength[1:] >= strength[:-1])
+    take[:-1] &= ~touch | (strength[:-1] >= strength[1:])
+    take &= (np.bincount(code[take], minlength=len(counts)) >= least)[code]
+    if not take.any():
+        alone = np.bincount(code[single], minlength=len(counts))
+        if alone.max() >= least:
+            take = single & (code == np.argmax(alone))
+    return take
+
+
+def compress(ids: np.ndarray, lengths: np.ndarray, first: int, least: int = LEAST, steps: tuple[int, ...] = STEPS) -> bytes:
     """A shard of the documents whose ids stand one after the other in `ids`; all are below `first`."""
     symbols = ids.astype(np.uint32)
     last = np.zeros(len(symbols), bool)
     last[np.cumsum(lengths)[lengths > 0] - 1] = True
     rules = np.empty((0, 2), np.uint32)
-    for _ in range(rounds):
-        if len(symbols) < 2:
-            break
-        left, right = symbols[:-1], symbols[1:]
-        inside = np.flatnonzero(~last[:-1])
-        best, place, rank = _frequent(left[inside], right[inside], least, new_rules)
-        if not len(best):
-            break
-        place = inside[place]
-        # of matches in a row, that overlap, every second is taken
-        starts = np.concatenate(([True], np.diff(place) != 1))
-        run = np.maximum.accumulate(np.where(starts, np.arange(len(place)), 0))
-        take = (np.arange(len(place)) - run) % 2 == 0
-        place, rank = place[take], rank[take]
-        symbols[place] = first + len(rules) + rank
-        last[place] = last[place + 1]
-        keep = np.ones(len(symbols), bool)
-        keep[place + 1] = False
-        symbols, last = symbols[keep], last[keep]
-        rules = np.concatenate((rules, np.stack((best >> 32, best & 0xFFFFFFFF), axis=1).astype(np.uint32)))
+    for often in (*(s for s in steps if s > least), least):
+        # a pair of two old symbols that isn't frequent never gets so: later rounds look around new symbols only
+        fresh = np.ones(len(symbols), bool)
+        while True:
+            open_ = np.flatnonzero(fresh[:-1] & ~last[:-1])
+            pairs, counts, place, code = _frequent(symbols[open_], symbols[open_ + 1], often)
+            place = open_[place]
+            take = _chosen(place, code, counts, least)
+            if not take.any():
+                break
+            used = np.bincount(code[take], minlength=len(pairs)) > 0
+            own = np.flatnonzero(used)
+            number = np.cumsum(used) - 1
+            at = place[take]
+            symbols[at] = first + len(rules) + number[code[take]]
+            last[at] = last[at + 1]
+            rules = np.concatenate((rules, np.stack((pairs[own] >> 32, pairs[own] & 0xFFFFFFFF), axis=1).astype(np.uint32)))
+            fresh = np.zeros(len(symbols), bool)
+            fresh[at] = fresh[np.maximum(at - 1, 0)] = fresh[np.maximum(at - 2, 0)] = True
+            fresh[place[~take]] = True
+            keep = np.ones(len(symbols), bool)
+            keep[at + 1] = False
+            symbols, last, fresh = symbols[keep], last[keep], fresh[keep]
     sizes = _sizes(rules, first)
     counts = np.zeros(len(lengths), np.uint32)
     counts[lengths > 0] = np.diff(np.concatenate(([-1], np.flatnonzero(last))))

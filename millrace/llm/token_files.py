@@ -8,7 +8,9 @@ the files.  Reading back decodes the shards; a document's place in the whole
 is a prefix sum over partitions, shards and documents.
 
 Edge cases: a null text is empty and gives the end id alone; null doc_ids come
-first; repeated rows each stand in the file; an empty table gives no shard.
+first; rows of one doc_id are ordered by their text's hash, and repeated rows
+each stand in the file; an empty table gives no shard; other columns than
+doc_id and text aren't read.
 """
 
 from __future__ import annotations
@@ -34,15 +36,16 @@ def write_shards(docs: DataFrame, name: str = "byte_bpe_50k.json", end_id: int =
     """
     session = docs.sparkSession
     parts = parts or max(int(session.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
-    ordered = docs.select("doc_id", "text").repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.md5("text")]
+    ordered = docs.select("doc_id", "text").repartitionByRange(parts, *order[:2]).sortWithinPartitions(*order)
 
     def work(frames):
-        encode, seq = encoder(name, True).encode, 0
+        encode, seq = encoder(name, True).flat, 0
         for frame in blocks(frames, "text"):
-            ids = [np.append(x, np.uint32(end_id)) for x in encode(frame["text"].fillna("").tolist())]
-            sizes = np.array([len(x) for x in ids], np.int32)
+            ids, sizes = encode(frame["text"].fillna("").tolist())
+            ids, sizes = np.insert(ids, np.cumsum(sizes), end_id), (sizes + 1).astype(np.int32)
             docs = [None if pd.isna(x) else int(x) for x in frame["doc_id"]]
-            yield pd.DataFrame({"part": [int(frame["part"].iloc[0])], "seq": [seq], "ids": [docs], "n_tokens": [sizes], "shard": [compress(np.concatenate(ids), sizes, first)]})
+            yield pd.DataFrame({"part": [int(frame["part"].iloc[0])], "seq": [seq], "ids": [docs], "n_tokens": [sizes], "shard": [compress(ids, sizes, first)]})
             seq += 1
 
     return stash(ordered.withColumn("part", F.spark_partition_id()).mapInPandas(work, SHARDS), "token-shards")
@@ -64,5 +67,3 @@ def read_shards(shards: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"doc_id": pd.array(docs, "Int64"), "start": start + np.cumsum(sizes) - sizes, "n_tokens": sizes, "ids": [x.astype("<u4").tobytes() for x in ids]})
 
     return shards.select("part", "seq", "ids", "shard").join(starts, ["part", "seq"]).mapInPandas(work, "doc_id long, start long, n_tokens long, ids binary")
-
-
