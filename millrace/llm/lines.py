@@ -14,7 +14,8 @@ Edge cases: lines of fewer than TOKENS tokens always stay; null texts stay
 null, empty ones empty; exact copies of a text count once, so copies alone
 don't make their lines recur; rows without doc_id count as holders but never
 keep a template; repeated rows lose the same lines; an empty table gives an
-empty result; extra columns are carried along.
+empty result; extra columns are carried along, whatever their names, but that
+dedup_lines() gives its own n_lines and n_dropped.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, stash
+from .common import WORD, nested, stash
 
 DEPTH, TOKENS, LEAST, SHARE = 3, 3, 6, 0.6
 #: Leaves up to which the set of them is broadcast: 16 MB of keys.
@@ -65,16 +66,25 @@ def recurring_lines(docs: DataFrame, tokens: int = TOKENS, least: int = LEAST, s
     return found.join(held, "template")
 
 
-def dedup_lines(docs: DataFrame, tokens: int = TOKENS, least: int = LEAST, share: float = SHARE) -> DataFrame:
-    """docs with text without its dropped lines, and n_lines and n_dropped, both of non-blank lines."""
-    own = docs.columns
+def _split(docs: DataFrame, tokens: int, least: int, share: float) -> DataFrame:
+    """(row, text, n_lines, n_dropped): every row of docs as a struct, its text without dropped lines, and counts of its non-blank lines."""
     gone = recurring_lines(docs, tokens, least, share).filter(~F.coalesce(F.col("doc_id") == F.col("keeper"), F.lit(False)))
-    gone = gone.groupBy(F.col("doc_id").alias("_id"), F.col("body").alias("_body")).agg(F.collect_set("at").alias("_gone"))
-    rows = docs.withColumn("_own", F.xxhash64("text", F.length("text")))
-    rows = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_body")), "left")
-    split = F.split("text", "\n")
-    kept = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(split, lambda line, i: ~F.array_contains("_gone", i)), "\n"))
-    n_lines = F.coalesce(F.regexp_count("text", F.lit(r"[^\n]*[^\x20\x09-\x0D\n][^\n]*")), F.lit(0)).cast("long")
-    n_gone = F.coalesce(F.size("_gone"), F.lit(0)).cast("long")
-    n_gone = F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(n_gone).cast("long")
-    return rows.select(*[kept.alias("text") if c == "text" else F.col(c) for c in own], n_lines.alias("n_lines"), n_gone.alias("n_dropped"))
+    gone = gone.groupBy(F.col("doc_id").alias("id"), F.col("body").alias("own")).agg(F.collect_set("at").alias("gone"))
+    rows = nested(docs).withColumn("body", F.xxhash64("row.text", F.length("row.text")))
+    rows = rows.join(gone, F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("body") == F.col("own")), "left")
+    text = F.col("row.text")
+    kept = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n"), lambda line, i: ~F.array_contains("gone", i)), "\n"))
+    n_lines = F.coalesce(F.regexp_count(text, F.lit(r"[^\n]*[^\x20\x09-\x0D\n][^\n]*")), F.lit(0)).cast("long")
+    n_gone = F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone")).cast("long")
+    return rows.select("row", kept.alias("text"), n_lines.alias("n_lines"), n_gone.alias("n_dropped"))
+
+
+def dedup_lines(docs: DataFrame, tokens: int = TOKENS, least: int = LEAST, share: float = SHARE) -> DataFrame:
+    """docs with text without its dropped lines, and n_lines and n_dropped, both of non-blank lines; columns of docs with these two names give way."""
+    own = [F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return _split(docs, tokens, least, share).select(*own, "n_lines", "n_dropped")
+
+
+def without_recurring_lines(docs: DataFrame, tokens: int = TOKENS, least: int = LEAST, share: float = SHARE) -> DataFrame:
+    """docs with all its own columns, text without its dropped lines."""
+    return _split(docs, tokens, least, share).select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])

@@ -10,7 +10,8 @@ spans more than one range, or the list of ranges of one source.
 
 Edge cases: a null text has size 0 and takes 0; a null source is a source of
 its own and comes last; an empty table gives an empty result; repeated rows
-each count; extra columns are carried along.
+each count; extra columns are carried along, whatever their names, but that
+mix() gives its own four.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import word_count
+from .common import nested, word_count
 
 #: Documents in a range of keys, about.
 RANGE_ROWS = 5_000
@@ -27,9 +28,9 @@ RANGE_ROWS = 5_000
 RANGE_DIGITS = 7
 
 
-def mix_key(id_col: Column, seed: int) -> Column:
-    """32 hex digits, uniform and the same in every run."""
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(id_col.cast("string"), F.lit("null"))))
+def mix_key(id_col: Column, text: Column, seed: int) -> Column:
+    """32 hex digits, uniform and the same in every run; equal for rows of equal id and text only."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(id_col.cast("string"), F.lit("null")), F.coalesce(F.md5(text), F.lit(""))))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), epochs: int = 3, share: float = 1.0) -> DataFrame:
@@ -60,46 +61,51 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), epo
     return by.select("source", "source_size", "n_docs", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), epochs: int = 3, share: float = 1.0, seed: int = 17, whole_documents: bool = False) -> DataFrame:
-    """docs with size, source_size, target and taken.
-
-    taken is the words that the mix takes of the row, repeats counted: each
-    source's sum is its target, rounded down.  The row that crosses the cut
-    gives the words before it; with whole_documents it counts whole if more
-    than half of it lies before the cut, so that taken is a multiple of size.
-    """
-    own = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
-    rows = docs.select(*own, word_count(F.col("text")).alias("size"), mix_key(F.col("doc_id"), seed).alias("_key"), F.md5("text").alias("_tie"))
-    targets = source_targets(rows.select("source", "size"), weights, epochs, share)
+def _mixed(docs: DataFrame, weights: tuple[float, ...], epochs: int, share: float, seed: int, whole_documents: bool) -> DataFrame:
+    """(row, size, source_size, target, taken): every row of docs as a struct, and what the mix takes of it."""
+    rows = nested(docs).select("row", F.col("row.source").alias("of"), word_count(F.col("row.text")).alias("size"), mix_key(F.col("row.doc_id"), F.col("row.text"), seed).alias("key"))
+    targets = source_targets(rows.select(F.col("of").alias("source"), "size"), weights, epochs, share)
     # few rows against all documents: AQE broadcasts it while it is small and splits skewed sources otherwise
-    rows = rows.withColumnRenamed("source", "_s").join(targets, F.col("_s").eqNullSafe(F.col("source"))).drop("_s")
+    rows = rows.join(targets, F.col("of").eqNullSafe(F.col("source"))).drop("of")
     ranges = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / RANGE_ROWS))
-    drawn = F.conv(F.substring("_key", 1, RANGE_DIGITS), 16, 10).cast("long")
-    rows = rows.withColumn("_range", F.floor(drawn * ranges / F.lit(16**RANGE_DIGITS)).cast("int"))
-    totals = rows.groupBy("source", "_range").agg(F.sum("size").alias("_words"))
+    drawn = F.conv(F.substring("key", 1, RANGE_DIGITS), 16, 10).cast("long")
+    rows = rows.withColumn("range", F.floor(drawn * ranges / F.lit(16**RANGE_DIGITS)).cast("int"))
+    totals = rows.groupBy("source", "range").agg(F.sum("size").alias("words"))
     starts = totals.select(
-        F.col("source").alias("_s"),
-        F.col("_range").alias("_r"),
-        (F.sum("_words").over(W.partitionBy("source").orderBy("_range")) - F.col("_words")).alias("_start"),
+        F.col("source").alias("s"),
+        F.col("range").alias("r"),
+        (F.sum("words").over(W.partitionBy("source").orderBy("range")) - F.col("words")).alias("start"),
     )
-    rows = rows.join(starts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")))
-    within = W.partitionBy("source", "_range").orderBy("_key", "size", "_tie").rowsBetween(W.unboundedPreceding, 0)
-    end = F.col("_start") + F.sum("size").over(within)
-    rows = rows.withColumn("_first", end - F.col("size"))
+    rows = rows.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
+    within = W.partitionBy("source", "range").orderBy("key").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("first", F.col("start") + F.sum("size").over(within) - F.col("size"))
     budget = F.floor(F.col("target"))
     passes = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0))
     rest = budget - passes * F.col("source_size")
-    part = F.least(F.col("size"), F.greatest(F.lit(0), rest - F.col("_first")))
+    part = F.least(F.col("size"), F.greatest(F.lit(0), rest - F.col("first")))
     if whole_documents:
         part = F.when(2 * part > F.col("size"), F.col("size")).otherwise(F.lit(0))
     taken = (passes * F.col("size") + part).cast("long")
-    return rows.select(*[F.col(c) for c in own], "size", "source_size", F.col("target").cast("double"), taken.alias("taken"))
+    return rows.select("row", "size", "source_size", F.col("target").cast("double"), taken.alias("taken"))
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), epochs: int = 3, share: float = 1.0, seed: int = 17, whole_documents: bool = False) -> DataFrame:
+    """docs with size, source_size, target and taken; columns of docs with these four names give way.
+
+    taken is the words that the mix takes of the row, repeats counted: each
+    source's sum is its target, rounded down.  The row that crosses the cut
+    gives the words before it; with whole_documents it counts whole if more
+    than half of it lies before the cut, so that taken is a multiple of size.
+    """
+    made = ("size", "source_size", "target", "taken")
+    return _mixed(docs, weights, epochs, share, seed, whole_documents).select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in made], *made)
 
 
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The rows of the mix: every document as often as the mix takes it whole."""
-    rows = mix(docs, whole_documents=True, **how)
-    times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int")
-    # a document without words takes no room and stays once
-    times = F.when(F.col("size") == 0, F.lit(1)).otherwise(times)
-    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), epochs: int = 3, share: float = 1.0, seed: int = 17) -> DataFrame:
+    """The rows of the mix, with all columns of docs as they are: every document as often as the mix takes it whole.
+
+    A document without words takes no room and stays once.
+    """
+    rows = _mixed(docs, weights, epochs, share, seed, True)
+    times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(F.lit(1)).cast("int")
+    return rows.select("row", F.explode(F.array_repeat(F.lit(1), times))).select("row.*")

@@ -2,47 +2,58 @@
 
 The model is of order ORDER over characters, one a language, trained on the
 trusted documents (labelled good and not toxic) but for one in HELD, drawn by
-hash, on which the limits are set: text that the model has seen scores better
-than equally good text that it has not.  Counts are kept
-as a table sharded by (language, gram); continuation counts, context totals
-and discounts are aggregates of it, and the probability of every gram that any
-document holds comes from joins of these tables, order by order.  A document's
-score is its mean negative log probability a character.  Documents whose score
-leaves the range between two quantiles of their language, widened by a margin,
-are rejected: the lower one of all trusted scores, the upper one of those held
-back.
-
-The finished table of gram probabilities goes to the tasks as a broadcast
-while it has at most BROADCAST rows; beyond that the documents' grams are
-joined with it.
-
-Grams are packed, 12 bits a character: code points over 4094 fold onto
-smaller ones.  White space runs count as one space.
+hash, on which the upper limit is set: text that the model has seen scores
+better than equally good text that it has not.
+
+1. Each task cuts its documents into blocks of one language and stores a block
+   as a row: the texts, compressed, and its distinct grams with their counts in
+   trusted text.
+2. The trusted counts are summed over all blocks by (language, gram).
+3. The counts, sharded by language and the character before the last, meet the
+   grams that the blocks ask for, sharded alike; the tasks estimate the shard's
+   probabilities and answer each block.  Shards that many blocks ask are
+   salted by block.
+4. The answers join the blocks, which are bucketed and so stay where they are,
+   and give each document's summed negative log probability.
+
+A document's score is its mean negative log probability a character.
+Documents whose score leaves the range between two quantiles of their
+language, widened by a margin, are rejected: the lower one of all trusted
+scores, the upper one of those held back.  Neither counts nor texts pass
+through the driver; what does is a few numbers a language and at most
+ALPHABET single characters a language.
 
 Edge cases: null and empty texts have no score and are rejected; a language
 without trusted text, or with none held back, keeps its other documents, with
-a null threshold; a null
-language is one of its own; repeated rows are scored each; a doc_id with
-several labels is trusted if all of them say so.
+a null threshold; a null language is one of its own, together with the empty
+one; repeated rows are scored each; a doc_id with several labels is trusted if
+all of them say so; a null doc_id is never trusted; an empty table gives an
+empty result; columns beside doc_id, text and lang are carried by
+kept_documents(), whatever their names.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import blocks, checkpointed, stash
+from .common import blocks as runs
+from .common import nested, shared_dir, stash, utf8
+from .kneser_ney import ALPHABET, BITS, ORDER, counts_of_counts, discounts, grams, levels, logs
+
+__all__ = ["ALPHABET", "BITS", "ORDER", "classify", "grams", "kept_documents"]
 
-ORDER, BITS = 5, 12
-ALPHABET = 1 << BITS
-#: Characters that a task works on at once.
-BLOCK = 1_000_000
-#: Rows of the gram table, and trusted ids, up to which they are broadcast.
-BROADCAST, TRUSTED = 6_000_000, 4_000_000
+#: Characters of a block, and those that a task works on at once.
+BLOCK, PART = 8_000_000, 1_000_000
+#: Grams that a group of requests may hold.
+ASKED = 8_000_000
 #: Characters of average text that every score starts with, so that short texts don't stray.
 PRIOR = 60
 #: Quantiles of the trusted scores, their margin in nats, and the width of the bins that they are read from.
@@ -50,179 +61,196 @@ LOW, HIGH, MARGIN, BIN = 0.002, 0.99, 0.2, 0.001
 #: One in so many trusted documents is held back from training.
 HELD = 5
 
+BLOCKS = "block long, lang string, ids array<long>, bodies array<long>, trusted binary, held binary, sizes binary, texts binary, grams binary, counts binary, n_grams long"
 
-def codes(text: str) -> np.ndarray:
-    """Character codes 1 to 4095 of text, white space runs as one space."""
-    points = np.frombuffer(" ".join(text.split()).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-    return np.where(points < ALPHABET - 1, points + 1, 1 + points % (ALPHABET - 1))
 
+def packed(values: np.ndarray, level: int = 3) -> bytes:
+    """An array of integers or floats as compressed byte planes."""
+    return zstandard.ZstdCompressor(level).compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes())
 
-def grams(texts: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """(gram of each character of all texts, number of characters of each text)."""
-    parts = [codes(t) for t in texts]
-    sizes = np.array([len(p) for p in parts], np.int64)
-    pad = np.zeros(order - 1, np.int64)
-    line = np.concatenate([x for p in parts for x in (pad, p)] or [pad])
-    n = len(line) - order + 1
-    packed = np.zeros(max(0, n), np.int64)
-    for k in range(order):
-        packed = packed << BITS | line[k : k + n]
-    # a text's grams end in its own characters, not in the pad of the next text
-    own = np.arange(int(sizes.sum())) + np.repeat(np.arange(len(sizes)) * (order - 1), sizes)
-    return packed[own], sizes
 
+def unpacked(data: bytes, kind) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
 
-def _counts(values: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    code, found = pd.factorize(values)
-    return found, np.bincount(code, weights, len(found)).astype(np.int64)
 
+def before_last(g: np.ndarray) -> np.ndarray:
+    """The shard of each gram: its last character but one."""
+    return g >> BITS & (ALPHABET - 1)
 
-def gram_counts(docs: DataFrame) -> DataFrame:
-    """(lang, g, n) of every gram of docs (lang, text, trusted); n counts trusted text only, and may be 0."""
 
-    def work(frames):
-        held: dict = {}
-        for frame in blocks(frames, "text", BLOCK):
-            for lang, part in frame.groupby(frame["lang"].fillna(""), sort=False):
-                found, sizes = grams(part["text"].fillna("").tolist())
-                held.setdefault(lang, []).append(_counts(found, np.repeat(part["trusted"].to_numpy(), sizes)))
-            if sum(len(g) for kept in held.values() for g, _ in kept) > 1_000_000:
-                yield from flush(held)
-        yield from flush(held)
-
-    def flush(held):
-        for lang, kept in held.items():
-            g, n = _counts(np.concatenate([x[0] for x in kept]), np.concatenate([x[1] for x in kept]))
-            yield pd.DataFrame({"lang": lang, "g": g, "n": n})
-        held.clear()
-
-    rows = docs.select("lang", "text", F.col("trusted").cast("long").alias("trusted")).mapInPandas(work, "lang string, g long, n long")
-    return rows.groupBy("lang", "g").agg(F.sum("n").alias("n"))
-
-
-def _discounts(counts: DataFrame) -> DataFrame:
-    """(lang, d1, d2, d3): the three discounts of modified Kneser-Ney, from counts of counts."""
-    n = [F.sum(F.when(F.col("n") == k, 1).otherwise(0)).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)]
-    of = counts.groupBy("lang").agg(*n).withColumn("y", F.coalesce(F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2")), F.lit(0.5)))
-
-    def d(k: int) -> Column:
-        value = F.lit(float(k)) - (k + 1) * F.col("y") * F.try_divide(F.col(f"n{k + 1}"), F.col(f"n{k}"))
-        return F.least(F.greatest(F.coalesce(value, F.lit(k / 2)), F.lit(0.1)), F.lit(float(k))).alias(f"d{k}")
-
-    return of.select("lang", d(1), d(2), d(3))
-
-
-def probabilities(wanted: DataFrame, counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """(lang, g, p) for every gram of `wanted` (lang, g) under counts (lang, g, n > 0)."""
-    suffix = F.lit((1 << BITS * (order - 1)) - 1)
-    contexts = counts.join(F.broadcast(_discounts(counts)), "lang")  # a row a language
-    discount = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-    contexts = contexts.withColumn("d", discount)
-    seen = contexts.select("lang", "g", (F.col("n") - F.col("d")).alias("mass"))
-    totals = contexts.groupBy("lang", F.shiftright("g", BITS).alias("ctx")).agg(F.sum("n").alias("total"), F.sum("d").alias("free"))
-    if order == 1:
-        rest = wanted.withColumn("lower", F.lit(1.0 / ALPHABET))
-    else:
-        shorter = counts.groupBy("lang", F.col("g").bitwiseAND(suffix).alias("g")).agg(F.count(F.lit(1)).alias("n"))
-        shorter = checkpointed(shorter)
-        lower = probabilities(wanted.select("lang", F.col("g").bitwiseAND(suffix).alias("g")).distinct(), shorter, order - 1)
-        rest = wanted.withColumn("tail", F.col("g").bitwiseAND(suffix)).join(lower.select("lang", F.col("g").alias("tail"), F.col("p").alias("lower")), ["lang", "tail"]).drop("tail")
-    rest = rest.join(seen, ["lang", "g"], "left").withColumn("ctx", F.shiftright("g", BITS)).join(totals, ["lang", "ctx"], "left")
-    p = F.coalesce(F.col("mass") / F.col("total"), F.lit(0.0)) + F.coalesce(F.col("free") / F.col("total"), F.lit(1.0)) * F.col("lower")
-    return rest.select("lang", "g", p.alias("p"))
-
-
-def train(docs: DataFrame) -> DataFrame:
-    """(lang, g, logp) of every gram of docs (lang, text, trusted), for languages with trusted text."""
-    counts = stash(gram_counts(docs), "gram-counts")
-    known = counts.filter("n > 0")
-    wanted = counts.select("lang", "g").join(F.broadcast(known.select("lang").distinct()), "lang", "left_semi")
-    return stash(probabilities(wanted, known).select("lang", "g", F.log("p").cast("float").alias("logp")), "gram-logs")
-
-
-def _table(model: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """lang -> (grams, ascending; their logs).  The rows travel as bytes, 12 a gram, which the tasks have packed."""
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams of (grams, weights) parts, ordered by shard, and their summed weights."""
+    code, found = pd.factorize(np.concatenate([g for g, _ in parts]))
+    n = np.bincount(code, np.concatenate([n for _, n in parts]), len(found)).astype(np.int64)
+    order = np.lexsort((found, before_last(found)))
+    return found[order], n[order]
+
+
+def _blocks(docs: DataFrame) -> DataFrame:
+    """The blocks of docs (doc_id, body, lang, text, trusted, held), written bucketed by block."""
+
+    def row(lang: str, held: list[pd.DataFrame], number: int) -> pd.DataFrame:
+        frame = pd.concat(held, ignore_index=True)
+        parts = []
+        for part in runs([frame], "text", PART):
+            found, sizes = grams(part["text"].tolist())
+            parts.append(_summed([(found, np.repeat((part["trusted"] & ~part["held"]).to_numpy(np.int64), sizes))]))
+        g, n = _summed(parts)
+        texts = [utf8(t) for t in frame["text"]]
+        ids = [None if pd.isna(x) else int(x) for x in frame["doc_id"]]
+        return pd.DataFrame({
+            "block": [TaskContext.get().partitionId() << 32 | number], "lang": [lang], "ids": [ids], "bodies": [frame["body"].to_numpy(np.int64)],
+            "trusted": [frame["trusted"].to_numpy(bool).tobytes()], "held": [frame["held"].to_numpy(bool).tobytes()], "sizes": [packed(np.array([len(t) for t in texts], np.int64))],
+            "texts": [zstandard.ZstdCompressor(9).compress(b"".join(texts))], "grams": [packed(g)], "counts": [packed(n)], "n_grams": [len(g)],
+        })
 
     def work(frames):
-        for frame in frames:
+        held: dict[str, list[pd.DataFrame]] = {}
+        chars: dict[str, int] = {}
+        number = 0
+        for frame in runs(frames, "text", PART):
+            frame = frame.assign(text=frame["text"].fillna(""))
             for lang, part in frame.groupby("lang", sort=False):
-                yield pd.DataFrame({"lang": [lang], "g": [part["g"].to_numpy(np.int64).tobytes()], "logp": [part["logp"].to_numpy(np.float32).tobytes()]})
-
-    held: dict = {}
-    for lang, g, logp in model.mapInPandas(work, "lang string, g binary, logp binary").toLocalIterator():
-        held.setdefault(lang, []).append((np.frombuffer(g, np.int64), np.frombuffer(logp, np.float32)))
-    table = {}
-    for lang, parts in held.items():
-        grams_, logs = (np.concatenate(x) for x in zip(*parts))
-        order = np.argsort(grams_)
-        table[lang] = grams_[order], logs[order]
-    return table
-
-
-def scores(docs: DataFrame, model: DataFrame, broadcast_rows: int = BROADCAST) -> DataFrame:
-    """docs with chars and nll, the summed negative log probability; null nll where the language has no model."""
-    if model.count() > broadcast_rows:
-        return _joined_scores(docs, model)
-    table = _table(model)
-    shared = docs.sparkSession.sparkContext.broadcast(table)
-    names = docs.columns
+                held.setdefault(lang, []).append(part)
+                chars[lang] = chars.get(lang, 0) + int(part["text"].str.len().sum())
+                if chars[lang] >= BLOCK:
+                    yield row(lang, held.pop(lang), number)
+                    number += 1
+                    del chars[lang]
+        for lang, parts in held.items():
+            yield row(lang, parts, number)
+            number += 1
 
-    def work(frames):
-        for frame in blocks(frames, "text", BLOCK):
-            chars, nll = np.zeros(len(frame), np.int64), np.full(len(frame), np.nan)
-            frame = frame.reset_index(drop=True)
-            for lang, part in frame.groupby(frame["lang"].fillna(""), sort=False):
-                found, sizes = grams(part["text"].fillna("").tolist())
-                chars[part.index] = sizes
-                if lang in shared.value:
-                    known, logs = shared.value[lang]
-                    code, values = pd.factorize(found)
-                    total = np.concatenate(([0.0], np.cumsum(-logs[np.searchsorted(known, values)].astype(np.float64)[code])))
-                    ends = np.cumsum(sizes)
-                    nll[part.index] = total[ends] - total[ends - sizes]
-            yield frame[names].assign(chars=chars, nll=[None if np.isnan(x) else x for x in nll])
-
-    return docs.mapInPandas(work, T.StructType([*docs.schema.fields, T.StructField("chars", T.LongType()), T.StructField("nll", T.DoubleType())]))
-
-
-def _joined_scores(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """As scores(), by a join of the documents' grams with the sharded table."""
+    session, name = docs.sparkSession, f"quality_blocks_{uuid.uuid4().hex}"
+    parts = int(session.conf.get("spark.sql.shuffle.partitions"))
+    docs.mapInPandas(work, BLOCKS).write.bucketBy(parts, "block").option("path", f"{shared_dir(session)}/{name}").saveAsTable(name)
+    return session.table(name)
+
+
+def _trusted_counts(blocks: DataFrame) -> DataFrame:
+    """(lang, g, n) of every gram of trusted text."""
 
     def work(frames):
-        for frame in blocks(frames, "text", BLOCK):
-            for row, lang, text in zip(frame["_row"], frame["lang"].fillna(""), frame["text"].fillna("")):
-                found, sizes = grams([text])
-                g, n = _counts(found, np.ones(len(found)))
-                yield pd.DataFrame({"_row": row, "lang": lang, "g": np.append(g, -1), "n": np.append(n, sizes[0])})
-
-    marked = docs.withColumn("_row", F.xxhash64("doc_id", "text", "lang"))
-    lines = marked.select("_row", "lang", "text").mapInPandas(work, "_row long, lang string, g long, n long").distinct()
-    langs = F.broadcast(model.select(F.col("lang").alias("lang"), F.lit(True).alias("known")).distinct())
-    sums = lines.join(model, ["lang", "g"], "left").join(langs, "lang", "left").groupBy("_row").agg(
-        F.max(F.when(F.col("g") == -1, F.col("n"))).alias("chars"),
-        F.when(F.max("known"), F.sum(F.when(F.col("g") >= 0, -F.col("logp").cast("double") * F.col("n")).otherwise(0.0))).alias("nll"),
-    )
-    return marked.join(sums, "_row").select(*docs.columns, "chars", "nll")
+        for frame in frames:
+            for lang, g, n in zip(frame["lang"], frame["grams"], frame["counts"]):
+                g, n = unpacked(g, np.int64), unpacked(n, np.int64)
+                yield pd.DataFrame({"lang": lang, "g": g[n > 0], "n": n[n > 0]})
+
+    return blocks.select("lang", "grams", "counts").mapInPandas(work, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n"))
+
+
+def _statistics(known: DataFrame) -> tuple[dict, dict]:
+    """(single characters and their counts by language, discounts by language and order): sums over the shards of known."""
+
+    def work(key, frame):
+        out = []
+        for k, (g, n) in levels(frame["g"].to_numpy(), frame["n"].to_numpy(), 2).items():
+            out.append(pd.DataFrame({"k": k, "g": [1, 2, 3, 4], "n": counts_of_counts(n)}))
+            if k == 2:  # a character's count is the number of characters before it
+                out.append(pd.DataFrame({"k": 1, "g": g & (ALPHABET - 1), "n": 1}))
+        return pd.concat(out, ignore_index=True).assign(lang=key[0])[["lang", "k", "g", "n"]]
+
+    found = known.groupBy("lang", "d").applyInPandas(work, "lang string, k int, g long, n long").groupBy("lang", "k", "g").agg(F.sum("n").alias("n"))
+    singles: dict = {}
+    cuts: dict = {}
+    for (lang, k), part in found.toPandas().groupby(["lang", "k"]):
+        part = part.sort_values("g")
+        if k == 1:
+            singles[lang] = part["g"].to_numpy(np.int64), part["n"].to_numpy(np.int64)
+            cuts.setdefault(lang, {})[1] = discounts(counts_of_counts(singles[lang][1]))
+        else:
+            cuts.setdefault(lang, {})[int(k)] = discounts(part["n"].to_numpy())
+    return singles, cuts
+
+
+def answers(blocks: DataFrame, known: DataFrame, asked: int = ASKED) -> DataFrame:
+    """(block, d, logs): for every block and shard the log probabilities of the block's grams of the shard, in their order, under known (lang, d, g, n)."""
+
+    def requests(frames):
+        for frame in frames:
+            for block, lang, g in zip(frame["block"], frame["lang"], frame["grams"]):
+                g = unpacked(g, np.int64)
+                shard = before_last(g)
+                cuts = np.flatnonzero(np.diff(shard, prepend=-1))
+                yield pd.DataFrame({"block": block, "lang": lang, "d": shard[cuts], "m": np.diff(cuts, append=len(g)), "grams": [packed(x, 1) for x in np.split(g, cuts[1:])] if len(g) else []})
+
+    def answer(key, left, right):
+        lang = key[0]
+        if not len(left):
+            return pd.DataFrame({"block": [], "d": [], "logs": []})
+        parts = [unpacked(g, np.int64) for g in left["grams"]]
+        found = logs(np.concatenate(parts), right["g"].to_numpy(np.int64), right["n"].to_numpy(np.int64), singles[lang], cuts[lang]).astype(np.float32)
+        ends = np.cumsum([len(p) for p in parts])
+        return pd.DataFrame({"block": left["block"].to_numpy(), "d": left["d"].to_numpy(), "logs": [packed(x, 1) for x in np.split(found, ends[:-1])]})
+
+    singles, cuts = _statistics(known)
+    wanted = blocks.filter(F.col("lang").isin(*singles) if singles else F.lit(False)).select("block", "lang", "grams").mapInPandas(requests, "block long, lang string, d long, m long, grams binary")
+    wanted = stash(wanted, "requests")
+    # a row a language and character
+    salts = wanted.groupBy("lang", "d").agg(F.greatest(F.ceil(F.sum("m") / asked), F.lit(1)).alias("salts"))
+    wanted = wanted.join(F.broadcast(salts), ["lang", "d"]).withColumn("salt", F.pmod(F.xxhash64("block"), F.col("salts")))
+    dealt = known.join(F.broadcast(salts), ["lang", "d"]).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+    keys = ["lang", "d", "salt"]
+    wanted, dealt = wanted.select(*keys, "block", "grams"), dealt.select(*keys, "g", "n")
+    return wanted.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInPandas(answer, "block long, d long, logs binary")
+
+
+def scores(docs: DataFrame) -> DataFrame:
+    """(doc_id, body, lang, trusted, held, chars, nll) of docs (doc_id, body, lang, text, trusted, held); null nll where the text is empty or the language has no model."""
+
+    def work(left, right):
+        out = []
+        for lang, ids, bodies, trusted, held, sizes, texts, known in zip(*(left[c] for c in ("lang", "ids", "bodies", "trusted", "held", "sizes", "texts", "grams"))):
+            ends = np.cumsum(unpacked(sizes, np.int64))
+            data = zstandard.ZstdDecompressor().decompress(texts)
+            frame = pd.DataFrame({"text": [data[a:b].decode("utf-8", "surrogatepass") for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]})
+            known = unpacked(known, np.int64)
+            order = np.argsort(known)
+            value = np.concatenate([unpacked(x, np.float32) for x in right.sort_values("d")["logs"]])[order] if len(right) else None
+            known, chars, nll = known[order], [], []
+            for part in runs([frame], "text", PART):
+                found, n = grams(part["text"].tolist())
+                chars.append(n)
+                if value is not None:
+                    code, distinct = pd.factorize(found)
+                    total = np.concatenate(([0.0], np.cumsum(-value[np.searchsorted(known, distinct)].astype(np.float64)[code])))
+                    upto = np.cumsum(n)
+                    nll.append(np.where(n > 0, total[upto] - total[upto - n], np.nan))
+            out.append(pd.DataFrame({
+                "doc_id": pd.array(ids, "Int64"), "body": np.asarray(bodies), "lang": lang, "trusted": np.frombuffer(trusted, bool), "held": np.frombuffer(held, bool),
+                "chars": np.concatenate(chars), "nll": pd.Series(np.concatenate(nll) if nll else np.full(len(ids), np.nan)).astype("Float64"),
+            }))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({c: [] for c in ("doc_id", "body", "lang", "trusted", "held", "chars", "nll")})
+
+    blocks = _blocks(docs)
+    known = stash(_trusted_counts(blocks).withColumn("d", F.shiftright("g", BITS).bitwiseAND(F.lit(ALPHABET - 1))), "trusted-counts")
+    found = answers(blocks, known)
+    schema = "doc_id long, body long, lang string, trusted boolean, held boolean, chars long, nll double"
+    return blocks.drop("counts", "n_grams").groupBy("block").cogroup(found.groupBy("block")).applyInPandas(work, schema)
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).filter("q = 1 and t = 0 and doc_id is not null").select("doc_id")
 
 
+def _body(text: str, lang: str):
+    """Names a text in its language; rows meet on it together with their doc_id."""
+    return F.xxhash64(text, F.coalesce(F.col(lang), F.lit("")))
+
+
 def classify(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = HIGH, margin: float = MARGIN, prior: int = PRIOR) -> DataFrame:
-    """docs with trusted, chars, perplexity, low, high (perplexities) and keep."""
-    own = docs.columns
-    ids = checkpointed(trusted_ids(labels)).select("doc_id", F.lit(True).alias("trusted"), (F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(HELD)) == 0).alias("held"))
-    if ids.count() <= TRUSTED:
-        ids = F.broadcast(ids)
-    rows = docs.join(ids, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False))).withColumn("held", F.coalesce("held", F.lit(False)))
-    model = train(rows.withColumn("trusted", F.col("trusted") & ~F.col("held")))
-    return judged(scores(rows, model), own, low, high, margin, prior)
-
-
-def judged(scored: DataFrame, own: list[str], low: float, high: float, margin: float, prior: int) -> DataFrame:
-    light = stash(scored.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "trusted", "held", "chars", "nll", F.xxhash64("text").alias("_text")), "scores")
+    """(doc_id, body, lang, trusted, chars, perplexity, low, high, keep) of every row of docs; low and high are perplexities."""
+    ids = trusted_ids(labels).select("doc_id", F.lit(True).alias("trusted"), (F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(HELD)) == 0).alias("held"))
+    rows = docs.select("doc_id", _body("text", "lang").alias("body"), F.coalesce("lang", F.lit("")).alias("lang"), "text").join(ids, "doc_id", "left")
+    rows = rows.select("doc_id", "body", "lang", "text", F.coalesce("trusted", F.lit(False)).alias("trusted"), F.coalesce("held", F.lit(False)).alias("held"))
+    return judged(scores(rows), low, high, margin, prior)
+
+
+def judged(scored: DataFrame, low: float, high: float, margin: float, prior: int) -> DataFrame:
+    light = stash(scored, "scores")
     mean = light.filter("trusted").groupBy("lang").agg((F.sum("nll") / F.sum("chars")).alias("mean"))
+    # both small tables have a row a language
     light = light.join(F.broadcast(mean), "lang", "left").withColumn("score", (F.col("nll") + prior * F.col("mean")) / (F.col("chars") + prior))
     score = F.floor(F.col("score") / BIN)
     bins = light.filter("trusted and chars > 0").groupBy("lang", score.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.count_if("held").alias("n_held"))
@@ -234,10 +262,12 @@ def judged(scored: DataFrame, own: list[str], low: float, high: float, margin: f
     )
     light = light.join(F.broadcast(limits), "lang", "left")
     keep = (F.col("chars") > 0) & F.coalesce(F.col("score").between(F.col("least"), F.col("most")), F.lit(True))
-    return light.select("doc_id", "_text", "lang", "trusted", "chars", F.exp("score").alias("perplexity"), F.exp("least").alias("low"), F.exp("most").alias("high"), keep.alias("keep"))
+    return light.select("doc_id", "body", "lang", "trusted", "chars", F.exp("score").alias("perplexity"), F.exp("least").alias("low"), F.exp("most").alias("high"), keep.alias("keep"))
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """The rows of docs that the classifier keeps, with their own columns."""
-    rejected = classify(docs, labels, **how).filter("not keep").select(F.col("doc_id").alias("_id"), "_text").distinct()
-    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_text")), "left_anti")
+    gone = classify(docs, labels, **how).filter("not keep").select(F.col("doc_id").alias("gone_id"), F.col("body").alias("gone_body")).distinct()
+    rows = nested(docs)
+    match = F.col("row.doc_id").eqNullSafe(F.col("gone_id")) & (_body("row.text", "row.lang") == F.col("gone_body"))
+    return rows.join(gone, match, "left_anti").select("row.*")

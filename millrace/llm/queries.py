@@ -23,7 +23,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix by weights 1, 2, 3 takes of each document; targets by source."""
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +106,7 @@ SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM kept""",
     "op3_source_mixing": r"""
 WITH rows AS (
   SELECT doc_id, source, text, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5('17:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS k
+         md5('17:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || coalesce(md5(text), '')) AS k
   FROM documents),
 by_source AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
@@ -124,7 +124,7 @@ targets AS (
   SELECT source, source_size, CASE WHEN l IS NULL THEN cap ELSE least(cap, weight * l) END AS target FROM steps, level),
 placed AS (
   SELECT r.doc_id, r.size, t.source_size, t.target, CAST(floor(t.target) AS BIGINT) AS budget,
-         CAST(sum(r.size) OVER (PARTITION BY r.source ORDER BY r.k, r.size, md5(r.text) NULLS FIRST ROWS UNBOUNDED PRECEDING) AS BIGINT) - r.size AS first_word
+         CAST(sum(r.size) OVER (PARTITION BY r.source ORDER BY r.k ROWS UNBOUNDED PRECEDING) AS BIGINT) - r.size AS first_word
   FROM rows r JOIN targets t ON r.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target,
        CAST(CASE WHEN source_size > 0 THEN budget // source_size * size

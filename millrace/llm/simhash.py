@@ -4,7 +4,7 @@ Fingerprints that differ in at most RADIUS bits agree in one of RADIUS + 1
 bands, so each goes to one bucket a band.  A bucket stores the bit planes of
 its fingerprints vertically: one machine word holds the same bit of 64
 fingerprints.  XOR with a query's bit gives 64 differences at once, a
-carry-save counter of three words adds them up, and a query leaves the bucket
+carry-save counter of three words adds them up, and a block of 64 is abandoned
 as soon as all its lanes exceed the radius.
 
 A bucket gives a spanning forest of its links, never all pairs.  Buckets that
@@ -98,26 +98,26 @@ def hits(fps: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     out = np.zeros((n, lanes), np.uint64)
     step = max(1, (1 << 18) // lanes)
     for start in range(0, n, step):
-        rows = np.arange(start, min(n, start + step))
-        ones = np.zeros((len(rows), lanes), np.uint64)
-        twos = np.zeros_like(ones)
-        over = np.broadcast_to(padding, ones.shape).copy()
+        stop = min(n, start + step)
+        # a block is one word of lanes against one row; the row's own lane is out from the start
+        row, lane = (x.ravel() for x in np.meshgrid(np.arange(start, stop), np.arange(lanes), indexing="ij"))
+        over = padding[lane] | np.where(row >> 6 == lane, np.uint64(1) << (row & 63).astype(np.uint64), np.uint64(0))
+        ones, twos, mine = np.zeros(len(row), np.uint64), np.zeros(len(row), np.uint64), fps[row]
         for b in range(64):
-            flip = np.where((fps[rows] >> np.uint64(b)) & np.uint64(1), full, np.uint64(0))
-            diff = planes[b][None, :] ^ flip[:, None]
+            diff = planes[b][lane] ^ np.where((mine >> np.uint64(b)) & np.uint64(1), full, np.uint64(0))
             carry = ones & diff
             ones ^= diff
             over |= twos & carry
             twos ^= carry
             if b % 8 == 7 and b < 63:
-                done = over | _beyond(ones, twos, radius)
-                stay = (done != full).any(axis=1)
+                stay = (over | _beyond(ones, twos, radius)) != full
                 if not stay.all():
-                    rows, ones, twos, over = rows[stay], ones[stay], twos[stay], over[stay]
-                if not len(rows):
+                    row, lane, ones, twos, over, mine = (x[stay] for x in (row, lane, ones, twos, over, mine))
+                if not len(row):
                     break
-        if len(rows):
-            out[rows] = ~(over | _beyond(ones, twos, radius))
+        out[row, lane] = ~(over | _beyond(ones, twos, radius))
+    own = np.arange(n)
+    out[own, own >> 6] |= np.uint64(1) << (own & 63).astype(np.uint64)
     return out
 
 
@@ -212,7 +212,7 @@ def _set_key(hashes: np.ndarray) -> str:
 
 
 def sketches(docs: DataFrame, shingle: int = COPY_SHINGLE, similar: float = SIMILAR) -> DataFrame:
-    """(doc_id, set_key, size, words, keys) of every row: a digest of its set of shingles, how many they are, the wide fingerprint and the keys.
+    """(doc_id, body, node, size, words, keys) of every row of docs (doc_id, body, text): the row's names, a digest of its set of shingles, how many they are, the wide fingerprint and the keys.
 
     Two sets of the least similarity share one of their n - ceil(similar n) + 1
     smallest hashes.  Of those at most KEYS are taken; no one of KEYS is shared
@@ -227,9 +227,9 @@ def sketches(docs: DataFrame, shingle: int = COPY_SHINGLE, similar: float = SIMI
                 n = len(found)
                 most = min(KEYS, n - math.ceil(similar * n - 1e-9) + 1) if n else 0
                 rows.append((_set_key(found), n, wide_fingerprint(found), found[:most].view(np.int64)))
-            yield pd.DataFrame(rows, columns=["set_key", "size", "words", "keys"]).assign(doc_id=frame["doc_id"].to_numpy())[["doc_id", "set_key", "size", "words", "keys"]]
+            yield pd.DataFrame(rows, columns=["node", "size", "words", "keys"]).assign(doc_id=frame["doc_id"].to_numpy(), body=frame["body"].to_numpy())[["doc_id", "body", "node", "size", "words", "keys"]]
 
-    return docs.select("doc_id", "text").mapInPandas(work, "doc_id long, set_key string, size long, words array<long>, keys array<long>")
+    return docs.select("doc_id", "body", "text").mapInPandas(work, "doc_id long, body long, node string, size long, words array<long>, keys array<long>")
 
 
 def spanning(words: np.ndarray, sizes: np.ndarray, radius: int, similar: float) -> list[tuple[int, int]]:
@@ -274,7 +274,7 @@ def _candidates(nodes: DataFrame, radius: int, similar: float) -> DataFrame:
     def span(frame: pd.DataFrame) -> pd.DataFrame:
         edges = spanning(np.stack(frame["words"].to_list()).astype(np.int64).view(np.uint64), frame["size"].to_numpy(), radius, similar)
         node = frame["node"].to_numpy()
-        return pd.DataFrame({"u": [node[a] for a, _ in edges], "v": [node[b] for _, b in edges]}, dtype="int64")
+        return pd.DataFrame({"u": [node[a] for a, _ in edges], "v": [node[b] for _, b in edges]}, dtype=object)
 
     keyed = nodes.select("node", "size", "words", F.explode("keys").alias("key"))
     sizes = checkpointed(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("a"), F.max("node").alias("b")).filter("n > 1"))
@@ -284,12 +284,18 @@ def _candidates(nodes: DataFrame, radius: int, similar: float) -> DataFrame:
     twos = twos.filter((bits <= radius) & (F.least("size_u", "size_v") >= similar * F.greatest("size_u", "size_v") - 1e-9)).select("u", "v")
     full = keyed.join(sizes.filter("n > 2").select("key", "n"), "key")
     tile = F.pmod(F.xxhash64("node", F.pmod("key", F.lit(CUTS))), F.ceil(F.col("n") / TILE))
-    spans = full.select(F.concat_ws(":", "key", tile).alias("part"), "node", "size", "words").groupBy("part").applyInPandas(span, "u long, v long")
+    spans = full.select(F.concat_ws(":", "key", tile).alias("part"), "node", "size", "words").groupBy("part").applyInPandas(span, "u string, v string")
     return twos.unionAll(spans).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u < v").distinct()
 
 
 def near_copies(docs: DataFrame, shingle: int = COPY_SHINGLE, radius: int = WIDE, similar: float = SIMILAR) -> DataFrame:
-    """(doc_id, component_id) for every row of docs (doc_id not null, text): classes of documents linked by a Jaccard similarity of `similar` or more.
+    """(doc_id, body, component_id, first) for every row of docs (doc_id, text): classes of documents linked by a Jaccard similarity of `similar` or more.
+
+    body is body_of(text) and names a row together with its doc_id, so that
+    rows of one doc_id with different texts are told apart.  component_id is
+    the smallest doc_id of the class, null if none has one; first marks the
+    rows of the class's smallest (doc_id, body), null ids last: one row, or
+    repeats of one.  Texts without words are one class.
 
     Equal sets are one node.  Candidates are spanning forests, so a group of
     copies costs links in proportion to its size; each is confirmed on the sets.
@@ -298,7 +304,7 @@ def near_copies(docs: DataFrame, shingle: int = COPY_SHINGLE, radius: int = WIDE
     def sets(frames):
         for frame in frames:
             found = [np.unique(shingle_hashes(utf8(t), shingle)) for t in frame["text"]]
-            yield pd.DataFrame({"node": frame["doc_id"], "set_key": [_set_key(f) for f in found], "hashes": [f.tobytes() for f in found]})
+            yield pd.DataFrame({"node": [_set_key(f) for f in found], "hashes": [f.tobytes() for f in found]})
 
     def confirm(frames):
         for frame in frames:
@@ -309,16 +315,26 @@ def near_copies(docs: DataFrame, shingle: int = COPY_SHINGLE, radius: int = WIDE
                 good.append(both >= similar * (len(a) + len(b) - both) - 1e-9)
             yield frame.loc[good, ["u", "v"]]
 
-    marked = stash(sketches(docs, shingle, similar), "sketches")
-    nodes = stash(marked.groupBy("set_key").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("size", "words", "keys")]), "sets")
+    named = docs.select("doc_id", body_of("text").alias("body"), "text")
+    marked = stash(sketches(named, shingle, similar), "sketches")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body"))
+    nodes = stash(marked.groupBy("node").agg(least.alias("least"), *[F.first(c).alias(c) for c in ("size", "words", "keys")]), "sets")
     pairs = checkpointed(_candidates(nodes, radius, similar))
-    needed = pairs.select(F.col("u").alias("doc_id")).unionAll(pairs.select("v")).distinct()
-    held = docs.select("doc_id", "text").join(needed, "doc_id").mapInPandas(sets, "node long, set_key string, hashes binary")
-    held = stash(held.dropDuplicates(["node", "set_key"]), "shingles")
+    needed = pairs.select(F.col("u").alias("node")).unionAll(pairs.select("v")).distinct().join(nodes, "node").select(F.col("least.doc_id").alias("id"), F.col("least.body").alias("own"))
+    held = named.join(needed, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("body") == F.col("own"))).select("text").mapInPandas(sets, "node string, hashes binary")
+    held = stash(held.dropDuplicates(["node"]), "shingles")
     side = lambda name, value: held.select(F.col("node").alias(name), F.col("hashes").alias(value))
-    found = components(pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b").mapInPandas(confirm, "u long, v long"))
-    classes = nodes.join(found, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
-    return marked.select("doc_id", "set_key").join(checkpointed(classes), "set_key").select("doc_id", "component_id")
+    found = components(pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b").mapInPandas(confirm, "u string, v string"))
+    classes = checkpointed(nodes.select("node", "least").join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("class")))
+    firsts = classes.groupBy("class").agg(F.min("least").alias("least"))
+    classes = checkpointed(classes.select("node", "class").join(firsts, "class").select("node", "least"))
+    first = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("body") == F.col("least.body"))
+    return marked.select("doc_id", "body", "node").join(classes, "node").select("doc_id", "body", F.col("least.doc_id").alias("component_id"), first.alias("first"))
+
+
+def body_of(text: str) -> Column:
+    """A number that names a text; rows meet on it together with their doc_id."""
+    return F.xxhash64(text, F.length(text))
 
 
 def hex16(fp: Column) -> Column:

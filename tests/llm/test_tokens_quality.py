@@ -150,23 +150,34 @@ def brute_kneser_ney(texts, order):
     return lambda g: p(g, order)
 
 
-def test_probabilities_match_the_definition(spark):
-    texts = ["the cat sat on the mat", "the dog sat on the log", "a cat and a dog", "the the cat"]
-    rows = [(t, "en", True) for t in texts] + [("unseen zebra", "en", False), (None, "en", False), ("ohne Modell", "de", False)]
-    docs = spark.createDataFrame(rows, "text string, lang string, trusted boolean")
-    model = quality.train(docs).collect()
-    want = brute_kneser_ney(texts, quality.ORDER)
-    assert {r.lang for r in model} == {"en"}
-    for r in model:
-        assert abs(r.logp - math.log(want(r.g))) < 1e-4
+def marked(spark, rows):
+    """rows of (text, lang, trusted) as the classifier's own input."""
+    return spark.createDataFrame([(i, i, lang, t, trusted, False) for i, (t, lang, trusted) in enumerate(rows)], "doc_id long, body long, lang string, text string, trusted boolean, held boolean")
 
 
-def test_both_ways_of_scoring_agree(spark):
-    docs = awkward(spark).withColumn("trusted", F.coalesce(F.col("doc_id") % 2 == 0, F.lit(False))).withColumn("lang", F.lit("en"))
-    model = quality.train(docs)
-    key = lambda df: sorted((r.doc_id if r.doc_id is not None else -1, r.chars, round(r.nll, 3)) for r in df.collect())
-    a, b = key(quality.scores(docs, model)), key(quality.scores(docs, model, broadcast_rows=0))
-    assert a[:3] == b[:3] and {x for x in a} == {x for x in b}
+def test_scores_match_the_definition(spark, monkeypatch):
+    """Blocks of a few characters and groups of a few grams, so that every document asks by shards and salts."""
+    texts = ["the cat sat on the mat", "the dog sat on the log", "a cat and a dog", "the the cat", "日本語 の cat 😀"]
+    rows = [(t, "en", True) for t in texts] + [("unseen zebra 日本", "en", False), (None, "en", False), ("ohne Modell", "de", False), ("", "", True)]
+    want = brute_kneser_ney(texts, quality.ORDER)
+    for block, asked in ((8_000_000, 8_000_000), (30, 3)):
+        monkeypatch.setattr(quality, "BLOCK", block)
+        monkeypatch.setattr(quality.answers, "__defaults__", (asked,))
+        got = {r.doc_id: r for r in quality.scores(marked(spark, rows)).collect()}
+        assert len(got) == len(rows)
+        for i, (text, lang, _) in enumerate(rows):
+            found, _ = quality.grams([text or ""])
+            assert got[i].chars == len(found)
+            if len(found) and lang == "en":
+                assert abs(got[i].nll + sum(math.log(want(int(g))) for g in found)) < 1e-3
+            else:
+                assert got[i].nll is None
+
+
+def test_code_points_keep_apart():
+    points = [*range(32, 60_000, 7), *range(0x1F300, 0x1F700), *range(0x20000, 0x20400)]
+    seen = {tuple(quality.grams([chr(p)])[0][-2:].tolist()) for p in points if not chr(p).isspace() and not 0xD800 <= p < 0xE000}
+    assert len(seen) == len([p for p in points if not chr(p).isspace() and not 0xD800 <= p < 0xE000])
 
 
 def test_junk_goes_and_clean_text_stays(spark):
@@ -213,3 +224,23 @@ def test_pipeline_stages(spark, tmp_path):
     assert {r.sequence_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+CLASHES = ["row", "body", "id", "own", "gone", "gone_id", "gone_body", "trusted", "held", "keep", "first", "class", "least", "node", "key", "range", "s", "r", "of", "size", "taken", "target", "n_lines", "n_dropped", "_n", "col", "block", "piece", "group"]
+
+
+def test_stages_keep_rows_and_columns_apart(spark, tmp_path):
+    """Columns named as the operators' own, null ids, repeated rows, and rows of one doc_id with different texts."""
+    base = [words(60, i) for i in range(12)]
+    rows = [(1, base[0]), (1, base[1]), (2, base[1]), (3, base[2]), (3, base[2]), (None, base[3]), (None, base[4]), (None, base[4]), (4, base[3]), (5, ""), (6, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "src0", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.select("*", *[F.lit(-7).alias(c) for c in CLASHES])
+    spark.createDataFrame([(i, 1, 0) for i in (1, 2, 3)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, docs, str(tmp_path))
+        assert found.columns == docs.columns, name
+        assert all(r[c] == -7 for r in found.collect() for c in CLASHES), name
+    single = Counter((r.doc_id, r.text or "") for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert single == Counter([(1, base[0]), (1, base[1]), (3, base[2]), (4, base[3]), (None, base[4]), (5, "")])
+    assert corpus_pipeline.line_dedup(spark, docs, "").count() == len(rows)
+    assert sum(r.length for r in corpus_pipeline.pack(spark, docs, "").collect() if r.piece == 0) > 0
