@@ -45,13 +45,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import blocks as runs
-from .common import nested, shared_dir, stash, utf8
+from .common import checkpointed, nested, shared_dir, stash, utf8
 from .kneser_ney import ALPHABET, BITS, ORDER, counts_of_counts, discounts, grams, levels, logs
 
 __all__ = ["ALPHABET", "BITS", "ORDER", "classify", "grams", "kept_documents"]
 
 #: Characters of a block, and those that a task works on at once.
 BLOCK, PART = 8_000_000, 1_000_000
+#: Trusted ids up to which they are broadcast (64 MB of keys), so that texts stay where they are; beyond that a shuffle join.
+TRUSTED = 4_000_000
 #: Grams that a group of requests may hold.
 ASKED = 8_000_000
 #: Characters of average text that every score starts with, so that short texts don't stray.
@@ -241,7 +243,9 @@ def _body(text: str, lang: str):
 
 def classify(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = HIGH, margin: float = MARGIN, prior: int = PRIOR) -> DataFrame:
     """(doc_id, body, lang, trusted, chars, perplexity, low, high, keep) of every row of docs; low and high are perplexities."""
-    ids = trusted_ids(labels).select("doc_id", F.lit(True).alias("trusted"), (F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(HELD)) == 0).alias("held"))
+    ids = checkpointed(trusted_ids(labels)).select("doc_id", F.lit(True).alias("trusted"), (F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(HELD)) == 0).alias("held"))
+    if ids.count() <= TRUSTED:
+        ids = F.broadcast(ids)
     rows = docs.select("doc_id", _body("text", "lang").alias("body"), F.coalesce("lang", F.lit("")).alias("lang"), "text").join(ids, "doc_id", "left")
     rows = rows.select("doc_id", "body", "lang", "text", F.coalesce("trusted", F.lit(False)).alias("trusted"), F.coalesce("held", F.lit(False)).alias("held"))
     return judged(scores(rows), low, high, margin, prior)
