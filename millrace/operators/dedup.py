@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import hashlib
-import re
 import tempfile
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,11 +25,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def first_of(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """rows with is_first: whether the row is the smallest by `order` of its key; null keys are all first.
 
-    One aggregation with partial minima and a join, so a hot key never meets in one task.
+    Rows that tie by `order` are told apart by a hash of all their columns, and
+    of equal rows one is first.  Equal rows are counted first and the smallest
+    found by partial minima and a join, so a hot key never meets in one task.
     """
-    firsts = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*order)).alias("_first"))
-    joined = rows.join(firsts, key, "left")
-    return joined.select(*rows.columns, (F.col("_first").isNull() | (F.col("_first") == F.struct(*order))).alias("is_first"))
+    own = [F.col(f"`{c}`") for c in rows.columns]
+    counted = rows.groupBy(*own).agg(F.count(F.lit(1)).alias("_copies")).withColumn("_place", F.struct(*order, F.xxhash64(*own)))
+    firsts = counted.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.min("_place").alias("_first"))
+    joined = counted.join(firsts, F.col(key) == F.col("_key"), "left")
+    flags = F.transform(F.sequence(F.lit(1).cast("long"), "_copies"), lambda i: F.col("_first").isNull() | ((F.col("_first") == F.col("_place")) & (i == 1)))
+    return joined.select(*own, F.explode(flags).alias("is_first"))
 
 
 def priority_exact_dedup(rows: DataFrame, key: str, priority: str, order: str) -> DataFrame:
@@ -37,20 +42,23 @@ def priority_exact_dedup(rows: DataFrame, key: str, priority: str, order: str) -
     return first_of(rows, key, [priority, order]).filter("is_first").drop("is_first")
 
 
-def simhash_blake(text: str | None) -> str:
-    """16 hex digits: word 4-grams at every second word; blake2b; a tie sets the bit, so no words give all ones."""
-    words = re.findall(r"[a-z0-9]+", (text or "").casefold())
-    votes = [0] * 64
-    for gram in [" ".join(words[i : i + 4]) for i in range(0, len(words) - 3, 2)] or words:
-        value = int.from_bytes(hashlib.blake2b(gram.encode(), digest_size=8).digest(), "big")
-        for bit in range(64):
-            votes[bit] += 1 if value >> bit & 1 else -1
-    return f"{sum(1 << b for b, v in enumerate(votes) if v >= 0):016x}"
+def _spans(words: list[str], size: int = 4, step: int = 2) -> list[str]:
+    """Every `step`-th run of `size` words; the words themselves where there is no run."""
+    return [" ".join(words[at : at + size]) for at in range(0, len(words) - size + 1, step)] or words
+
+
+def _majority(digests: np.ndarray) -> str:
+    """16 hex digits of the bits that at least half of the 8-byte digests [n, 8] have; all ones of none."""
+    share = 2 * np.unpackbits(digests, axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(share >= len(digests)).tobytes().hex()
 
 
 @F.pandas_udf(T.StringType())
 def simhash64(texts: pd.Series) -> pd.Series:
-    return texts.map(simhash_blake)
+    """64-bit SimHash over blake2b of word 4-grams at every second word; null like an empty text."""
+    words = texts.fillna("").str.casefold().str.findall("[a-z0-9]+")
+    hashed = (b"".join(hashlib.blake2b(span.encode(), digest_size=8).digest() for span in _spans(own)) for own in words)
+    return pd.Series([_majority(np.frombuffer(data, np.uint8).reshape(-1, 8)) for data in hashed], dtype=object)
 
 
 def simhash_md5(rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -86,20 +94,62 @@ def banded_pairs(marked: DataFrame, key: str, most: int = 3, bands: int = 4) ->
     return pairs.select("a", "b", distance(F.col("bits"), F.col("bits_b")).alias("distance")).filter(F.col("distance") <= most).distinct()
 
 
-def greedy_kept(vertices: DataFrame, edges: DataFrame, most_rounds: int = 100) -> DataFrame:
+def _stars(edges: DataFrame) -> DataFrame:
+    """(v, root): the smallest vertex of the connected component of every vertex of edges (a, b).
+
+    Alternating large-star and small-star steps; each round is checkpointed.
+    """
+    edges = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct())
+    before = None
+    while True:
+        both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        roots = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        wide = both.join(roots, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        least = wide.groupBy("u").agg(F.min("v").alias("m"))
+        close = wide.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
+        edges = checkpointed(close.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == before:
+            found = edges.select(F.col("u").alias("v"), F.col("v").alias("root"))
+            return found.unionAll(found.select(F.col("root").alias("v"), "root").distinct())
+        before = now
+
+
+def greedy_kept(vertices: DataFrame, edges: DataFrame, rounds: int = 8, group: int = 200_000) -> DataFrame:
     """(v, kept): the vertices that a pass in ascending order keeps, each unless a kept smaller neighbour exists.
 
     vertices (v), edges (a, b) with a < b.  Each round keeps the vertices whose
     smaller neighbours are all out and drops those with a kept one; the
-    smallest open vertex is always decided.
+    smallest open vertex is always decided.  Long chains decide few vertices a
+    round: after each `rounds` rounds the open components of at most `group`
+    edges are passed through in one go, a task a component; larger ones go on
+    by rounds until none is open.
     """
+
+    def settle(frame: pd.DataFrame) -> pd.DataFrame:
+        kept: dict = {}
+        below = frame.groupby("b")["a"].apply(list).to_dict()
+        for v in sorted({*frame["a"], *frame["b"]}):
+            kept[v] = not any(kept[a] for a in below.get(v, ()))
+        return pd.DataFrame({"v": list(kept), "k": list(kept.values())})
+
     state = checkpointed(vertices.select("v").distinct().withColumn("kept", F.lit(None).cast("boolean")))
     edges = checkpointed(edges.select("a", "b").distinct())
-    for _ in range(most_rounds):
-        below = edges.join(state.select(F.col("v").alias("a"), F.col("kept").alias("k")), "a").groupBy(F.col("b").alias("v"))
-        below = below.agg(F.bool_or(F.coalesce("k", F.lit(False))).alias("has_kept"), F.bool_or(F.col("k").isNull()).alias("has_open"))
-        decided = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.coalesce("has_kept", F.lit(False)), False).when(~F.coalesce("has_open", F.lit(False)), True)
-        state = checkpointed(state.join(below, "v", "left").select("v", decided.alias("kept")))
+    kind = state.schema["v"].dataType.simpleString()
+    while True:
+        for _ in range(rounds):
+            below = edges.join(state.select(F.col("v").alias("a"), F.col("kept").alias("k")), "a").groupBy(F.col("b").alias("v"))
+            below = below.agg(F.bool_or(F.coalesce("k", F.lit(False))).alias("has_kept"), F.bool_or(F.col("k").isNull()).alias("has_open"))
+            decided = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.coalesce("has_kept", F.lit(False)), False).when(~F.coalesce("has_open", F.lit(False)), True)
+            state = checkpointed(state.join(below, "v", "left").select("v", decided.alias("kept")))
+            if not state.filter("kept is null").take(1):
+                return state
+        # an open vertex has no kept smaller neighbour, so its fate hangs on open ones alone
+        unsettled = state.filter("kept is null").select("v")
+        inner = edges.join(unsettled.select(F.col("v").alias("a")), "a").join(unsettled.select(F.col("v").alias("b")), "b").select("a", "b")
+        rooted = checkpointed(inner.join(_stars(inner).select(F.col("v").alias("a"), "root"), "a"))
+        small = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= group).select("root")
+        done = rooted.join(small, "root").select("root", "a", "b").groupBy("root").applyInPandas(settle, f"v {kind}, k boolean")
+        state = checkpointed(state.join(done, "v", "left").select("v", F.coalesce("kept", "k").alias("kept")))
         if not state.filter("kept is null").take(1):
             return state
-    raise RuntimeError("the greedy pass did not end")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -69,19 +71,35 @@ def distinctive_terms(names: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(n)).filter(F.col("files") <= F.greatest(F.lit(2), F.floor(F.col("n") * 0.02))).select("term", "files")  # n is one row
 
 
-def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """(query_id, rank, vec_id, score) by inner product of unit vectors; ties go to the larger id.
+def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, tile: int = 65_536, batch: int = 4_096) -> DataFrame:
+    """(query_id, rank, vec_id, score) by inner product of unit vectors, rounded to 6 places; ties go to the larger id.
 
-    queries is a small stated set; it meets the rows batch by batch where they
-    are, and every task keeps its k best before the merge.
+    The stated query set meets all rows in blocks: tiles of rows by batches of
+    queries, of a bounded size each; a block gives each query's k best of its
+    tile, so what is shuffled on is k rows a query and tile.
     """
-    unit = lambda c: F.transform(c, lambda x: x.cast("double") / F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, y: a + y.cast("double") * y.cast("double"))))
-    asked = queries.select(F.col("vec_id").alias("query_id"), unit("embedding").alias("q"))
-    rows = vectors.select("vec_id", unit("embedding").alias("v"))
-    dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    scored = rows.join(asked).select("query_id", "vec_id", F.round(dot, 6).alias("score"))
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), F.desc("vec_id"))
-    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def unit(column: pd.Series) -> np.ndarray:
+        rows = np.stack(column.to_numpy()).astype(np.float64)
+        return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+
+    def best(left, right):
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        left = left.sort_values("vec_id", ascending=False)
+        scores = unit(right["embedding"]) @ unit(left["embedding"]).T
+        scores = np.copysign(np.floor(np.abs(scores) * 1e6 + 0.5), scores) / 1e6 + 0.0
+        top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        return pd.DataFrame({"query_id": np.repeat(right["query_id"].to_numpy(), top.shape[1]), "vec_id": left["vec_id"].to_numpy()[top].ravel(), "score": np.take_along_axis(scores, top, axis=1).ravel()})
+
+    tiles, batches = (max(1, -(-df.count() // most)) for df, most in ((vectors, tile), (queries, batch)))
+    part = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
+    rows = vectors.select("vec_id", "embedding", F.size("embedding").alias("dim"), part(tiles, 1).alias("tile"), F.explode(F.sequence(F.lit(0), F.lit(batches - 1))).alias("batch"))
+    asked = queries.select(F.col("vec_id").alias("query_id"), "embedding", F.size("embedding").alias("dim"), part(batches, 2).alias("batch"), F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile"))
+    keys = ["tile", "batch", "dim"]
+    scored = rows.filter("vec_id is not null and dim > 0").groupBy(*keys).cogroup(asked.filter("query_id is not null and dim > 0").groupBy(*keys)).applyInPandas(best, "query_id long, vec_id long, score double")
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), F.desc("vec_id"))
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def nearest_by_ngrams(left: DataFrame, right: DataFrame, threshold: float = 0.9, sizes: tuple[int, ...] = (3, 4, 5)) -> DataFrame:

@@ -83,9 +83,32 @@ def test_bands_find_every_close_pair(spark):
     assert got == want
 
 
+def test_greedy_pass_ends_on_long_chains(spark):
+    n = 500
+    edges = [(i, i + 1) for i in range(n - 1)] + [(3, 400), (10, 12)]
+    for group in (200_000, 0):  # by components, and by rounds alone on a shorter chain
+        n = n if group else 30
+        own = [e for e in edges if max(e) < n]
+        state = dedup.greedy_kept(spark.range(n).select(F.col("id").alias("v")), spark.createDataFrame(own, "a long, b long"), group=group)
+        assert {r.v for r in state.filter("kept").collect()} == greedy(n, own)
+
+
+def test_one_of_equal_rows_is_first(spark):
+    rows = spark.createDataFrame([(1, "k", "x"), (1, "k", "x"), (1, "k", "y"), (2, "k", "x"), (3, None, "x"), (3, None, "x")], "o long, k string, t string")
+    found = dedup.first_of(rows, "k", ["o"]).collect()
+    assert len(found) == 6 and sum(r.is_first for r in found if r.k) == 1 and sum(r.is_first for r in found if not r.k) == 2
+    assert next(r.o for r in found if r.k and r.is_first) == 1
+
+
 def test_blake_fingerprints(spark):
-    assert dedup.simhash_blake("") == "f" * 16 == dedup.simhash_blake(None)
-    assert dedup.simhash_blake("A b! c d e f") == dedup.simhash_blake("a b c d e f")
+    texts = ["", None, "A b! c d e f", "a b c d e f", "one two three", "x " * 40]
+    got = {r.i: r.h for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", dedup.simhash64("t").alias("h")).collect()}
+    assert got[0] == got[1] == "f" * 16 and got[2] == got[3]
+    for i in (2, 4, 5):
+        w = "".join(c if c.isalnum() else " " for c in texts[i].lower()).split()
+        spans = [" ".join(w[k : k + 4]) for k in range(0, len(w) - 3, 2)] or w
+        hashes = [int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "big") for x in spans]
+        assert int(got[i], 16) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) >= len(hashes))
 
 
 def test_priority_wins(spark):
