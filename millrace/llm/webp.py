@@ -11,7 +11,6 @@ alpha, in which a stream codes them.
 
 from __future__ import annotations
 
-import heapq
 import struct
 
 import numpy as np
@@ -63,30 +62,42 @@ class Writer:
 
 def code_lengths(counts: list[int], most: int = 15) -> list[int]:
     """Lengths of a complete prefix code, none over `most`; 0 where the count is 0."""
-    counts = list(counts)
+    used = [(n, s) for s, n in enumerate(counts) if n]
+    lengths = [0] * len(counts)
+    if len(used) < 2:
+        for _, s in used:
+            lengths[s] = 1
+        return lengths
+    used.sort()
     while True:
-        heap = [(n, i, (i,)) for i, n in enumerate(counts) if n]
-        lengths = [0] * len(counts)
-        if len(heap) == 1:
-            lengths[heap[0][1]] = 1
-            return lengths
-        parent, heap = {}, [(n, i) for n, i, _ in heap]
-        leaves = [i for _, i in heap]
-        heapq.heapify(heap)
-        node = len(counts)
-        while len(heap) > 1:
-            (a, i), (b, j) = heapq.heappop(heap), heapq.heappop(heap)
-            parent[i] = parent[j] = node
-            heapq.heappush(heap, (a + b, node))
-            node += 1
-        depth = {node - 1: 0}
-        for k in range(node - 2, len(counts) - 1, -1):
-            depth[k] = depth[parent[k]] + 1
-        for i in leaves:
-            lengths[i] = depth[parent[i]] + 1 if i in parent else 0
-        if max(lengths, default=0) <= most:
+        # leaves in ascending order, then inner nodes, whose weights ascend as they are made
+        weights = [n for n, _ in used]
+        n, leaf, inner = len(used), 0, len(used)
+        parent = [0] * (2 * n - 1)
+        for node in range(n, 2 * n - 1):
+            total = 0
+            for _ in range(2):
+                if leaf < n and (inner >= node or weights[leaf] <= weights[inner]):
+                    total += weights[leaf]
+                    parent[leaf] = node
+                    leaf += 1
+                else:
+                    total += weights[inner]
+                    parent[inner] = node
+                    inner += 1
+            weights.append(total)
+        depth = [0] * (2 * n - 1)
+        for node in range(2 * n - 3, -1, -1):
+            depth[node] = depth[parent[node]] + 1
+        if max(depth[:n]) <= most:
+            for (_, s), d in zip(used, depth):
+                lengths[s] = d
             return lengths
-        counts = [n // 2 + 1 if n else 0 for n in counts]
+        used = [(n // 2 + 1, s) for n, s in used]
+
+
+#: Every 15-bit number with its bits in reverse.
+_BACKWARDS = (np.packbits(np.unpackbits(np.arange(1 << 15, dtype=">u2").view(np.uint8)).reshape(-1, 16)[:, :0:-1], axis=1).view(">u2").ravel().astype(np.int64) >> 1).tolist()
 
 
 def canonical(lengths) -> list[int]:
@@ -95,7 +106,7 @@ def canonical(lengths) -> list[int]:
     for n, s in sorted((n, s) for s, n in enumerate(lengths) if n):
         code <<= n - last
         last = n
-        codes[s] = int(f"{code:0{n}b}"[::-1], 2)
+        codes[s] = _BACKWARDS[code] >> (15 - n)
         code += 1
     return codes
 
@@ -382,33 +393,8 @@ def chunk(data: bytes) -> bytes:
     raise ValueError("no lossless image")
 
 
-def decode(data: bytes) -> np.ndarray:
-    """The pixels of any lossless file."""
-    body = chunk(data)
-    if body[:1] != bytes([SIGNATURE]):
-        raise ValueError("not a lossless stream")
-    bits = Reader(body[1:])
-    width, height = bits.bits(14) + 1, bits.bits(14) + 1
-    bits.bits(1)
-    if bits.bits(3):
-        raise ValueError("unknown version")
-    undo, across = [], width
-    while bits.bits(1):
-        kind = bits.bits(2)
-        if kind in (PREDICTOR, CROSS_COLOUR):
-            size = bits.bits(3) + 2
-            part = _read_image(bits, (across + (1 << size) - 1) >> size, (height + (1 << size) - 1) >> size, False)
-            undo.append((kind, across, size, part))
-        elif kind == SUBTRACT_GREEN:
-            undo.append((kind, across, 0, []))
-        else:
-            colours = bits.bits(8) + 1
-            palette = _read_image(bits, colours, 1, False)
-            for i in range(1, colours):
-                palette[i] = _add(palette[i], palette[i - 1])
-            undo.append((kind, across, colours, palette))
-            across = (across + (1 << _packing(colours)) - 1) >> _packing(colours)
-    pixels = _read_image(bits, across, height, True)
+def _inverted(pixels: list[int], undo: list[tuple], height: int) -> list[int]:
+    """Pixels with the transforms (kind, width, bits or colours, their own image) taken back, the last one first."""
     for kind, wide, size, part in reversed(undo):
         if kind == PREDICTOR:
             blocks = (wide + (1 << size) - 1) >> size
@@ -428,10 +414,50 @@ def decode(data: bytes) -> np.ndarray:
                     i = (pixels[y * narrow + (x >> pack)] >> 8 & 255) >> (each * (x & ((1 << pack) - 1))) & ((1 << each) - 1)
                     full.append(part[i] if i < size else 0)
             pixels = full
-    p = np.array(pixels, np.uint32)
+    return pixels
+
+
+def _samples(pixels, width: int, height: int) -> np.ndarray:
+    p = np.asarray(pixels, np.uint32)
     return np.stack([p >> 8, p >> 16, p, p >> 24], axis=1).astype(np.uint8).reshape(height, width, 4)
 
 
+def _transforms(bits: Reader, width: int, height: int) -> tuple[list[tuple], int]:
+    """(transforms as _inverted takes them, width of the coded image)."""
+    undo, across = [], width
+    while bits.bits(1):
+        kind = bits.bits(2)
+        if kind in (PREDICTOR, CROSS_COLOUR):
+            size = bits.bits(3) + 2
+            part = _read_image(bits, (across + (1 << size) - 1) >> size, (height + (1 << size) - 1) >> size, False)
+            undo.append((kind, across, size, part))
+        elif kind == SUBTRACT_GREEN:
+            undo.append((kind, across, 0, []))
+        else:
+            colours = bits.bits(8) + 1
+            palette = _read_image(bits, colours, 1, False)
+            for i in range(1, colours):
+                palette[i] = _add(palette[i], palette[i - 1])
+            undo.append((kind, across, colours, palette))
+            across = (across + (1 << _packing(colours)) - 1) >> _packing(colours)
+    return undo, across
+
+
+def decode(data: bytes) -> np.ndarray:
+    """The pixels of any lossless file."""
+    body = chunk(data)
+    if body[:1] != bytes([SIGNATURE]):
+        raise ValueError("not a lossless stream")
+    bits = Reader(body[1:])
+    width, height = bits.bits(14) + 1, bits.bits(14) + 1
+    bits.bits(1)
+    if bits.bits(3):
+        raise ValueError("unknown version")
+    undo, across = _transforms(bits, width, height)
+    pixels = _read_image(bits, across, height, True)
+    return _samples(_inverted(pixels, undo, height), width, height)
+
+
 def _write_image(out: Writer, pixels: list[int], width: int, main: bool, cache_bits: int = 0, references: bool = False, tile_bits: int = 0) -> None:
     out.bits(int(cache_bits > 0), 1)
     if cache_bits:
@@ -556,8 +582,14 @@ def encode(pixels: np.ndarray, transforms: tuple[int, ...] = (), cache_bits: int
 
 # ---- many images at once
 
-#: Longest code that encode_batch uses: four of them and a byte's rest fit into a 64-bit window.
+#: Longest code that encode_batch uses: a token, four of them or a reference with its extra bits, fits into a 64-bit window.
 BATCH_LENGTH = 12
+#: Pixels of the shortest reference, the longest one, and the farthest distance.
+SHORTEST, LONGEST, FARTHEST = 3, 4096, (1 << 20) - 120
+#: Bits of a header that a further symbol of a code costs, about.
+SYMBOL_BITS = 5
+#: Colours up to which a palette packs several pixels into one.
+FEW = 16
 
 
 def shape(n: int) -> tuple[int, int]:
@@ -567,132 +599,287 @@ def shape(n: int) -> tuple[int, int]:
     return 16 * wide, -(-rows // wide)
 
 
+def _prefixes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """_prefix() of many values."""
+    v = values - 1
+    top = np.maximum(np.log2(np.maximum(v, 1)).astype(np.int64), 1)
+    small = v < 4
+    extra = np.where(small, 0, top - 1)
+    return np.where(small, v, 2 * top + (v >> (top - 1) & 1)), np.where(small, 0, v & ((1 << extra) - 1)), extra
+
+
+def _repeats(pixels: np.ndarray, image: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, lengths, distances) of the references of all images, greedy from the left.
+
+    The candidate of a pixel is the last place where it and its neighbour stood
+    together; places in a row with one distance make up a match.
+    """
+    n = len(pixels)
+    if n < 2:
+        return (np.empty(0, np.int64),) * 3
+    pair = pixels[:-1].astype(np.uint64) | pixels[1:].astype(np.uint64) << np.uint64(32)
+    key = (pair ^ (pair >> np.uint64(29)) ^ image[:-1].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    order = np.argsort(key, kind="stable")
+    far = np.zeros(n - 1, np.int64)
+    now, then = order[1:], order[:-1]
+    same = (pair[now] == pair[then]) & (image[now] == image[then]) & (image[now] == image[now + 1]) & (image[then] == image[then + 1])
+    far[now[same]] = (now - then)[same]
+    far[far > FARTHEST] = 0
+    place = np.arange(n - 1)
+    stops = np.append(np.diff(far) != 0, True)
+    length = np.where(far > 0, 2 + np.minimum.accumulate(np.where(stops, place, n)[::-1])[::-1] - place, 0)
+    found = np.flatnonzero(length >= SHORTEST)
+    starts, end = [], 0
+    for at, k in zip(found.tolist(), np.minimum(length[found], LONGEST).tolist()):
+        if at >= end:
+            starts.append(at)
+            end = at + k
+    starts = np.array(starts, np.int64)
+    return starts, np.minimum(length[starts], LONGEST), far[starts]
+
+
+def _cost(code: np.ndarray, image: np.ndarray, n: int, size: int) -> np.ndarray:
+    """Bits of each image's symbols by the entropy of its own code, and of that code's header, about."""
+    counts = np.bincount(image * size + code, minlength=n * size).reshape(n, size).astype(np.float64)
+    total = counts.sum(axis=1)
+    held = np.where(counts > 0, counts, 1)
+    return total * np.log2(np.maximum(total, 1)) - (counts * np.log2(held)).sum(axis=1) + SYMBOL_BITS * (counts > 0).sum(axis=1)
+
+
 def encode_batch(payloads: list[bytes]) -> list[bytes]:
-    """A file of each payload, whose length is a positive multiple of 64: four bytes a pixel, one prefix code an image."""
+    """A file of each payload, whose length is a positive multiple of 64: four bytes a pixel.
+
+    Repeats become references.  Each image has a colour cache if that makes it
+    smaller, and images of few colours a palette that packs their pixels; those
+    go through encode() with the transforms that make them smallest.
+    """
     shapes = [shape(len(p) // 4) for p in payloads]
     sizes = np.array([4 * w * h for w, h in shapes], np.int64)
-    data = np.frombuffer(b"".join(p.ljust(n, b"\0") for p, n in zip(payloads, sizes.tolist())), np.uint8)
-    image = np.repeat(np.arange(len(payloads), dtype=np.int32), sizes)
-    counts = np.bincount(image.astype(np.int64) * 256 + data, minlength=256 * len(payloads)).reshape(-1, 256)
-    lengths, codes = np.zeros((len(payloads), 256), np.uint8), np.zeros((len(payloads), 256), np.uint64)
+    data = np.frombuffer(b"".join(p.ljust(n, b"\0") for p, n in zip(payloads, sizes.tolist())), np.uint8).reshape(-1, 4)
+    n, n_pixels = len(payloads), sizes // 4
+    image = np.repeat(np.arange(n), n_pixels)
+    green, red, blue, alpha = (data[:, k].astype(np.int64) for k in range(4))
+    pixels = (alpha << 24 | red << 16 | green << 8 | blue).astype(np.uint32)
+    # the cache holds each slot's last pixel, however that was coded
+    bits = np.where(n_pixels >= 1024, 9, 7)
+    slot = (pixels.astype(np.int64) * CACHE_FACTOR & 0xFFFFFFFF) >> (32 - bits[image])
+    order = np.argsort(image << 11 | slot, kind="stable")
+    hit = np.zeros(len(pixels), bool)
+    hit[order[1:]] = (pixels[order[1:]] == pixels[order[:-1]]) & (image[order[1:]] == image[order[:-1]]) & (slot[order[1:]] == slot[order[:-1]])
+    starts, lengths, distances = _repeats(pixels, image)
+    inside = np.zeros(len(pixels) + 1, np.int64)
+    inside[starts] += 1
+    np.add.at(inside, starts + lengths, -1)
+    inside = np.cumsum(inside[:-1]) > 0
+    is_ref = np.zeros(len(pixels), bool)
+    is_ref[starts] = True
+    reach = np.zeros(len(pixels), np.int64)
+    reach[starts] = np.arange(len(starts))
+    token = np.flatnonzero(~inside | is_ref)
+    own, ref, cached = image[token], is_ref[token], hit[token] & ~is_ref[token]
+    length_code, length_extra, length_bits = _prefixes(lengths)
+    far_code, far_extra, far_bits = _prefixes(distances + len(NEAR))
+    size = LITERALS + LENGTHS + (1 << 9)
+    first = green[token]
+    first[ref] = LITERALS + length_code[reach[token[ref]]]
+    with_cache = np.where(cached, LITERALS + LENGTHS + slot[token], first)
+    rest = np.stack([red[token], blue[token], alpha[token]], axis=1)
+    plain = _cost(first, own, n, size) + _cost(rest[~ref].ravel(), np.repeat(own[~ref], 3), n, 256)
+    saved = plain > _cost(with_cache, own, n, size) + _cost(rest[~ref & ~cached].ravel(), np.repeat(own[~ref & ~cached], 3), n, 256)
+    cached &= saved[own]
+    first = np.where(cached, with_cache, first)
+    literal = ~ref & ~cached
+    counts = np.bincount(own * size + first, minlength=n * size).reshape(n, size)
+    others = np.bincount(np.repeat(own[literal], 3) * 256 + rest[literal].ravel(), minlength=n * 256).reshape(n, 256)
+    fars = np.bincount(image[starts] * DISTANCES + far_code, minlength=n * DISTANCES).reshape(n, DISTANCES)
+    tables = [(np.zeros((n, k), np.int64), np.zeros((n, k), np.uint64)) for k in (size, 256, DISTANCES)]
     heads = []
     for i, (width, height) in enumerate(shapes):
-        own = code_lengths(counts[i].tolist(), BATCH_LENGTH)
         head = Writer()
-        write_code(head, own)
-        one, n = head.value, head.size
-        head = Writer()
-        for value, k in ((SIGNATURE, 8), (width - 1, 14), (height - 1, 14), (1, 1), (0, 3), (0, 1), (0, 1), (0, 1)):
+        for value, k in ((SIGNATURE, 8), (width - 1, 14), (height - 1, 14), (1, 1), (0, 3), (0, 1), (int(saved[i]), 1)):
             head.bits(value, k)
-        for _ in range(4):
-            head.bits(one, n)
-        write_code(head, [0] * DISTANCES)
+        if saved[i]:
+            head.bits(int(bits[i]), 4)
+        head.bits(0, 1)
+        alphabet = LITERALS + LENGTHS + (1 << int(bits[i]) if saved[i] else 0)
+        written = []
+        for (length, code), n_of in zip(tables, (counts[i, :alphabet], others[i], fars[i])):
+            made = code_lengths(n_of.tolist(), BATCH_LENGTH)
+            part = Writer()
+            write_code(part, made)
+            written.append(part)
+            if sum(map(bool, made)) > 1:
+                length[i, : len(made)], code[i, : len(made)] = made, canonical(made)
+        for part in (written[0], written[1], written[1], written[1], written[2]):
+            head.bits(part.value, part.size)
         heads.append(head)
-        if sum(map(bool, own)) > 1:
-            lengths[i], codes[i] = own, canonical(own)
-    flat = image.astype(np.int64) * 256 + data
-    length, code = lengths.ravel()[flat].reshape(-1, 4).astype(np.uint64), codes.ravel()[flat].reshape(-1, 4)
-    pixel, taken = code[:, 0], length[:, 0]
-    for k in (1, 2, 3):
-        pixel = pixel | code[:, k] << taken
-        taken = taken + length[:, k]
-    del code, length, flat
-    taken = taken.astype(np.int64)
-    n_pixels = sizes // 4
-    last = np.cumsum(n_pixels)
-    total = np.concatenate(([0], np.cumsum(taken)))
-    bits = np.array([h.size for h in heads]) + total[last] - total[last - n_pixels]
-    places = np.concatenate(([0], np.cumsum(-(-bits // 8))))
-    begin = places[:-1] * 8 + np.array([h.size for h in heads]) - total[last - n_pixels]
-    at = total[:-1] + np.repeat(begin, n_pixels)
-    pixel = pixel << (at & 7).astype(np.uint64)
+    length, code = tables[0][0][own, first], tables[0][1][own, first]
+    more = np.where(literal)[0]
+    for k in range(3):
+        code[more] |= tables[1][1][own[more], rest[more, k]] << length[more].astype(np.uint64)
+        length[more] += tables[1][0][own[more], rest[more, k]]
+    if len(starts):
+        at, of = np.flatnonzero(ref), image[starts]
+        for value, k in ((length_extra, length_bits), (tables[2][1][of, far_code], tables[2][0][of, far_code]), (far_extra, far_bits)):
+            code[at] |= value.astype(np.uint64) << length[at].astype(np.uint64)
+            length[at] += k
+    n_tokens = np.bincount(own, minlength=n)
+    last = np.cumsum(n_tokens)
+    total = np.concatenate(([0], np.cumsum(length)))
+    head_bits = np.array([h.size for h in heads])
+    places = np.concatenate(([0], np.cumsum(-(-(head_bits + total[last] - total[last - n_tokens]) // 8))))
+    begin = places[:-1] * 8 + head_bits - total[last - n_tokens]
+    at = total[:-1] + np.repeat(begin, n_tokens)
+    code <<= (at & 7).astype(np.uint64)
     out = np.zeros(int(places[-1]) + 8, np.float64)
-    for k in range(7):  # bits don't overlap, so sums are unions
-        out += np.bincount((at >> 3) + k, (pixel >> np.uint64(8 * k) & np.uint64(255)).astype(np.float64), len(out))
+    for k in range(8):  # bits don't overlap, so sums are unions
+        out += np.bincount((at >> 3) + k, (code >> np.uint64(8 * k) & np.uint64(255)).astype(np.float64), len(out))
     out = out.astype(np.uint8)
     for i, h in enumerate(heads):
         part = np.frombuffer(h.done(), np.uint8)
         out[places[i] : places[i] + len(part)] |= part
     whole = out.tobytes()
-    return [wrap(whole[a:b]) for a, b in zip(places[:-1].tolist(), places[1:].tolist())]
+    files = [wrap(whole[a:b]) for a, b in zip(places[:-1].tolist(), places[1:].tolist())]
+    ends = np.cumsum(n_pixels)
+    for i in np.flatnonzero(n_pixels <= 4096):
+        own_pixels = data[ends[i] - n_pixels[i] : ends[i]]
+        if len(np.unique(pixels[ends[i] - n_pixels[i] : ends[i]])) <= FEW:
+            tried = [encode(own_pixels.reshape(shapes[i][1], shapes[i][0], 4), kinds, references=True) for kinds in ((PALETTE,), (SUBTRACT_GREEN,), (PREDICTOR,), (CROSS_COLOUR,))]
+            files[i] = min([files[i], *tried], key=len)
+    return files
 
 
-def _plain(body: bytes):
-    """(width, height, tables of the four channels, place of the pixels) of a stream without transforms, colour cache and tiles; else None.
+def _lane(body: bytes) -> tuple | None:
+    """(width, height, transforms, coded width, cache bits, five code tables, place of the pixels) of a stream, or None if its codes come in tiles or are too long for a window.
 
     A code that repeats bit by bit is read once.
     """
-    bits = Reader(body[1:4096])
+    bits = Reader(body[1:8192])
+    if body[0] != SIGNATURE:
+        return None
     width, height = bits.bits(14) + 1, bits.bits(14) + 1
-    if body[0] != SIGNATURE or bits.bits(7) & ~1:
+    if bits.bits(4) & ~1:
+        return None
+    undo, across = _transforms(bits, width, height)
+    cache_bits = bits.bits(4) if bits.bits(1) else 0
+    if cache_bits > 11 or bits.bits(1):
         return None
     codes, before, text = [], 0, None
-    for size in (LITERALS + LENGTHS, 256, 256, 256, DISTANCES):
+    for size in (LITERALS + LENGTHS + (1 << cache_bits if cache_bits else 0), 256, 256, 256, DISTANCES):
         start = bits.at
-        if before and start + before <= bits.size and (bits.value >> start) & ((1 << before) - 1) == text and size == 256:
+        if before and size == 256 and start + before <= bits.size and (bits.value >> start) & ((1 << before) - 1) == text:
             codes.append(codes[-1])
             bits.at = start + before
             continue
-        lengths = read_code(bits, size)
-        if any(lengths[LITERALS:]):
-            return None
-        codes.append(lookup(lengths))
+        codes.append(lookup(read_code(bits, size)))
         before = bits.at - start
         text = (bits.value >> start) & ((1 << before) - 1)
-    if any(w > 14 for _, w in codes[:4]):
+    if sum(w for _, w in codes[:4]) > 56:
         return None
-    return width, height, codes[:4], bits.at + 8
+    return width, height, undo, across, cache_bits, codes, bits.at + 8
 
 
 def decode_batch(files: list[bytes]) -> list[np.ndarray]:
-    """The pixels of each file.  Streams of literals are read in step with each other, all others one by one."""
+    """The pixels of each file.  Streams with one group of codes are read in step with each other, a token of each at a time; others one by one."""
     out: list = [None] * len(files)
     lanes = []
     for i, data in enumerate(files):
         body = chunk(data)
-        found = _plain(body) if len(body) > 5 else None
+        try:
+            found = _lane(body)
+        except (ValueError, IndexError):  # a header longer than the window for it, or a damaged one, which decode() tells
+            found = None
         if found is None:
             out[i] = decode(data)
         else:
-            lanes.append((found[0] * found[1], i, body, found))
-    lanes.sort(key=lambda x: -x[0])
+            lanes.append((i, body, found))
     if not lanes:
         return out
-    data = np.frombuffer(b"".join(b for _, _, b, _ in lanes) + bytes(16), np.uint8)
+    data = np.frombuffer(b"".join(b for _, b, _ in lanes) + bytes(24), np.uint8)
     window = np.zeros(len(data) - 8, np.uint64)
     for k in range(8):
         window |= data[k : k + len(window)].astype(np.uint64) << np.uint64(8 * k)
-    bytes_at = np.cumsum([0] + [len(b) for _, _, b, _ in lanes])[:-1]
-    at = bytes_at * 8 + np.array([f[3] for _, _, _, f in lanes])
-    tables, known, starts, masks = [], {}, np.zeros((4, len(lanes)), np.int64), np.zeros((4, len(lanes)), np.uint64)
-    size = 0
-    for lane, (_, _, _, found) in enumerate(lanes):
-        for c, (table, width) in enumerate(found[2]):
+    limit = 8 * (len(data) - 16)
+    # rows of the lanes' state: place of the bits, next pixel, end, first pixel, cache bits, cache, then start and mask of five tables
+    state = np.zeros((16, len(lanes)), np.int64)
+    state[0] = 8 * np.cumsum([0] + [len(b) for _, b, _ in lanes])[:-1] + [f[6] for _, _, f in lanes]
+    pixels = np.array([f[3] * f[1] for _, _, f in lanes])
+    state[2] = np.cumsum(pixels)
+    state[1] = state[3] = state[2] - pixels
+    state[4] = [f[4] for _, _, f in lanes]
+    state[5] = np.cumsum(1 << state[4]) - (1 << state[4])
+    cache = np.zeros(int((1 << state[4]).sum()), np.uint32)
+    tables, known, size = [], {}, 0
+    for lane, (_, _, found) in enumerate(lanes):
+        for c, (table, width) in enumerate(found[5]):
             if id(table) not in known:
                 known[id(table)] = size
                 tables.append(table)
                 size += len(table)
-            starts[c, lane], masks[c, lane] = known[id(table)], (1 << width) - 1
-    table = np.concatenate(tables)
-    pixels = np.array([n for n, _, _, _ in lanes])
-    ends = np.cumsum(pixels)
-    begins = ends - pixels
-    result = np.zeros((int(ends[-1]), 4), np.uint8)
-    live = np.searchsorted(-pixels, -np.arange(1, pixels[0] + 1), side="right")  # lanes with more than t pixels
-    four = np.uint64(4)
-    for t in range(int(pixels[0])):
-        n = int(live[t])
-        here = at[:n]
-        bits = window[here >> 3] >> (here & 7).astype(np.uint64)
-        used = np.zeros(n, np.uint64)
-        row = begins[:n] + t
-        for c in range(4):
-            entry = table[starts[c, :n] + (bits & masks[c, :n]).astype(np.int64)].astype(np.uint64)
-            length = entry & np.uint64(15)
-            bits >>= length
-            used += length
-            result[row, c] = entry >> four
-        here += used.astype(np.int64)
-    for (_, i, _, (width, height, _, _)), a, b in zip(lanes, begins.tolist(), ends.tolist()):
-        out[i] = result[a:b].reshape(height, width, 4)
+            state[6 + 2 * c, lane], state[7 + 2 * c, lane] = known[id(table)], (1 << width) - 1
+    table = np.concatenate(tables).astype(np.int64)
+    result = np.zeros(int(state[2, -1]), np.uint32)
+    firsts, ends = state[3].copy(), state[2].copy()
+
+    def read(at: np.ndarray) -> np.ndarray:
+        if at.max() > limit:
+            raise ValueError("the stream ends early")
+        return (window[at >> 3] >> (at & 7).astype(np.uint64)).astype(np.int64) & 0x1FFFFFFFFFFFFFF
+
+    def valued(at: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(value, bits taken) of prefix symbols whose extra bits stand at `at`."""
+        extra = np.where(symbol < 4, 0, (symbol - 2) >> 1)
+        return np.where(symbol < 4, symbol + 1, ((2 + (symbol & 1)) << extra) + (read(at) & ((1 << extra) - 1)) + 1), extra
+
+    def remember(lane: np.ndarray, values: np.ndarray) -> None:
+        slot = (values.astype(np.int64) * CACHE_FACTOR & 0xFFFFFFFF) >> (32 - state[4, lane])
+        cache[state[5, lane] + slot] = values  # of equal slots the last one stays
+
+    while state.shape[1]:
+        bits = read(state[0])
+        entry = table[state[6] + (bits & state[7])]
+        symbol, taken = entry >> 4, entry & 15
+        state[0] += taken
+        lane = np.flatnonzero(symbol < LITERALS)
+        if len(lane):
+            rest, used, value = bits[lane] >> taken[lane], 0, symbol[lane] << 8
+            for c, shift in ((8, 16), (10, 0), (12, 24)):
+                entry = table[state[c, lane] + (rest & state[c + 1, lane])]
+                rest >>= entry & 15
+                used = used + (entry & 15)
+                value |= entry >> 4 << shift
+            result[state[1, lane]] = value
+            remember(lane, value.astype(np.uint32))
+            state[0, lane] += used
+            state[1, lane] += 1
+        lane = np.flatnonzero(symbol >= LITERALS + LENGTHS)
+        if len(lane):
+            # the pixel is in its slot already
+            result[state[1, lane]] = cache[state[5, lane] + symbol[lane] - LITERALS - LENGTHS]
+            state[1, lane] += 1
+        lane = np.flatnonzero((symbol >= LITERALS) & (symbol < LITERALS + LENGTHS))
+        if len(lane):
+            n, extra = valued(state[0, lane], symbol[lane] - LITERALS)
+            at = state[0, lane] + extra
+            entry = table[state[14, lane] + (read(at) & state[15, lane])]
+            back, extra = valued(at + (entry & 15), entry >> 4)
+            state[0, lane] = at + (entry & 15) + extra
+            near = np.flatnonzero(back <= len(NEAR))
+            codes, back = back[near], back - len(NEAR)
+            for k, code in zip(near, codes.tolist()):
+                back[k] = distance_of(code, lanes[int(np.searchsorted(ends, state[2, lane[k]]))][2][3])
+            row = state[1, lane]
+            if (back > row - state[3, lane]).any() or (row + n > state[2, lane]).any():
+                raise ValueError("a reference leaves the image")
+            step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            # a copy that overlaps itself repeats its first pixels
+            copied = result[np.repeat(row - back, n) + step % np.repeat(back, n)]
+            result[np.repeat(row, n) + step] = copied
+            remember(np.repeat(lane, n), copied)
+            state[1, lane] += n
+        done = state[1] >= state[2]
+        if done.any():
+            state = state[:, ~done]
+    for (i, _, (width, height, undo, *_)), a, b in zip(lanes, firsts.tolist(), ends.tolist()):
+        out[i] = _samples(_inverted(result[a:b].tolist(), undo, height) if undo else result[a:b], width, height)
     return out

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 
 from millrace.llm import extraction, labeller, media, pages, webp
 
-from .helpers import awkward, empty
+from .helpers import awkward, empty, words
 
 
 @pytest.mark.parametrize("transforms", [(), (0,), (1,), (2,), (3,), (2, 1, 0), (0, 1, 2), (3, 0)])
@@ -20,7 +20,8 @@ def test_every_part_of_the_format_round_trips(transforms, cache, references, til
     few = draw.integers(0, 256, (5, 4), dtype=np.uint8)
     for height, width in ((1, 1), (5, 9), (12, 33)):
         pixels = few[draw.integers(0, 5, (height, width))]
-        assert (webp.decode(webp.encode(pixels, transforms, cache, references, tiles)) == pixels).all()
+        data = webp.encode(pixels, transforms, cache, references, tiles)
+        assert (webp.decode(data) == pixels).all() and (webp.decode_batch([data, data])[1] == pixels).all()
 
 
 def test_noise_round_trips():
@@ -38,6 +39,20 @@ def test_batches_agree_with_single_images(texts):
         assert pixels.tobytes() == d and webp.decode(f).tobytes() == d
 
 
+def test_stored_files_use_the_format():
+    """References, colour caches and palettes stand in the files that the query's encoder writes, and the lanes read them."""
+    draw, few = np.random.default_rng(6), words(40, 9).split()
+    texts = [words(400, 1), " ".join(few[i] for i in draw.integers(0, 40, 900)), words(30, 2) * 8, "ab" * 400, "\n".join(["the same menu line, item 1"] * 60), words(3000, 3)[:12000] * 2, ""]
+    data = [media.payload(t) for t in texts]
+    files = webp.encode_batch(data)
+    parts = [webp._lane(webp.chunk(f)) for f in files]
+    assert sum(p[4] > 0 for p in parts) >= 1 and sum(int(p[5][4][0].max()) > 0 for p in parts) >= 3 and any(kind == webp.PALETTE for p in parts for kind, *_ in p[2])
+    assert [p.tobytes()[: len(d)] for p, d in zip(webp.decode_batch(files), data)] == data
+    assert len(files[5]) < 1.2 * len(webp.encode_batch([media.payload(words(3000, 3)[:12000])])[0])  # the second half is one reference
+    with pytest.raises(ValueError):
+        webp.decode_batch([files[0][:-40] + bytes(2)])
+
+
 def test_mixed_batches():
     pixels = np.random.default_rng(4).integers(0, 3, (6, 16, 4), dtype=np.uint8)
     files = [webp.encode(pixels, (2,), 3, True), *webp.encode_batch([b"x" * 64]), webp.encode(pixels)]
