@@ -74,7 +74,7 @@ def _split(docs: DataFrame, tokens: int, least: int, share: float) -> DataFrame:
     rows = rows.join(gone, F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("body") == F.col("own")), "left")
     text = F.col("row.text")
     kept = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n"), lambda line, i: ~F.array_contains("gone", i)), "\n"))
-    n_lines = F.coalesce(F.regexp_count(text, F.lit(r"[^\n]*[^\x20\x09-\x0D\n][^\n]*")), F.lit(0)).cast("long")
+    n_lines = F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D][^\n]*")), F.lit(0)).cast("long")
     n_gone = F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone")).cast("long")
     return rows.select("row", kept.alias("text"), n_lines.alias("n_lines"), n_gone.alias("n_dropped"))
 

@@ -588,6 +588,8 @@ BATCH_LENGTH = 12
 SHORTEST, LONGEST, FARTHEST = 3, 4096, (1 << 20) - 120
 #: Bits of a header that a further symbol of a code costs, about.
 SYMBOL_BITS = 5
+#: Lanes from which on each is read to its end by itself.
+ALONE = 40
 #: Colours up to which a palette packs several pixels into one.
 FEW = 16
 
@@ -733,7 +735,9 @@ def encode_batch(payloads: list[bytes]) -> list[bytes]:
     code <<= (at & 7).astype(np.uint64)
     out = np.zeros(int(places[-1]) + 8, np.float64)
     for k in range(8):  # bits don't overlap, so sums are unions
-        out += np.bincount((at >> 3) + k, (code >> np.uint64(8 * k) & np.uint64(255)).astype(np.float64), len(out))
+        part = (code >> np.uint64(8 * k) & np.uint64(255)).astype(np.float64)
+        held = np.flatnonzero(part)
+        out += np.bincount((at[held] >> 3) + k, part[held], len(out))
     out = out.astype(np.uint8)
     for i, h in enumerate(heads):
         part = np.frombuffer(h.done(), np.uint8)
@@ -779,6 +783,57 @@ def _lane(body: bytes) -> tuple | None:
     return width, height, undo, across, cache_bits, codes, bits.at + 8
 
 
+def _rest(body: bytes, at: int, found: tuple, out: np.ndarray, done: int, cache: np.ndarray) -> None:
+    """Read one lane from bit `at` of its body on: out has its first `done` pixels, cache is its colour cache."""
+    _, _, _, across, cache_bits, codes, _ = found
+    (green, g), (red, r), (blue, b), (alpha, a), (far, f) = ((t.tolist(), (1 << w) - 1) for t, w in codes)
+    body, pixels, held, total, shift = body + bytes(16), out[:done].tolist(), cache.tolist(), len(out), 32 - cache_bits
+    stop = 8 * (len(body) - 16)
+
+    def valued(symbol: int) -> int:
+        nonlocal at
+        if symbol < 4:
+            return symbol + 1
+        extra = (symbol - 2) >> 1
+        value = ((2 + (symbol & 1)) << extra) + (int.from_bytes(body[at >> 3 : (at >> 3) + 5], "little") >> (at & 7) & ((1 << extra) - 1)) + 1
+        at += extra
+        return value
+
+    while len(pixels) < total:
+        bits = int.from_bytes(body[at >> 3 : (at >> 3) + 8], "little") >> (at & 7)
+        entry = green[bits & g]
+        n, symbol = entry & 15, entry >> 4
+        if symbol < LITERALS:
+            bits >>= n
+            x = red[bits & r]
+            bits >>= x & 15
+            y = blue[bits & b]
+            bits >>= y & 15
+            z = alpha[bits & a]
+            at += n + (x & 15) + (y & 15) + (z & 15)
+            pixel = z >> 4 << 24 | x >> 4 << 16 | symbol << 8 | y >> 4
+            pixels.append(pixel)
+            held[(CACHE_FACTOR * pixel & 0xFFFFFFFF) >> shift] = pixel
+        elif symbol >= LITERALS + LENGTHS:
+            at += n
+            pixels.append(held[symbol - LITERALS - LENGTHS])
+        else:
+            at += n
+            length = valued(symbol - LITERALS)
+            entry = far[int.from_bytes(body[at >> 3 : (at >> 3) + 4], "little") >> (at & 7) & f]
+            at += entry & 15
+            back = distance_of(valued(entry >> 4), across)
+            if back > len(pixels) or len(pixels) + length > total:
+                raise ValueError("a reference leaves the image")
+            for _ in range(length):
+                pixel = pixels[-back]
+                pixels.append(pixel)
+                held[(CACHE_FACTOR * pixel & 0xFFFFFFFF) >> shift] = pixel
+        if at > stop:
+            raise ValueError("the stream ends early")
+    out[done:] = pixels[done:]
+
+
 def decode_batch(files: list[bytes]) -> list[np.ndarray]:
     """The pixels of each file.  Streams with one group of codes are read in step with each other, a token of each at a time; others one by one."""
     out: list = [None] * len(files)
@@ -802,7 +857,8 @@ def decode_batch(files: list[bytes]) -> list[np.ndarray]:
     limit = 8 * (len(data) - 16)
     # rows of the lanes' state: place of the bits, next pixel, end, first pixel, cache bits, cache, then start and mask of five tables
     state = np.zeros((16, len(lanes)), np.int64)
-    state[0] = 8 * np.cumsum([0] + [len(b) for _, b, _ in lanes])[:-1] + [f[6] for _, _, f in lanes]
+    begins_at = (8 * np.cumsum([0] + [len(b) for _, b, _ in lanes])[:-1]).tolist()
+    state[0] = np.array(begins_at) + [f[6] for _, _, f in lanes]
     pixels = np.array([f[3] * f[1] for _, _, f in lanes])
     state[2] = np.cumsum(pixels)
     state[1] = state[3] = state[2] - pixels
@@ -835,7 +891,7 @@ def decode_batch(files: list[bytes]) -> list[np.ndarray]:
         slot = (values.astype(np.int64) * CACHE_FACTOR & 0xFFFFFFFF) >> (32 - state[4, lane])
         cache[state[5, lane] + slot] = values  # of equal slots the last one stays
 
-    while state.shape[1]:
+    while state.shape[1] > ALONE:
         bits = read(state[0])
         entry = table[state[6] + (bits & state[7])]
         symbol, taken = entry >> 4, entry & 15
@@ -880,6 +936,10 @@ def decode_batch(files: list[bytes]) -> list[np.ndarray]:
         done = state[1] >= state[2]
         if done.any():
             state = state[:, ~done]
+    for k in range(state.shape[1]):
+        own = int(np.searchsorted(ends, state[2, k]))
+        at, upto, end, begin, cache_bits, place = state[:6, k].tolist()
+        _rest(lanes[own][1], at - begins_at[own], lanes[own][2], result[begin:end], upto - begin, cache[place : place + (1 << cache_bits)])
     for (i, _, (width, height, undo, *_)), a, b in zip(lanes, firsts.tolist(), ends.tolist()):
         out[i] = _samples(_inverted(result[a:b].tolist(), undo, height) if undo else result[a:b], width, height)
     return out

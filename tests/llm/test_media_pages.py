@@ -21,7 +21,9 @@ def test_every_part_of_the_format_round_trips(transforms, cache, references, til
     for height, width in ((1, 1), (5, 9), (12, 33)):
         pixels = few[draw.integers(0, 5, (height, width))]
         data = webp.encode(pixels, transforms, cache, references, tiles)
-        assert (webp.decode(data) == pixels).all() and (webp.decode_batch([data, data])[1] == pixels).all()
+        assert (webp.decode(data) == pixels).all()
+        for lanes in (1, 2 + webp.ALONE):  # read alone, and in step
+            assert (webp.decode_batch([data] * lanes)[-1] == pixels).all()
 
 
 def test_noise_round_trips():
@@ -30,6 +32,14 @@ def test_noise_round_trips():
         assert (webp.decode(webp.encode(pixels, transforms, 4, True)) == pixels).all()
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.sampled_from([b"abcd", b"abcdefgh", b"x", b"a line of text\n", b"\0\1\2\3"]), max_size=200).map(b"".join), st.integers(0, 3))
+def test_long_lanes_end_alone(text, others):
+    data = [media.payload(text.decode("latin-1"))] + [media.payload(f"{i} and {i * i}") for i in range(others * webp.ALONE)]
+    for d, pixels in zip(data, webp.decode_batch(webp.encode_batch(data))):
+        assert pixels.tobytes()[: len(d)] == d
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.binary(max_size=300), min_size=1, max_size=8))
 def test_batches_agree_with_single_images(texts):
