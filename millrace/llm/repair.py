@@ -7,8 +7,10 @@ rule's expansion length and each document's symbol count, so that any document,
 or any run of its ids, is decoded without the others.
 
 Layout, little-endian: header of 7 uint32 (magic, first nonterminal, rules,
-documents, symbols, bytes a rule side, bytes a symbol), then rules [rules, 2],
-expansion lengths uint32 [rules], symbol counts uint32 [documents], symbols.
+documents, symbols, bits of a symbol over 16, bytes of an expansion length), then
+the rules' sides, their expansion lengths, symbol counts uint32 [documents], and
+the symbols.  Sides and symbols are uint16, followed by a bit plane for each
+bit over 16.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import numpy as np
 import pandas as pd
 
 MAGIC = 0x52503031
-#: A rule takes the room of three symbols and each replacement saves one: from four occurrences on it pays.
+#: A rule takes the room of three symbols and each replacement saves one: from four occurrences on it surely pays.
 LEAST = 4
 #: Occurrences that a pair must have in the first passes, so that the most frequent pairs are replaced first.
 STEPS = (256, 32)
@@ -94,10 +96,26 @@ def compress(ids: np.ndarray, lengths: np.ndarray, first: int, least: int = LEAS
     sizes = _sizes(rules, first)
     counts = np.zeros(len(lengths), np.uint32)
     counts[lengths > 0] = np.diff(np.concatenate(([-1], np.flatnonzero(last))))
-    wide = 2 if first + len(rules) <= 1 << 16 else 4
-    kind = f"<u{wide}"
-    header = np.array([MAGIC, first, len(rules), len(lengths), len(symbols), wide, wide], "<u4")
-    return b"".join(x.tobytes() for x in (header, rules.astype(kind), sizes.astype("<u4"), counts.astype("<u4"), symbols.astype(kind)))
+    over = max(0, int(first + len(rules)).bit_length() - 16)
+    wide = 2 if sizes.max(initial=0) < 1 << 16 else 4
+    header = np.array([MAGIC, first, len(rules), len(lengths), len(symbols), over, wide], "<u4")
+    return b"".join((header.tobytes(), _planes(rules.ravel(), over), sizes.astype(f"<u{wide}").tobytes(), counts.astype("<u4").tobytes(), _planes(symbols, over)))
+
+
+def _planes(values: np.ndarray, over: int) -> bytes:
+    """The low 16 bits of values, then each of `over` higher bits as a plane."""
+    return b"".join([values.astype("<u2").tobytes(), *(np.packbits((values >> (16 + k) & 1).astype(np.uint8)).tobytes() for k in range(over))])
+
+
+def _values(data: bytes, at: int, n: int, over: int) -> tuple[np.ndarray, int]:
+    """(n values of _planes(), the place behind them)."""
+    out = np.frombuffer(data, "<u2", n, at).astype(np.uint32)
+    at += 2 * n
+    for k in range(over):
+        size = -(-n // 8)
+        out |= np.unpackbits(np.frombuffer(data, np.uint8, size, at), count=n).astype(np.uint32) << np.uint32(16 + k)
+        at += size
+    return out, at
 
 
 def _rounds(rules: np.ndarray, first: int):
@@ -122,17 +140,15 @@ class Shard:
     """Random-access reader of compress()'s bytes."""
 
     def __init__(self, data: bytes):
-        magic, self.first, n_rules, n_docs, n_symbols, wide, narrow = np.frombuffer(data, "<u4", 7).tolist()
+        magic, self.first, n_rules, n_docs, n_symbols, over, wide = np.frombuffer(data, "<u4", 7).tolist()
         if magic != MAGIC:
             raise ValueError("not a shard of token ids")
-        at = 28
-        rules = np.frombuffer(data, f"<u{wide}", 2 * n_rules, at).reshape(-1, 2)
-        at += rules.nbytes
-        self.sizes = np.frombuffer(data, "<u4", n_rules, at).astype(np.int64)
-        at += 4 * n_rules
+        rules, at = _values(data, 28, 2 * n_rules, over)
+        rules = rules.reshape(-1, 2)
+        self.sizes = np.frombuffer(data, f"<u{wide}", n_rules, at).astype(np.int64)
+        at += wide * n_rules
         self.counts = np.frombuffer(data, "<u4", n_docs, at).astype(np.int64)
-        at += 4 * n_docs
-        self.symbols = np.frombuffer(data, f"<u{narrow}", n_symbols, at)
+        self.symbols, _ = _values(data, at + 4 * n_docs, n_symbols, over)
         self.starts = np.concatenate(([0], np.cumsum(self.counts)))
         self.offsets = np.concatenate(([0], np.cumsum(self.sizes)))
         self.flat = np.empty(int(self.offsets[-1]), np.uint32)
