@@ -34,7 +34,7 @@ def with_media(docs: DataFrame) -> DataFrame:
     """docs with n_bytes, payload_bytes and media, the file of the text's payload."""
 
     def work(frames):
-        for frame in blocks(frames, "text", 8_000_000):
+        for frame in blocks(frames, "text", 2_000_000):
             sizes = [len(utf8(t)) for t in frame["text"]]
             data = [payload(t) for t in frame["text"]]
             yield frame.assign(n_bytes=sizes, payload_bytes=[len(d) for d in data], media=encode_batch(data))
@@ -59,8 +59,8 @@ def read_media(rows: DataFrame) -> DataFrame:
     def work(frames):
         for frame in frames:
             at = 0
-            while at < len(frame):  # as many files at once as hold about 8 MB
-                upto = at + max(1, int(np.searchsorted(np.cumsum(frame["payload_bytes"].to_numpy()[at:]), 8_000_000)))
+            while at < len(frame):  # as many files at once as hold about 6 MB
+                upto = at + max(1, int(np.searchsorted(np.cumsum(frame["payload_bytes"].to_numpy()[at:]), 6_000_000)))
                 part = frame.iloc[at:upto]
                 at = upto
                 out = []

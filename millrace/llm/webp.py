@@ -873,7 +873,7 @@ def decode_batch(files: list[bytes]) -> list[np.ndarray]:
                 tables.append(table)
                 size += len(table)
             state[6 + 2 * c, lane], state[7 + 2 * c, lane] = known[id(table)], (1 << width) - 1
-    table = np.concatenate(tables).astype(np.int64)
+    table = np.concatenate(tables)
     result = np.zeros(int(state[2, -1]), np.uint32)
     firsts, ends = state[3].copy(), state[2].copy()
 
@@ -893,14 +893,14 @@ def decode_batch(files: list[bytes]) -> list[np.ndarray]:
 
     while state.shape[1] > ALONE:
         bits = read(state[0])
-        entry = table[state[6] + (bits & state[7])]
+        entry = table[state[6] + (bits & state[7])].astype(np.int64)
         symbol, taken = entry >> 4, entry & 15
         state[0] += taken
         lane = np.flatnonzero(symbol < LITERALS)
         if len(lane):
             rest, used, value = bits[lane] >> taken[lane], 0, symbol[lane] << 8
             for c, shift in ((8, 16), (10, 0), (12, 24)):
-                entry = table[state[c, lane] + (rest & state[c + 1, lane])]
+                entry = table[state[c, lane] + (rest & state[c + 1, lane])].astype(np.int64)
                 rest >>= entry & 15
                 used = used + (entry & 15)
                 value |= entry >> 4 << shift
@@ -917,7 +917,7 @@ def decode_batch(files: list[bytes]) -> list[np.ndarray]:
         if len(lane):
             n, extra = valued(state[0, lane], symbol[lane] - LITERALS)
             at = state[0, lane] + extra
-            entry = table[state[14, lane] + (read(at) & state[15, lane])]
+            entry = table[state[14, lane] + (read(at) & state[15, lane])].astype(np.int64)
             back, extra = valued(at + (entry & 15), entry >> 4)
             state[0, lane] = at + (entry & 15) + extra
             near = np.flatnonzero(back <= len(NEAR))
