@@ -20,29 +20,30 @@ dedup_lines() gives its own n_lines and n_dropped.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, nested, stash
+from .common import nested, stash
 
 DEPTH, TOKENS, LEAST, SHARE = 3, 3, 6, 0.6
 #: Leaves up to which the set of them is broadcast: 16 MB of keys.
 LEAVES = 2_000_000
-SPACE = r"[\x20\x09-\x0D]+"
 FIELD = "<*>"
-
-
-def masked(token: Column) -> Column:
-    return F.when(token.rlike("[0-9]"), F.lit(FIELD)).otherwise(token)
+#: A token that holds a digit, where blanks and line ends part tokens.
+HAS_DIGIT = r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*+"
 
 
 def _lines(docs: DataFrame, tokens: int) -> DataFrame:
-    """(doc_id, body, at, line, leaf) of every line with enough tokens."""
-    rows = docs.select("doc_id", F.xxhash64("text", F.length("text")).alias("body"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    rows = rows.withColumn("n", F.regexp_count("line", F.lit(WORD))).filter(F.col("n") >= tokens)
-    head = F.split(F.regexp_replace("line", "^" + SPACE, ""), SPACE, DEPTH + 1)
-    leading = [masked(F.get(head, F.lit(i))) for i in range(DEPTH)]
-    return rows.select("doc_id", "body", "at", "line", F.xxhash64("n", *leading).alias("leaf"))
+    """(doc_id, body, at, tokens, leaf) of every line with enough tokens, tokens with digits as FIELD.
+
+    White space and digits are dealt with once a text, so that a line is split at single blanks.
+    """
+    body = F.xxhash64("text", F.length("text")).alias("body")
+    plain = F.regexp_replace(F.translate("text", "\t\x0b\x0c\r", "    "), HAS_DIGIT, FIELD)
+    rows = docs.select("doc_id", body, F.posexplode(F.split(plain, "\n")).alias("at", "line"))
+    rows = rows.select("doc_id", "body", "at", F.array_remove(F.split("line", " "), "").alias("tokens")).filter(F.size("tokens") >= tokens)
+    leading = [F.get("tokens", F.lit(i)) for i in range(DEPTH)]
+    return rows.select("doc_id", "body", "at", "tokens", F.xxhash64(F.size("tokens"), *leading).alias("leaf"))
 
 
 def recurring_lines(docs: DataFrame, tokens: int = TOKENS, least: int = LEAST, share: float = SHARE) -> DataFrame:
@@ -50,8 +51,7 @@ def recurring_lines(docs: DataFrame, tokens: int = TOKENS, least: int = LEAST, s
     lines = _lines(docs, tokens)
     leaves = stash(lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("leaf"), "leaves")
     known = F.broadcast(leaves) if leaves.count() <= LEAVES else leaves
-    lines = lines.join(known, "leaf").withColumn("tokens", F.transform(F.regexp_extract_all("line", F.lit(f"({WORD})")), masked))
-    lines = stash(lines.select("doc_id", "body", "at", "leaf", "tokens", F.xxhash64("tokens").alias("key")), "lines")
+    lines = stash(lines.join(known, "leaf").select("doc_id", "body", "at", "leaf", "tokens", F.xxhash64("tokens").alias("key")), "lines")
     kinds = lines.groupBy("leaf", "key", "tokens").agg(F.count(F.lit(1)).alias("n"))
     places = stash(kinds.select("leaf", "key", "n", F.posexplode("tokens").alias("place", "token")), "places")
     fixed = places.filter(F.col("token") != FIELD).groupBy("leaf", "place", "token").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
