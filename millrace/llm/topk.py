@@ -7,8 +7,12 @@ term (dimension).  The bound of a block for a query is the sum over terms of
 the larger of weight * largest and weight * smallest.  Each query visits the
 blocks of a tile by falling bound and stops when the next bound is below its
 k-th score so far; equal bounds are still visited, since ties go to the
-smaller id.  Queries go to the tiles in batches, and Spark merges the tiles'
-results.
+smaller id.
+
+A query is searched in its home tile first.  The k-th score found there is
+its floor in all other tiles, which drop every block whose bound is below it
+at once.  Queries go to the other tiles in batches, so that a task holds one
+tile and one batch; Spark merges the tiles' results.
 
 Edge cases: vectors that are null or hold null or non-finite components take
 no part, nor do rows without id; a query meets vectors of its own length only,
@@ -24,7 +28,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-K, BLOCK, TILE, BATCH, PIVOTS = 5, 64, 16_384, 1_024, 128
+from .common import stash
+
+K, BLOCK, TILE, BATCH, PIVOTS = 5, 64, 16_384, 16_384, 128
+#: Queries of a batch that are searched together; bounds their matrix of bounds.
+TOGETHER = 1_024
 
 
 def quantised(vector: Column, scale: int = 256) -> Column:
@@ -57,8 +65,11 @@ def _exact(a: np.ndarray, b: np.ndarray) -> bool:
     return a.size == 0 or b.size == 0 or a.shape[-1] * float(np.abs(a).max()) * float(np.abs(b).max()) < 2**52
 
 
-def search(tile: Tile, ids: np.ndarray, queries: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(query row, vec_id, score) of the k best of the tile for each query, and the number of blocks scored."""
+def search(tile: Tile, ids: np.ndarray, queries: np.ndarray, k: int = K, floors: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(query row, vec_id, score) of the k best of the tile for each query, and the number of blocks scored.
+
+    With floors, rows that score below a query's floor needn't be found.
+    """
     kind = np.float64 if _exact(queries, tile.rows) else np.int64
     q, rows = queries.astype(kind), tile.rows.astype(kind)
     bound = np.maximum(q, 0) @ tile.most.astype(kind).T + np.minimum(q, 0) @ tile.least.astype(kind).T
@@ -67,10 +78,11 @@ def search(tile: Tile, ids: np.ndarray, queries: np.ndarray, k: int = K) -> tupl
     best_score = np.full((len(q), k), floor)
     best_id = np.full((len(q), k), np.iinfo(np.int64).max)
     active, scored = np.arange(len(q)), 0
+    floors = np.full(len(q), floor) if floors is None else floors
     for step in range(order.shape[1]):
         block = order[active, step]
         # a query whose next bound is below its k-th score is done
-        go = bound[active, block] >= best_score[active, -1]
+        go = bound[active, block] >= np.maximum(best_score[active, -1], floors[active])
         active, block = active[go], block[go]
         if not len(active):
             break
@@ -98,22 +110,39 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, block: int = BLOCK,
     rows = vectors.filter("vec_id is not null and v is not null").withColumn("q", is_query)
     n, m = rows.agg(F.count(F.lit(1)), F.count_if("q")).first()
     tiles, batches = max(1, -(-n // tile)), max(1, -(-m // batch))
-    of = lambda parts, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(parts)).cast("int")
-    # the query set meets all rows, tile by tile and batch by batch
-    data = rows.select(of(tiles, 1).alias("tile"), F.explode(F.sequence(F.lit(0), F.lit(batches - 1))).alias("batch"), F.size("v").alias("dim"), "vec_id", "v")
-    asked = rows.filter("q").select(F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile"), of(batches, 2).alias("batch"), F.size("v").alias("dim"), F.col("vec_id").alias("query_id"), "v").distinct()
+    of = lambda name, parts, salt: F.pmod(F.xxhash64(name, F.lit(salt)), F.lit(parts)).cast("int")
+    rows = rows.select(of("vec_id", tiles, 1).alias("home"), F.size("v").alias("dim"), "vec_id", "v", "q")
+    asked = rows.filter("q").select("home", "dim", F.col("vec_id").alias("query_id"), F.xxhash64("v").alias("query"), "v").distinct()
+    data = rows.select(F.col("home").alias("tile"), "dim", "vec_id", "v")
 
     def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "query": [], "vec_id": [], "score": []})
         left = left.sort_values("vec_id", kind="stable")
         made = Tile(left["vec_id"].to_numpy(np.int64), np.stack(left["v"].to_numpy()).astype(np.int64), block)
-        ids = right["query_id"].to_numpy(np.int64)
-        row, found, score, _ = search(made, ids, np.stack(right["v"].to_numpy()).astype(np.int64), k)
-        return pd.DataFrame({"query_id": ids[row], "query": right["query"].to_numpy()[row], "vec_id": found, "score": score})
-
-    asked = asked.withColumn("query", F.xxhash64("v"))
-    keys = ["tile", "batch", "dim"]
-    found = data.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(work, "query_id long, query long, vec_id long, score long")
+        parts = []
+        for start in range(0, len(right), TOGETHER):
+            part = right.iloc[start : start + TOGETHER]
+            ids = part["query_id"].to_numpy(np.int64)
+            floors = part["floor"].to_numpy(np.int64)
+            row, found, score, _ = search(made, ids, np.stack(part["v"].to_numpy()).astype(np.int64), k, floors)
+            parts.append(pd.DataFrame({"query_id": ids[row], "query": part["query"].to_numpy()[row], "vec_id": found, "score": score}))
+        return pd.concat(parts)
+
+    def searched(data: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
+        asked = asked.select([F.expr(c).alias(c) for c in ("tile", "batch", "dim", "query_id", "query", "v", "floor")])  # columns apart from data's
+        return data.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(work, "query_id long, query long, vec_id long, score long")
+
+    least = F.lit(-(2**63)).cast("long")
+    at_home = searched(data, asked.withColumns({"tile": F.col("home"), "batch": F.lit(0), "floor": least}), ["tile", "dim"])
+    found = at_home
+    if tiles > 1:
+        # the query set meets all other tiles, batch by batch
+        at_home = stash(at_home, "home")
+        kth = at_home.groupBy("query_id", "query").agg(F.min("score").alias("kth"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k)
+        away = asked.join(kth, ["query_id", "query"], "left").withColumn("floor", F.coalesce("kth", least)).withColumn("batch", of("query_id", batches, 2))
+        away = away.withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).filter(F.col("tile") != F.col("home"))
+        data = data.withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(batches - 1))))
+        found = at_home.unionByName(searched(data, away, ["tile", "batch", "dim"]))
     best = W.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
