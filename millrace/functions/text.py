@@ -5,8 +5,10 @@ Word and letter classes are Unicode, white space is ASCII.  Case folding is lowe
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The declared unit of token counts: a run of letters and digits, or any other visible character.
 TOKEN = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
@@ -106,3 +108,37 @@ def significant(x: Column, digits: int = 6) -> Column:
     """x to so many significant figures."""
     scale = F.pow(F.lit(10.0), digits - 1 - F.floor(F.log10(F.abs(x))))
     return F.when((x == 0) | x.isNull() | F.isnan(x), x).otherwise(F.rint(x * scale) / scale)
+
+
+def safe_filename(name: Column, suffix: str = ".pdf") -> Column:
+    return F.concat(F.regexp_replace(name, "[^A-Za-z0-9._-]+", "_"), F.lit(suffix))
+
+
+def mended_latex(text: Column) -> Column:
+    """With one backslash for two before a command or delimiter; row breaks with a spacing stay."""
+    return F.regexp_replace(text, r"\\\\(?=[a-zA-Z|{}()\]]|\[\s*[^\d\s])", r"\\")
+
+
+def fenced_code(text: Column, language: str) -> Column:
+    """The first fenced block of a language, trimmed; empty if there is none."""
+    return trimmed(F.regexp_extract(text, rf"(?is)```{language}\s*\n(.*?)```", 1))
+
+
+def instructed(query: Column, instruction: str) -> Column:
+    return F.concat(F.lit(f"Instruct: {instruction}\nQuery:"), query)
+
+
+def user_prompt(prompt: Column, language: Column, max_words: Column) -> Column:
+    """A prompt with its constraints; null language is English, null max_words no limit."""
+    limit = F.coalesce(F.concat(F.lit("\n- Maximum length: "), max_words.cast("string"), F.lit(" words")), F.lit(""))
+    return F.concat(prompt, F.lit("\n\nResponse constraints:\n- Language: "), F.coalesce(language, F.lit("English")), limit)
+
+
+@F.pandas_udf(T.StringType())
+def _nfkc(text: pd.Series) -> pd.Series:
+    return text.str.normalize("NFKC")
+
+
+def compatible(text: Column) -> Column:
+    """NFKC, lower case, hyphens as blanks, white space collapsed and trimmed."""
+    return trimmed(for_matching(_nfkc(text)))

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .dedup import checkpointed
 
 
 def stratified_split(docs: DataFrame, percent: float = 1.0) -> DataFrame:
@@ -24,6 +25,25 @@ def stratified_split(docs: DataFrame, percent: float = 1.0) -> DataFrame:
     return docs.join(valid.select("pool", "doc_key", F.lit("valid").alias("split")), ["pool", "doc_key"], "left").withColumn("split", F.coalesce("split", F.lit("train")))
 
 
+def places(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """rows with place, from 1, in their group by order, and the group's size.
+
+    Rows are dealt to ranges of (group, order); a place is a prefix count of
+    the ranges before and the rank within the range, so a group of any size
+    spreads over tasks.  The ranges are checkpointed: both sides of the join
+    must see the same ones.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = checkpointed(rows.repartitionByRange(parts, group, *order).select("*", F.spark_partition_id().alias("_part")))
+    counts = ranged.groupBy("_part", F.col(group).alias("_group")).agg(F.count(F.lit(1)).alias("_n"))
+    whole = W.partitionBy("_group")
+    before = F.coalesce(F.sum("_n").over(whole.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(F.col("_part").alias("_of"), "_group", before.alias("_before"), F.sum("_n").over(whole).alias("size"))
+    rank = F.row_number().over(W.partitionBy("_part", group).orderBy(*order))
+    ranked = ranged.withColumn("_rank", rank).join(counts, (F.col("_part") == F.col("_of")) & F.col(group).eqNullSafe(F.col("_group")))
+    return ranked.withColumn("place", F.col("_before") + F.col("_rank")).drop("_part", "_of", "_group", "_before", "_rank")
+
+
 def top_per_group(rows: DataFrame, group: str, order: list, n: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(W.partitionBy(group).orderBy(*order))).filter(F.col("rank") <= n)
 

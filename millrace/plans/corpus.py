@@ -167,11 +167,9 @@ def stable_split(spark, sf_dir):
 SELECT lang, doc_id, CAST(row_number() OVER (PARTITION BY lang ORDER BY k, doc_id) AS INTEGER) AS place FROM h""")
 def stable_shuffle(spark, sf_dir):
     """The place of every document in a hash-ordered shuffle of its language."""
-    from pyspark.sql import Window as W
-
     key = X.stable_key(F.concat(F.lit("train:"), F.coalesce(X.text_hash(F.col("text")), F.lit(""))))
     rows = table(spark, sf_dir, "documents").select("lang", "doc_id", key.alias("k"))
-    return rows.select("lang", "doc_id", F.row_number().over(W.partitionBy("lang").orderBy("k", "doc_id")).alias("place"))
+    return sampling.places(rows, "lang", ["k", "doc_id"]).select("lang", "doc_id", F.col("place").cast("int").alias("place"))
 
 
 @book.query("SELECT source, doc_id, n_chars, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM documents) WHERE r <= 5")
@@ -328,7 +326,5 @@ def tool_need(spark, sf_dir):
 @book.query("""SELECT doc_id, source, k FROM (SELECT doc_id, source, k, row_number() OVER (PARTITION BY source ORDER BY k, doc_id) AS r FROM (SELECT doc_id, source, left(sha256(CAST(doc_id AS VARCHAR)), 16) AS k FROM documents)) WHERE r % 10 = 0""")
 def modulo_split(spark, sf_dir):
     """Every tenth document of each source in hash order."""
-    from pyspark.sql import Window as W
-
     rows = table(spark, sf_dir, "documents").select("doc_id", "source", X.stable_key(F.col("doc_id").cast("string")).alias("k"))
-    return rows.withColumn("r", F.row_number().over(W.partitionBy("source").orderBy("k", "doc_id"))).filter("r % 10 = 0").drop("r")
+    return sampling.places(rows, "source", ["k", "doc_id"]).filter("place % 10 = 0").select("doc_id", "source", "k")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import corpus, relational, search, tools
+from . import corpus, records, relational, search, tools
 
 QUERIES: dict = {}
 SQL: dict = {}
-for _module in (corpus, search, tools, relational):
+for _module in (corpus, search, tools, relational, records):
     QUERIES |= _module.book.queries
     SQL |= _module.book.sql

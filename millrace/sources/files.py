@@ -27,6 +27,19 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, strict: boo
     return spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
 
 
+def union_chunks(spark: SparkSession, paths: list[str], kind: str = "json") -> DataFrame:
+    """Rows with text of the chunk files that exist, with the file's name as chunk_file; columns that a file lacks are null."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    there = [p for p in paths if (path := hadoop.Path(p)).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)]
+    if not there:
+        raise FileNotFoundError(f"none of {paths} exists")
+    parts = [spark.read.format(kind).load(p).filter("length(text) > 0").withColumn("chunk_file", F.lit(posixpath.basename(p))) for p in there]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
 def read_numbered(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(rows, errors): rows have _file, _line and record; errors name file:line of blank, malformed and non-object lines.
 
