@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,11 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where that is unset (tests, a single machine) a temporary folder is
-    made and registered.
+    Only where that is unset on a single machine (master local) a temporary
+    folder is made and registered; on a cluster that is an error.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="millrace-")
         atexit.register(shutil.rmtree, found, True)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -58,6 +62,27 @@ def nested(df: DataFrame) -> DataFrame:
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
 
 
+def _id_text(kind: T.DataType) -> T.DataType:
+    return T.ArrayType(T.StringType()) if isinstance(kind, T.ArrayType) else T.StringType()
+
+
+def ids_as_text(df: DataFrame, ids: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """df with the named ids, longs or arrays of them, as text.
+
+    pandas turns a long column that holds a null into float64, which rounds
+    ids beyond 2^53; text comes through unchanged.
+    """
+    return df.select(*[F.col(f"`{f.name}`").cast(_id_text(f.dataType)).alias(f.name) if f.name in ids else F.col(f"`{f.name}`") for f in df.schema])
+
+
+def map_batches(df: DataFrame, work: Callable, schema: str | T.StructType, ids: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """df.mapInPandas(work, schema) in which the named ids are text on both sides of work, and longs again outside."""
+    fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    inner = T.StructType([T.StructField(f.name, _id_text(f.dataType)) if f.name in ids else f for f in fields])
+    out = ids_as_text(df, ids).mapInPandas(work, inner)
+    return out.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) if f.name in ids else F.col(f"`{f.name}`") for f in fields])
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

@@ -7,7 +7,7 @@ kept by line ends.  No shuffle.
 
 Edge cases: null and empty html give empty text; a page without article
 blocks gives empty text; repeated rows are labelled each; an empty table gives
-an empty result.
+an empty result; other columns than page_id, url and html aren't read.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import blocks
+from .common import blocks, map_batches
 from .labeller import features, trained
 from .pages import blocks_of
 
@@ -31,4 +31,4 @@ def extract(pages: DataFrame) -> DataFrame:
             text = ["\n".join(b.text for b, o in zip(f, s) if o > 0) for f, s in zip(found, odds)]
             yield pd.DataFrame({"page_id": frame["page_id"].to_numpy(), "url": frame["url"].to_numpy(), "text": text, "n_chars": [len(t) for t in text]})
 
-    return pages.select("page_id", "url", "html").mapInPandas(work, "page_id long, url string, text string, n_chars long")
+    return map_batches(pages.select("page_id", "url", "html"), work, "page_id long, url string, text string, n_chars long", ("page_id",))

@@ -12,9 +12,9 @@ are broadcast while they are few (LEAVES) and joined by shuffle beyond that.
 
 Edge cases: lines of fewer than TOKENS tokens always stay; null texts stay
 null, empty ones empty; exact copies of a text count once, so copies alone
-don't make their lines recur; rows without doc_id count as holders but never
-keep a template; repeated rows lose the same lines; an empty table gives an
-empty result; extra columns are carried along, whatever their names, but that
+don't make their lines recur; rows without doc_id count as holders and keep a
+template only where no holder has an id (then the smallest text hash does);
+repeated rows lose the same lines; an empty table gives an empty result; extra columns are carried along, whatever their names, but that
 dedup_lines() gives its own n_lines and n_dropped.
 """
 
@@ -47,7 +47,7 @@ def _lines(docs: DataFrame, tokens: int) -> DataFrame:
 
 
 def recurring_lines(docs: DataFrame, tokens: int = TOKENS, least: int = LEAST, share: float = SHARE) -> DataFrame:
-    """(doc_id, body, at, template, keeper): lines whose template recurs, and the document that keeps it."""
+    """(doc_id, body, at, template, keeper): lines whose template recurs, and the document that keeps it: (none, doc_id, body), the smallest doc_id, or without any the smallest body."""
     lines = _lines(docs, tokens)
     leaves = stash(lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("leaf"), "leaves")
     known = F.broadcast(leaves) if leaves.count() <= LEAVES else leaves
@@ -61,14 +61,15 @@ def recurring_lines(docs: DataFrame, tokens: int = TOKENS, least: int = LEAST, s
     templates = marked.groupBy("leaf", "key").agg(F.concat_ws(" ", F.transform(parts, lambda p: p["token"])).alias("template"), F.avg(F.when(F.col("fixed"), 1.0).otherwise(0.0)).alias("share"))
     templates = stash(templates.filter(F.col("share") >= share).select("leaf", "key", "template"), "templates")
     found = stash(lines.join(templates, ["leaf", "key"]).select("doc_id", "body", "at", "template"), "found")
-    held = found.groupBy("template", "body").agg(F.min("doc_id").alias("doc_id")).groupBy("template").agg(F.count(F.lit(1)).alias("texts"), F.min("doc_id").alias("keeper"))
+    held = found.groupBy("template", "body").agg(F.min("doc_id").alias("doc_id")).groupBy("template").agg(F.count(F.lit(1)).alias("texts"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body")).alias("keeper"))
     held = stash(held.filter(F.col("texts") >= least).select("template", "keeper"), "held")
     return found.join(held, "template")
 
 
 def _split(docs: DataFrame, tokens: int, least: int, share: float) -> DataFrame:
     """(row, text, n_lines, n_dropped): every row of docs as a struct, its text without dropped lines, and counts of its non-blank lines."""
-    gone = recurring_lines(docs, tokens, least, share).filter(~F.coalesce(F.col("doc_id") == F.col("keeper"), F.lit(False)))
+    keeps = F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("doc_id").isNotNull() | (F.col("body") == F.col("keeper.body")))
+    gone = recurring_lines(docs, tokens, least, share).filter(~keeps)
     gone = gone.groupBy(F.col("doc_id").alias("id"), F.col("body").alias("own")).agg(F.collect_set("at").alias("gone"))
     rows = nested(docs).withColumn("body", F.xxhash64("row.text", F.length("row.text")))
     rows = rows.join(gone, F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("body") == F.col("own")), "left")

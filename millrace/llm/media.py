@@ -6,7 +6,8 @@ doesn't fill its rectangle the rest is zero pixels, and payload_bytes says
 where it ends.  Work stays within the row: no shuffle.
 
 Edge cases: null and empty texts give 64 zero bytes; repeated rows are stored
-each; an empty table gives an empty result.
+each; an empty table gives an empty result; other columns go through
+with_media() unchanged and aren't read by read_media().
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import blocks, utf8
+from .common import blocks, map_batches, utf8
 from .webp import decode_batch, encode_batch
 
 UNIT = 64
@@ -31,7 +32,7 @@ def payload(text) -> bytes:
 
 
 def with_media(docs: DataFrame) -> DataFrame:
-    """docs with n_bytes, payload_bytes and media, the file of the text's payload."""
+    """docs with n_bytes, payload_bytes and media, the file of the text's payload, in place of columns of these names."""
 
     def work(frames):
         for frame in blocks(frames, "text", 2_000_000):
@@ -40,7 +41,9 @@ def with_media(docs: DataFrame) -> DataFrame:
             yield frame.assign(n_bytes=sizes, payload_bytes=[len(d) for d in data], media=encode_batch(data))
 
     fields = [T.StructField("n_bytes", T.LongType()), T.StructField("payload_bytes", T.LongType()), T.StructField("media", T.BinaryType())]
-    return docs.mapInPandas(work, T.StructType([*docs.schema.fields, *fields]))
+    docs = docs.drop(*[f.name for f in fields])
+    longs = tuple(f.name for f in docs.schema if isinstance(f.dataType, T.LongType))
+    return map_batches(docs, work, T.StructType([*docs.schema.fields, *fields]), longs)
 
 
 def feature(pixels: np.ndarray) -> str:
@@ -66,8 +69,7 @@ def read_media(rows: DataFrame) -> DataFrame:
                 out = []
                 for doc, n, size, media, pixels in zip(part["doc_id"], part["n_bytes"], part["payload_bytes"], part["media"], decode_batch(list(part["media"]))):
                     back = pixels.tobytes()[:size]
-                    doc = None if pd.isna(doc) else int(doc)
                     out.append((doc, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature(pixels)))
                 yield pd.DataFrame(out, columns=schema.replace(",", "").split()[::2])
 
-    return rows.select("doc_id", "n_bytes", "payload_bytes", "media").mapInPandas(work, schema)
+    return map_batches(rows.select("doc_id", "n_bytes", "payload_bytes", "media"), work, schema)

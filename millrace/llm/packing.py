@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, stash
+from .common import blocks, ids_as_text, map_batches, stash
 from .tokens import encoder
 
 ROOM = 4096
@@ -45,9 +45,9 @@ def pieces(docs: DataFrame, name: str = "word_bpe_49k.json", end_id: int = END,
             length = np.minimum(room, sizes[doc] - piece * room)
             place = 4 * ((np.cumsum(sizes) - sizes)[doc] + piece * room)
             crc = [zlib.crc32(data[a:b]) for a, b in zip(place.tolist(), (place + 4 * length).tolist())]
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None)[doc], "piece": piece, "start": piece * room, "length": length, "ids_crc32": crc}).astype({"doc_id": "Int64"})
+            yield pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(dtype=object)[doc], "piece": piece, "start": piece * room, "length": length, "ids_crc32": crc})
 
-    return docs.select("doc_id", "text").mapInPandas(work, "doc_id long, piece long, start long, length long, ids_crc32 long")
+    return map_batches(docs.select("doc_id", "text"), work, "doc_id long, piece long, start long, length long, ids_crc32 long")
 
 
 def best_fit(lengths: list[int], room: int) -> list[list[int]]:
@@ -73,14 +73,15 @@ def best_fit(lengths: list[int], room: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], lengths: list[int], room: int, rounds: int = 8) -> list[list[int]]:
-    """Local search over the underfull bins; ends at the lower bound, or when a round moves nothing."""
+def improve(bins: list[list[int]], lengths: list[int], room: int) -> list[list[int]]:
+    """Local search over the underfull bins; ends at the lower bound, or when a round moves nothing.
+
+    Every exchange raises the squared fill, so the search ends.
+    """
     least = -(-sum(lengths) // room)
     full = [b for b in bins if sum(lengths[i] for i in b) == room]
     loose = [b for b in bins if sum(lengths[i] for i in b) < room]
-    for _ in range(rounds):
-        if len(full) + len(loose) <= least:
-            break
+    while len(full) + len(loose) > least:
         loose.sort(key=lambda b: sum(lengths[i] for i in b))
         moved = False
         # as many of the emptiest bins as are over the bound give their pieces to the fuller ones
@@ -137,15 +138,20 @@ def pack_group(frame: pd.DataFrame, room: int = ROOM) -> pd.DataFrame:
 
 
 def pack(rows: DataFrame, room: int = ROOM, group: int = GROUP) -> DataFrame:
-    """rows of pieces() with sequence_id and offset."""
-    rows = stash(rows, "pieces")
+    """rows of pieces() with sequence_id and offset.
+
+    Rows are numbered when they are written, and dealt to groups by number, so
+    that equal rows spread over groups like any others.
+    """
     names = rows.columns
-    schema = T.StructType([*rows.schema.fields, *(T.StructField(c, T.LongType()) for c in ("group", "sequence_id", "offset", "fill"))])
+    rows = stash(rows.withColumn("number", F.monotonically_increasing_id()), "pieces")
+    longs = T.StructType([T.StructField(c, T.LongType()) for c in ("group", "sequence_id", "offset", "fill")])
+    schema = T.StructType([*ids_as_text(rows).schema.fields, *longs.fields])
 
     def deal(df: DataFrame, first: int) -> tuple[DataFrame, int]:
         n = max(1, df.count() // group)
-        dealt = df.select(*names, (F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(n)) + first).alias("group"))
-        return dealt.groupBy("group").applyInPandas(lambda f: pack_group(f, room), schema), first + n
+        dealt = ids_as_text(df.select(*names, "number", (F.pmod(F.xxhash64("number", F.lit(first)), F.lit(n)) + first).alias("group")))
+        return dealt.groupBy("group").applyInPandas(lambda f: pack_group(f, room), schema).withColumn("doc_id", F.col("doc_id").cast("long")), first + n
 
     once, groups = deal(rows, 0)
     once = stash(once, "packed")

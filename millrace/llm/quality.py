@@ -45,7 +45,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import blocks as runs
-from .common import checkpointed, nested, shared_dir, stash, utf8
+from .common import checkpointed, ids_as_text, nested, shared_dir, stash, utf8
 from .kneser_ney import ALPHABET, BITS, ORDER, counts_of_counts, discounts, grams, levels, logs
 
 __all__ = ["ALPHABET", "BITS", "ORDER", "classify", "grams", "kept_documents"]
@@ -63,7 +63,7 @@ LOW, HIGH, MARGIN, BIN = 0.002, 0.99, 0.2, 0.001
 #: One in so many trusted documents is held back from training.
 HELD = 5
 
-BLOCKS = "block long, lang string, ids array<long>, bodies array<long>, trusted binary, held binary, sizes binary, texts binary, grams binary, counts binary, n_grams long"
+BLOCKS = "block long, lang string, ids array<string>, bodies array<long>, trusted binary, held binary, sizes binary, texts binary, grams binary, counts binary, n_grams long"
 
 
 def packed(values: np.ndarray, level: int = 3) -> bytes:
@@ -100,9 +100,8 @@ def _blocks(docs: DataFrame) -> DataFrame:
             parts.append(_summed([(found, np.repeat((part["trusted"] & ~part["held"]).to_numpy(np.int64), sizes))]))
         g, n = _summed(parts)
         texts = [utf8(t) for t in frame["text"]]
-        ids = [None if pd.isna(x) else int(x) for x in frame["doc_id"]]
         return pd.DataFrame({
-            "block": [TaskContext.get().partitionId() << 32 | number], "lang": [lang], "ids": [ids], "bodies": [frame["body"].to_numpy(np.int64)],
+            "block": [TaskContext.get().partitionId() << 32 | number], "lang": [lang], "ids": [frame["doc_id"].tolist()], "bodies": [frame["body"].to_numpy(np.int64)],
             "trusted": [frame["trusted"].to_numpy(bool).tobytes()], "held": [frame["held"].to_numpy(bool).tobytes()], "sizes": [packed(np.array([len(t) for t in texts], np.int64))],
             "texts": [zstandard.ZstdCompressor(9).compress(b"".join(texts))], "grams": [packed(g)], "counts": [packed(n)], "n_grams": [len(g)],
         })
@@ -126,7 +125,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
 
     session, name = docs.sparkSession, f"quality_blocks_{uuid.uuid4().hex}"
     parts = int(session.conf.get("spark.sql.shuffle.partitions"))
-    docs.mapInPandas(work, BLOCKS).write.bucketBy(parts, "block").option("path", f"{shared_dir(session)}/{name}").saveAsTable(name)
+    ids_as_text(docs).mapInPandas(work, BLOCKS).write.bucketBy(parts, "block").option("path", f"{shared_dir(session)}/{name}").saveAsTable(name)
     return session.table(name)
 
 
@@ -220,7 +219,7 @@ def scores(docs: DataFrame) -> DataFrame:
                     upto = np.cumsum(n)
                     nll.append(np.where(n > 0, total[upto] - total[upto - n], np.nan))
             out.append(pd.DataFrame({
-                "doc_id": pd.array(ids, "Int64"), "body": np.asarray(bodies), "lang": lang, "trusted": np.frombuffer(trusted, bool), "held": np.frombuffer(held, bool),
+                "doc_id": ids, "body": np.asarray(bodies), "lang": lang, "trusted": np.frombuffer(trusted, bool), "held": np.frombuffer(held, bool),
                 "chars": np.concatenate(chars), "nll": pd.Series(np.concatenate(nll) if nll else np.full(len(ids), np.nan)).astype("Float64"),
             }))
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame({c: [] for c in ("doc_id", "body", "lang", "trusted", "held", "chars", "nll")})
@@ -228,8 +227,8 @@ def scores(docs: DataFrame) -> DataFrame:
     blocks = _blocks(docs)
     known = stash(_trusted_counts(blocks).withColumn("d", F.shiftright("g", BITS).bitwiseAND(F.lit(ALPHABET - 1))), "trusted-counts")
     found = answers(blocks, known)
-    schema = "doc_id long, body long, lang string, trusted boolean, held boolean, chars long, nll double"
-    return blocks.drop("counts", "n_grams").groupBy("block").cogroup(found.groupBy("block")).applyInPandas(work, schema)
+    schema = "doc_id string, body long, lang string, trusted boolean, held boolean, chars long, nll double"
+    return blocks.drop("counts", "n_grams").groupBy("block").cogroup(found.groupBy("block")).applyInPandas(work, schema).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, stash, utf8
+from .common import checkpointed, map_batches, stash, utf8
 from .components import components
 
 RADIUS = 2
@@ -83,7 +83,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = SEED) -> DataFra
         for frame in frames:
             yield pd.DataFrame({"doc_id": frame["doc_id"], "fp": np.array([fingerprint(shingle_hashes(utf8(t), shingle, seed)) for t in frame["text"]], np.int64)})
 
-    return docs.select("doc_id", "text").mapInPandas(work, "doc_id long, fp long")
+    return map_batches(docs.select("doc_id", "text"), work, "doc_id long, fp long")
 
 
 def hits(fps: np.ndarray, radius: int = RADIUS) -> np.ndarray:
@@ -229,7 +229,7 @@ def sketches(docs: DataFrame, shingle: int = COPY_SHINGLE, similar: float = SIMI
                 rows.append((_set_key(found), n, wide_fingerprint(found), found[:most].view(np.int64)))
             yield pd.DataFrame(rows, columns=["node", "size", "words", "keys"]).assign(doc_id=frame["doc_id"].to_numpy(), body=frame["body"].to_numpy())[["doc_id", "body", "node", "size", "words", "keys"]]
 
-    return docs.select("doc_id", "body", "text").mapInPandas(work, "doc_id long, body long, node string, size long, words array<long>, keys array<long>")
+    return map_batches(docs.select("doc_id", "body", "text"), work, "doc_id long, body long, node string, size long, words array<long>, keys array<long>")
 
 
 def spanning(words: np.ndarray, sizes: np.ndarray, radius: int, similar: float) -> list[tuple[int, int]]:

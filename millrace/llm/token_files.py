@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import blocks, stash
+from .common import blocks, ids_as_text, map_batches, stash
 from .repair import Shard, compress
 from .tokens import encoder
 
@@ -44,11 +44,10 @@ def write_shards(docs: DataFrame, name: str = "byte_bpe_50k.json", end_id: int =
         for frame in blocks(frames, "text"):
             ids, sizes = encode(frame["text"].fillna("").tolist())
             ids, sizes = np.insert(ids, np.cumsum(sizes), end_id), (sizes + 1).astype(np.int32)
-            docs = [None if pd.isna(x) else int(x) for x in frame["doc_id"]]
-            yield pd.DataFrame({"part": [int(frame["part"].iloc[0])], "seq": [seq], "ids": [docs], "n_tokens": [sizes], "shard": [compress(ids, sizes, first)]})
+            yield pd.DataFrame({"part": [int(frame["part"].iloc[0])], "seq": [seq], "ids": [frame["doc_id"].tolist()], "n_tokens": [sizes], "shard": [compress(ids, sizes, first)]})
             seq += 1
 
-    return stash(ordered.withColumn("part", F.spark_partition_id()).mapInPandas(work, SHARDS), "token-shards")
+    return stash(map_batches(ordered.withColumn("part", F.spark_partition_id()), work, SHARDS, ("doc_id", "ids")), "token-shards")
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
@@ -61,9 +60,10 @@ def read_shards(shards: DataFrame) -> DataFrame:
 
     def work(frames):
         for frame in frames:
-            for start, docs, shard in zip(frame["start"], frame["ids"], frame["shard"]):
+            for start, docs, shard in zip(frame["start"], frame["docs"], frame["shard"]):
                 ids = Shard(shard).documents()
                 sizes = np.array([len(x) for x in ids], np.int64)
-                yield pd.DataFrame({"doc_id": pd.array(docs, "Int64"), "start": start + np.cumsum(sizes) - sizes, "n_tokens": sizes, "ids": [x.astype("<u4").tobytes() for x in ids]})
+                yield pd.DataFrame({"doc_id": docs, "start": start + np.cumsum(sizes) - sizes, "n_tokens": sizes, "ids": [x.astype("<u4").tobytes() for x in ids]})
 
-    return shards.select("part", "seq", "ids", "shard").join(starts, ["part", "seq"]).mapInPandas(work, "doc_id long, start long, n_tokens long, ids binary")
+    rows = ids_as_text(shards.select("part", "seq", "ids", "shard").join(starts, ["part", "seq"]).select("start", F.col("ids").alias("docs"), "shard"), ("docs",))
+    return map_batches(rows, work, "doc_id long, start long, n_tokens long, ids binary")
