@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import extraction, lines, media, mixing, packing, quality, simhash, substring, token_files, topk
+from . import clusters, extraction, lines, media, mixing, negatives, packing, quality, simhash, substring, token_files, topk
 from .common import table
 
 
@@ -66,7 +66,43 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_line_dedup, op3_source_mixing, op4_simhash_near_dedup, op5_html_extraction, op6_webp_media, op7_repair_token_ids, op8_quality_classifier, op9_best_fit_packing, op10_substring_dedup)}
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor (vec_id divisible by 100) and each of its 5 positives; labels of every seventh id are shifted."""
+    rows = negatives.usable(table(spark, sf_dir, "embeddings"))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
+    return negatives.hard_negatives(rows.select("vec_id", label.alias("label"), topk.quantised(F.col("embedding")).alias("v")), F.col("vec_id") % 100 == 0)
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster and squared distance of each vector after 5 rounds from 40 hashed seeds."""
+    found = clusters.cluster(clusters.kept_vectors(table(spark, sf_dir, "embeddings")))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_line_dedup, op3_source_mixing, op4_simhash_near_dedup, op5_html_extraction, op6_webp_media, op7_repair_token_ids, op8_quality_classifier, op9_best_fit_packing, op10_substring_dedup, op12_hard_negatives, op13_centroid_clustering)}
+
+def _rounds(k: int = 40, rounds: int = 5) -> str:
+    """The SQL of op13, a pair of steps a round."""
+    steps = [f"""
+WITH kept AS (
+  SELECT vec_id, row_number() OVER (ORDER BY vec_id, embedding) AS rid, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('2:' || CAST(vec_id AS VARCHAR)), v) - 1 AS cluster, v FROM kept ORDER BY cluster LIMIT {k})"""]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (
+  SELECT rid, min([list_dot_product(k.v, k.v) - 2 * list_dot_product(k.v, c.v) + list_dot_product(c.v, c.v), CAST(cluster AS DOUBLE)]) AS best FROM kept k, c{i} c GROUP BY rid)""")
+        if i < rounds:
+            steps.append(f"""m{i} AS (
+  SELECT cluster, list(value ORDER BY p) AS v FROM (
+    SELECT CAST(best[2] AS BIGINT) AS cluster, p, floor(sum(k.v[p]) / count(*)) AS value FROM a{i} JOIN kept k USING (rid), unnest(range(1, 65)) AS u(p) GROUP BY ALL)
+  GROUP BY cluster),
+c{i + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN m{i} m ON m.cluster = c.cluster)""")
+    return ",\n".join(steps) + f"""
+SELECT vec_id, CAST(best[2] AS INTEGER) AS cluster, CAST(best[1] AS BIGINT) AS distance,
+  CAST(sum(best[1]) OVER (PARTITION BY best[2]) AS BIGINT) AS cluster_inertia, CAST(sum(best[1]) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(list_transform(c.v, lambda x: CAST(x AS BIGINT)), ',')) AS centroid_sha256
+FROM a{rounds} a JOIN kept k USING (rid) JOIN c{rounds} c ON c.cluster = CAST(best[2] AS BIGINT)"""
+
 
 SQL = {
     "op1_exact_top_k": """
@@ -147,4 +183,21 @@ kept AS (
 SELECT d.doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
        sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN kept k ON k.doc_id = d.doc_id""",
+    "op12_hard_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+pairs AS (
+  SELECT a.vec_id AS anchor_id, d.vec_id, a.label = d.label AS same, CAST(list_dot_product(a.v, d.v) AS BIGINT) AS score
+  FROM v a JOIN v d ON a.vec_id <> d.vec_id AND len(a.v) = len(d.v) WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY n.score DESC, n.vec_id) AS INTEGER) AS rank,
+       n.vec_id AS negative_id, positive_score, n.score AS negative_score
+FROM positives p JOIN pairs n ON n.anchor_id = p.anchor_id AND NOT n.same AND 80 * positive_score <= 100 * n.score AND 100 * n.score <= 100 * positive_score
+QUALIFY rank <= 5""",
+    "op13_centroid_clustering": _rounds(),
 }
