@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import clusters, extraction, lines, media, mixing, negatives, packing, quality, simhash, substring, token_files, topk
+from . import clusters, extraction, lines, media, mixing, negatives, packing, pii, quality, simhash, substring, token_files, topk
 from .common import table
 
 
@@ -66,6 +66,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of each document: counts and digest of base spans, and all spans as kind:start:end."""
+    found = pii.find_pii(table(spark, sf_dir, "documents"))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("spans", lambda s: s["base"])
+
+    def count(kind: str):
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.sha2("masked", 256).alias("masked_sha256"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of every anchor (vec_id divisible by 100) and each of its 5 positives; labels of every seventh id are shifted."""
     rows = negatives.usable(table(spark, sf_dir, "embeddings"))
@@ -79,7 +91,7 @@ def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_line_dedup, op3_source_mixing, op4_simhash_near_dedup, op5_html_extraction, op6_webp_media, op7_repair_token_ids, op8_quality_classifier, op9_best_fit_packing, op10_substring_dedup, op12_hard_negatives, op13_centroid_clustering)}
+QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_line_dedup, op3_source_mixing, op4_simhash_near_dedup, op5_html_extraction, op6_webp_media, op7_repair_token_ids, op8_quality_classifier, op9_best_fit_packing, op10_substring_dedup, op11_pii, op12_hard_negatives, op13_centroid_clustering)}
 
 def _rounds(k: int = 40, rounds: int = 5) -> str:
     """The SQL of op13, a pair of steps a round."""
