@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import tempfile
 
 import numpy as np
@@ -15,10 +16,13 @@ from ..functions import text as X
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df.checkpoint() in spark.checkpoint.dir; a folder of its own only where that is unset."""
+    """df.checkpoint() in spark.checkpoint.dir; a folder of its own only where that is unset on a single machine."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="millrace-"))
+        found = context.getConf().get("spark.checkpoint.dir")
+        if not found and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="millrace-"))
     return df.checkpoint()
 
 
@@ -29,12 +33,14 @@ def first_of(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     of equal rows one is first.  Equal rows are counted first and the smallest
     found by partial minima and a join, so a hot key never meets in one task.
     """
-    own = [F.col(f"`{c}`") for c in rows.columns]
-    counted = rows.groupBy(*own).agg(F.count(F.lit(1)).alias("_copies")).withColumn("_place", F.struct(*order, F.xxhash64(*own)))
-    firsts = counted.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.min("_place").alias("_first"))
-    joined = counted.join(firsts, F.col(key) == F.col("_key"), "left")
-    flags = F.transform(F.sequence(F.lit(1).cast("long"), "_copies"), lambda i: F.col("_first").isNull() | ((F.col("_first") == F.col("_place")) & (i == 1)))
-    return joined.select(*own, F.explode(flags).alias("is_first"))
+    of = lambda name: F.col(f"row.`{name}`")
+    # rows travel nested, so that no name of theirs clashes
+    nested = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"))
+    counted = nested.groupBy("row").agg(F.count(F.lit(1)).alias("copies")).select("row", "copies", F.struct(*map(of, order), F.xxhash64("row")).alias("place"))
+    firsts = counted.filter(of(key).isNotNull()).groupBy(of(key).alias("key")).agg(F.min("place").alias("first"))
+    joined = counted.join(firsts, of(key) == F.col("key"), "left")
+    flags = F.transform(F.sequence(F.lit(1).cast("long"), "copies"), lambda i: F.col("first").isNull() | ((F.col("first") == F.col("place")) & (i == 1)))
+    return joined.select("row", F.explode(flags).alias("is_first")).select(*[of(c) for c in rows.columns if c != "is_first"], "is_first")
 
 
 def priority_exact_dedup(rows: DataFrame, key: str, priority: str, order: str) -> DataFrame:
