@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import re
-import tempfile
 
 import numpy as np
 import pandas as pd
@@ -13,17 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df.checkpoint() in spark.checkpoint.dir; a folder of its own only where that is unset on a single machine."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        found = context.getConf().get("spark.checkpoint.dir")
-        if not found and not re.fullmatch(r"local(\[.*\])?", context.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="millrace-"))
-    return df.checkpoint()
+from .shared import checkpointed
 
 
 def first_of(rows: DataFrame, key: str, order: list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .dedup import checkpointed
+from .shared import checkpointed
 
 
 def stratified_split(docs: DataFrame, percent: float = 1.0) -> DataFrame:

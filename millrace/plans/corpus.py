@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vocabulary as V
-from ..operators import chunking, dedup, gates, sampling, validation
+from ..operators import chunking, dedup, gates, phrases, sampling, validation
+from ..operators.shared import checkpointed
 from ..sources import files
 from .book import Book, table
 
@@ -127,6 +128,17 @@ def length_percentiles(spark, sf_dir):
 _SIGNALS = "list_filter([" + ", ".join(f"'{s}'" for s in V.SIGNALS) + r"], lambda s: contains(regexp_replace(replace(lower(text), '-', ' '), '\s+', ' ', 'g'), s))"
 
 
+_BORDER = ("the the", "tion the", "and of", "re re", "en de", "de la", "le de", "und der", "ing ed", "state feedback")
+
+
+@book.query(f"""WITH d AS (SELECT conv_id, regexp_replace(replace(lower(string_agg(coalesce(text, ''), chr(10) ORDER BY turn)), '-', ' '), '\\s+', ' ', 'g') AS t FROM conversations GROUP BY conv_id),
+s AS (SELECT conv_id, list_filter([{', '.join(f"'{p}'" for p in _BORDER)}], lambda p: contains(t, p)) AS s FROM d) SELECT conv_id, len(s)::INTEGER AS score, array_to_string(s, '|') AS signals FROM s""")
+def conversation_phrases(spark, sf_dir):
+    """Phrases that a conversation's turns hold when joined, those over the border of two turns included."""
+    rows = phrases.phrases_of(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", _BORDER)
+    return rows.select("conv_id", F.size("found").alias("score"), F.array_join("found", "|").alias("signals"))
+
+
 @book.query(f"SELECT doc_id, len(s)::INTEGER AS score, array_to_string(s, '|') AS signals FROM (SELECT doc_id, {_SIGNALS} AS s FROM documents)")
 def relevance_signals(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", gates.signals_in(F.col("text")).alias("s"))
@@ -213,7 +225,7 @@ pairs AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b, CAST(hamming(x.bits, y.b
 
 
 def _simhash(spark, sf_dir):
-    return dedup.checkpointed(dedup.simhash_md5(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    return checkpointed(dedup.simhash_md5(table(spark, sf_dir, "documents"), "doc_id", "text"))
 
 
 @book.query(f"WITH {_SIMHASH} SELECT * FROM pairs")

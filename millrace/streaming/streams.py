@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import retrieval
+from ..operators import retrieval, segments
 
 
 def new_records(stream: DataFrame, key: str, time: str | None = None, late: str = "1 day") -> DataFrame:
@@ -27,6 +27,11 @@ def grow_index(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def grow_segments(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append each batch of new documents (doc_id, text) under path as a segment of the stored index; a batch done again replaces its own."""
+    return stream.writeStream.foreachBatch(lambda batch, number: segments.append(batch, path, number)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def fold_trace(events: DataFrame) -> DataFrame:
     """(request_id, text, tools, errors, finished) of event rows (request_id, seq, type, content, tool).
 
