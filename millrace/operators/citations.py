@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,11 +46,6 @@ def _lookup(table: dict[str, str], key: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), where value is computed once however often it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def source_label(name: Column) -> Column:
     """struct<label, published> of a file's name: a published work as cited, else a course's subject and what is left of the name."""
     def worded(stem: Column) -> Column:
@@ -65,7 +58,7 @@ def source_label(name: Column) -> Column:
         # an unknown code is dropped where words follow it
         unknown = (F.size(words) > 1) & code.rlike(r"^\p{L}{2,6}$") & first.rlike(r"\p{Lu}") & (first == F.upper(first))
         subject = F.coalesce(_lookup(COURSES, code), F.lit(""))
-        return _let(subject, lambda s: F.struct(s.alias("subject"), F.when((s != "") | unknown, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0)))).otherwise(words).alias("left")))
+        return X.bind(subject, lambda s: F.struct(s.alias("subject"), F.when((s != "") | unknown, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0)))).otherwise(words).alias("left")))
 
     def cleaned(x: Column) -> Column:
         rest = F.regexp_replace(X.collapsed(F.regexp_replace(F.array_join(x["left"], " "), NOISE, "")), "^[ \u2013\u2014-]+|[ \u2013\u2014-]+$", "")
@@ -78,11 +71,11 @@ def source_label(name: Column) -> Column:
 
     def of_stem(stem: Column) -> Column:
         work = _lookup(PUBLISHED, F.lower(X.collapsed(stem)))
-        course = _let(_let(_let(worded(stem), coded), cleaned), labelled)
-        return _let(work, lambda w: F.struct(F.coalesce(w, F.concat(course, F.lit(" (course notes)"))).alias("label"), w.isNotNull().alias("published")))
+        course = X.bind(X.bind(X.bind(worded(stem), coded), cleaned), labelled)
+        return X.bind(work, lambda w: F.struct(F.coalesce(w, F.concat(course, F.lit(" (course notes)"))).alias("label"), w.isNotNull().alias("published")))
 
     unnamed = F.struct(F.lit(UNNAMED).alias("label"), F.lit(False).alias("published"))
-    return F.when(F.coalesce(name, F.lit("")) == "", unnamed).otherwise(_let(F.regexp_replace(name, ENDINGS, ""), of_stem))
+    return F.when(F.coalesce(name, F.lit("")) == "", unnamed).otherwise(X.bind(F.regexp_replace(name, ENDINGS, ""), of_stem))
 
 
 def citation(label: Column, page: Column) -> Column:

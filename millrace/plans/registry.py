@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import corpus, generation, records, relational, search, tools
+from . import corpus, generation, loading, records, relational, search, tools
 
 QUERIES: dict = {}
 SQL: dict = {}
-for _module in (corpus, search, tools, relational, records, generation):
+for _module in (corpus, search, tools, relational, records, generation, loading):
     QUERIES |= _module.book.queries
     SQL |= _module.book.sql
