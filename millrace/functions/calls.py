@@ -34,15 +34,21 @@ def _balanced(text: str) -> str:
     return text + '"' * quoted + "".join(reversed(open_))
 
 
+def _number(text: str) -> str:
+    """A number as JSON; whole ones stay whole."""
+    value = float(text)
+    return json.dumps(int(value) if re.fullmatch(r"[-+]?\d+", text) else value)
+
+
 def _rows(text: str) -> str:
-    """Number lists that are parted by blanks, and rows by semicolons, as JSON arrays."""
+    """Number lists that are parted by blanks, and rows by blanks or semicolons, as JSON arrays."""
 
     def one(found: re.Match) -> str:
         rows = [NUMBER.findall(r) for r in found[1].split(";")]
-        lists = ["[" + ", ".join(json.dumps(float(x)) for x in r) + "]" for r in rows if r]
+        lists = ["[" + ", ".join(_number(x) for x in r) + "]" for r in rows if r]
         return lists[0] if len(lists) == 1 else "[" + ", ".join(lists) + "]"
 
-    return re.sub(r"\[((?:\s*[-+.\deE]+)(?:[\s;]+[-+.\deE]+)+\s*)\]", one, text)
+    return re.sub(r"\]\s+\[", "], [", re.sub(r"\[((?:\s*[-+.\deE]+)(?:[\s;]+[-+.\deE]+)+\s*)\]", one, text))
 
 
 def tolerant(text: str):
@@ -101,3 +107,46 @@ def provenance(arguments: str | None, context: str | None, rtol: float = 1e-6) -
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def unfounded_arguments(arguments: pd.Series, context: pd.Series) -> pd.Series:
     return pd.Series([provenance(a, c) for a, c in zip(arguments, context)])
+
+
+def coerced_value(value, schema: dict, path: str, errors: list[str]):
+    """value with texts parsed where the schema has arrays, at any depth; what stays of the wrong type is noted by its path."""
+    kind = schema.get("type")
+    if kind == "array":
+        if isinstance(value, str):
+            found = tolerant(value)
+            value = value if found is None else found
+        if not isinstance(value, list):
+            errors.append(f"{path}: not an array")
+            return value
+        items = schema.get("items")
+        return value if items is None else [coerced_value(v, items, f"{path}[{i}]", errors) for i, v in enumerate(value)]
+    fits = {
+        "number": lambda v: isinstance(v, (int, float)) and not isinstance(v, bool), "integer": lambda v: isinstance(v, int) and not isinstance(v, bool),
+        "string": lambda v: isinstance(v, str), "boolean": lambda v: isinstance(v, bool), "object": lambda v: isinstance(v, dict),
+    }
+    if kind in fits and not fits[kind](value):
+        errors.append(f"{path}: not a {kind}")
+    if kind == "object" and isinstance(value, dict):
+        return {k: coerced_value(v, schema.get("properties", {}).get(k, {}), f"{path}.{k}", errors) for k, v in value.items()}
+    return value
+
+
+COERCED = T.StructType([T.StructField("arguments", T.StringType()), T.StructField("errors", T.ArrayType(T.StringType()))])
+
+
+@F.pandas_udf(COERCED)
+def coerced(arguments: pd.Series, schema: pd.Series) -> pd.DataFrame:
+    """struct<arguments, errors> of JSON arguments under a JSON schema of an object: arrays that came as text are arrays, missing required values and bad leaves are errors."""
+    known: dict = {}
+    out = []
+    for text, rules in zip(arguments, schema):
+        rules = known.setdefault(rules, json.loads(rules))
+        value, errors = tolerant(text) if isinstance(text, str) else None, []
+        if not isinstance(value, dict):
+            out.append((None, ["arguments: not an object"]))
+            continue
+        made = coerced_value(value, {"type": "object"} | rules, "", errors)
+        errors += [f".{name}: missing" for name in rules.get("required", []) if name not in value]
+        out.append((json.dumps(made, separators=(",", ":")), errors))
+    return pd.DataFrame(out, columns=COERCED.names)

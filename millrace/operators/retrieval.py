@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vocabulary as V
+from .shared import checkpointed
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -71,12 +72,19 @@ def distinctive_terms(names: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(n)).filter(F.col("files") <= F.greatest(F.lit(2), F.floor(F.col("n") * 0.02))).select("term", "files")  # n is one row
 
 
-def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, tile: int = 65_536, batch: int = 4_096) -> DataFrame:
+def finite(vector: Column) -> Column:
+    """Whether a vector has components, all of them finite numbers."""
+    return (F.size(vector) > 0) & F.forall(vector, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
+
+
+def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, tile: int = 16_384, batch: int = 4_096, together: int = 256) -> DataFrame:
     """(query_id, rank, vec_id, score) by inner product of unit vectors, rounded to 6 places; ties go to the larger id.
 
     The stated query set meets all rows in blocks: tiles of rows by batches of
-    queries, of a bounded size each; a block gives each query's k best of its
-    tile, so what is shuffled on is k rows a query and tile.
+    queries, of which `together` are scored at once (32 MB of scores); a tile
+    gives each query's k best, so what is shuffled on is k rows a query and
+    tile.  Vectors that are null, empty, of zero length or hold null or
+    non-finite components take no part.
     """
 
     def unit(column: pd.Series) -> np.ndarray:
@@ -86,18 +94,27 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, tile: int =
     def best(left, right):
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        left = left.sort_values("vec_id", ascending=False)
-        scores = unit(right["embedding"]) @ unit(left["embedding"]).T
-        scores = np.copysign(np.floor(np.abs(scores) * 1e6 + 0.5), scores) / 1e6 + 0.0
-        top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-        return pd.DataFrame({"query_id": np.repeat(right["query_id"].to_numpy(), top.shape[1]), "vec_id": left["vec_id"].to_numpy()[top].ravel(), "score": np.take_along_axis(scores, top, axis=1).ravel()})
+        rows, asked, ids, names = unit(left["embedding"]), unit(right["embedding"]), left["vec_id"].to_numpy(), right["query_id"].to_numpy()
+        parts = []
+        for start in range(0, len(asked), together):
+            scores = asked[start : start + together] @ rows.T
+            scores = np.copysign(np.floor(np.abs(scores) * 1e6 + 0.5), scores) / 1e6 + 0.0
+            least = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(scores), -np.inf)
+            row, col = np.nonzero(scores >= least[:, None])
+            order = np.lexsort((-ids[col], -scores[row, col], row))
+            row, col = row[order], col[order]
+            rank = np.arange(len(row)) - np.searchsorted(row, row)
+            parts.append(pd.DataFrame({"query_id": names[start + row], "vec_id": ids[col], "score": scores[row, col]})[rank < k])
+        return pd.concat(parts)
 
     tiles, batches = (max(1, -(-df.count() // most)) for df, most in ((vectors, tile), (queries, batch)))
     part = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
+    sound = lambda df: df.filter(F.col("vec_id").isNotNull() & finite(F.col("embedding")) & F.exists("embedding", lambda x: x != 0))
+    vectors, queries = sound(vectors), sound(queries)
     rows = vectors.select("vec_id", "embedding", F.size("embedding").alias("dim"), part(tiles, 1).alias("tile"), F.explode(F.sequence(F.lit(0), F.lit(batches - 1))).alias("batch"))
     asked = queries.select(F.col("vec_id").alias("query_id"), "embedding", F.size("embedding").alias("dim"), part(batches, 2).alias("batch"), F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile"))
     keys = ["tile", "batch", "dim"]
-    scored = rows.filter("vec_id is not null and dim > 0").groupBy(*keys).cogroup(asked.filter("query_id is not null and dim > 0").groupBy(*keys)).applyInPandas(best, "query_id long, vec_id long, score double")
+    scored = rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(best, "query_id long, vec_id long, score double")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), F.desc("vec_id"))
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -105,28 +122,39 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, tile: int =
 def nearest_by_ngrams(left: DataFrame, right: DataFrame, threshold: float = 0.9, sizes: tuple[int, ...] = (3, 4, 5)) -> DataFrame:
     """(right_id, left_id, cosine) of each right row's nearest left row by TF-IDF over character n-grams of blank-padded words.
 
-    left (left_id, text), right (right_id, text).  Grams are joined by key;
-    idf is smooth, over both sides.
+    left (left_id, text), right (right_id, text); idf is smooth, over both
+    sides.  Grams are ordered from rare to frequent.  A row's prefix ends where
+    what follows it is too short a vector to reach the threshold: two rows of
+    that cosine share a gram of both prefixes.  Only prefixes are joined, so
+    frequent grams pair nothing, and the pairs found are then summed in full.
     """
 
     def grams(rows: DataFrame, key: str) -> DataFrame:
         words = rows.select(key, F.explode(F.regexp_extract_all(X.similarity_text(F.col("text")), F.lit(r"(\S+)"))).alias("w")).select(key, F.concat(F.lit(" "), "w", F.lit(" ")).alias("w"))
-        flat = words.select(key, F.explode(F.flatten(F.array(*[
-            F.when(F.length("w") >= n, F.transform(F.sequence(F.lit(1), F.length("w") - n + 1), lambda i, n=n: F.substring("w", i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-            for n in sizes
-        ]))).alias("g"))
+
+        def of_size(n: int) -> Column:
+            return F.when(F.length("w") >= n, F.transform(F.sequence(F.lit(1), F.length("w") - n + 1), lambda i: F.substring("w", i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+        flat = words.select(key, F.explode(F.flatten(F.array(*map(of_size, sizes)))).alias("g"))
         return flat.groupBy(key, "g").agg(F.count(F.lit(1)).alias("tf"))
 
     l, r = grams(left, "left_id"), grams(right, "right_id")
     n = left.agg(F.count(F.lit(1)).alias("a")).join(right.agg(F.count(F.lit(1)).alias("b"))).select((F.col("a") + F.col("b")).alias("n"))
     df = l.select("g").unionAll(r.select("g")).groupBy("g").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n))  # one row
-    df = df.select("g", (F.ln((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+    df = df.select("g", "df", (F.ln((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
 
     def weighted(rows: DataFrame, key: str) -> DataFrame:
-        rows = rows.join(df, "g").select(key, "g", (F.col("tf") * F.col("idf")).alias("w"))
+        rows = rows.join(df, "g").select(key, "g", "df", (F.col("tf") * F.col("idf")).alias("w"))
         norms = rows.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-        return rows.join(norms, key).select(key, "g", (F.col("w") / F.col("norm")).alias(f"{key}_w"))
+        return checkpointed(rows.join(norms, key).select(key, "g", "df", (F.col("w") / F.col("norm")).alias(f"{key}_w")))
+
+    def prefix(rows: DataFrame, key: str) -> DataFrame:
+        follows = W.partitionBy(key).orderBy(F.desc("df"), F.desc("g")).rowsBetween(W.unboundedPreceding, 0)
+        # from the frequent end: a gram is in the prefix unless it and all more frequent ones fall short together
+        return rows.withColumn("rest", F.sqrt(F.sum(F.pow(f"{key}_w", F.lit(2.0))).over(follows))).filter(F.col("rest") >= threshold - 1e-5).select(key, "g")
 
-    both = weighted(l, "left_id").join(weighted(r, "right_id"), "g").groupBy("right_id", "left_id").agg(F.round(F.sum(F.col("left_id_w") * F.col("right_id_w")), 6).alias("cosine"))
+    wl, wr = weighted(l, "left_id"), weighted(r, "right_id")
+    pairs = prefix(wl, "left_id").join(prefix(wr, "right_id"), "g").select("left_id", "right_id").distinct()
+    both = pairs.join(wl.drop("df"), "left_id").join(wr.drop("df"), ["right_id", "g"]).groupBy("right_id", "left_id").agg(F.round(F.sum(F.col("left_id_w") * F.col("right_id_w")), 6).alias("cosine"))
     near = both.groupBy("right_id").agg(F.max(F.struct("cosine", (-F.col("left_id")).alias("m"))).alias("best"))
     return near.select("right_id", (-F.col("best.m")).alias("left_id"), F.col("best.cosine").alias("cosine")).filter(F.col("cosine") >= threshold)

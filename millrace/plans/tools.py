@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions import matrix, numeric, verification
+from ..functions import calls, matrix, numeric, systems, verification
 from ..functions import text as X
 from ..operators import evaluation, gates
 from .book import Book, table
@@ -84,31 +85,86 @@ def interval_cubic(spark, sf_dir):
     return _line(spark, sf_dir).select("l_orderkey", "l_linenumber", numeric.interval_cubic_is_hurwitz(low, high).alias("robust"))
 
 
-@book.query("""SELECT i AS id, 1 + i % 10 AS gain, round((1 + i % 10) / sqrt(1 + power(i / 10, 2)), 6) AS magnitude, round(-degrees(atan(i / 10)), 6) AS phase,
-  round(1 - exp(-1) , 6) AS at_tau, round(-ln(0.02) * (i / 10), 6) AS settling, CAST(round(0.4 + 0.035 * i, 6) AS DOUBLE) AS parameter FROM range(1, 501) AS r(i)""")
+@book.query("""WITH k AS (SELECT p_partkey AS id, 1 + p_partkey % 10 AS gain, p_size / 10 AS tau, p_size AS i FROM part)
+SELECT id, gain, round(gain / sqrt(1 + tau * tau), 6) AS magnitude, round(-degrees(atan(tau)), 6) AS phase, round(1 - exp(-1), 6) AS at_tau, round(-ln(0.02) * tau, 6) AS settling, CAST(round(0.4 + 0.035 * i, 6) AS DOUBLE) AS parameter FROM k""")
 def gen_families_native(spark, sf_dir):
-    """Closed-form generator rows of first-order families over an index."""
-    i = c("id")
-    tau = i / 10
-    return spark.range(1, 501).select(
-        "id", (1 + i % 10).alias("gain"), F.round((1 + i % 10) / F.sqrt(1 + tau * tau), 6).alias("magnitude"), F.round(-F.degrees(F.atan(tau)), 6).alias("phase"),
-        F.round(1 - F.exp(F.lit(-1.0)), 6).alias("at_tau"), F.round(-F.ln(F.lit(0.02)) * tau, 6).alias("settling"), F.round(0.4 + 0.035 * i, 6).alias("parameter"),
+    """Closed-form rows of first-order families, a part each."""
+    tau, gain = c("p_size") / 10, 1 + c("p_partkey") % 10
+    return table(spark, sf_dir, "part").select(
+        c("p_partkey").alias("id"), gain.alias("gain"), F.round(gain / F.sqrt(1 + tau * tau), 6).alias("magnitude"), F.round(-F.degrees(F.atan(tau)), 6).alias("phase"),
+        F.round(1 - F.exp(F.lit(-1.0)), 6).alias("at_tau"), F.round(-F.ln(F.lit(0.02)) * tau, 6).alias("settling"), F.round(0.4 + 0.035 * c("p_size"), 6).alias("parameter"),
     )
 
 
-def _systems(spark):
-    f = lambda x: F.lit(x).cast("double")
-    rows = spark.range(1, 65)
-    k = c("id").cast("double")
-    m = lambda *r: F.array(*[F.array(*x) for x in r])
-    return rows.select("id", m((f(0), f(1)), (-k, f(-3))).alias("a"), m((f(0),), (f(1),)).alias("b"), m((f(1), f(0))).alias("h"), m((f(10), f(0)), (f(0), f(1))).alias("q"), m((f(1),)).alias("r"))
+def _m(*rows):
+    """A matrix column."""
+    as_double = lambda x: (x if isinstance(x, Column) else F.lit(x)).cast("double")
+    return F.array(*[F.array(*map(as_double, r)) for r in rows])
 
 
-@book.query("""SELECT i AS id, TRUE AS stable, 2 AS rank, TRUE AS solved FROM range(1, 65) AS r(i)""")
+@book.query("""WITH k AS (SELECT p_partkey AS id, p_size AS k, p_size % 4 AS d FROM part),
+e AS (SELECT *, d * d / 4 - k AS disc FROM k), r AS (SELECT *, -k + sqrt(k * k + 10) AS k1 FROM e)
+SELECT id, round(-d / 2 - CASE WHEN disc > 0 THEN sqrt(disc) ELSE 0 END, 6) AS slowest_re, round(CASE WHEN disc < 0 THEN -sqrt(-disc) ELSE 0 END, 6) AS slowest_im, d > 0 AS stable,
+  CASE WHEN id % 2 = 0 OR k = 0 THEN 0 + CASE WHEN id % 2 = 0 THEN 0 ELSE 1 END ELSE 2 END AS rank, round(k1, 6) AS k1, round(-d + sqrt(d * d + 2 * k1 + 1), 6) AS k2 FROM r""")
 def matrix_tools(spark, sf_dir):
-    """Second-order systems: stability, controllability rank, and a regulator that solves its Riccati equation."""
-    rows = _systems(spark).select("id", matrix.eigen_analysis("a", F.lit(False)).alias("e"), matrix.controllability("a", "b").alias("r"), matrix.continuous_lqr("a", "b", "q", "r").alias("k"))
-    return rows.select("id", "e.stable", c("r.rank").alias("rank"), ((c("k.residual") < 1e-8) & c("k.stable")).alias("solved"))
+    """Oscillators made from parts: an eigenvalue, stability, observability rank (of no output at even keys), and the regulator's gains."""
+    k, d = c("p_size"), c("p_size") % 4
+    rows = table(spark, sf_dir, "part").select(c("p_partkey").alias("id"), _m((0, 1), (-k, -d)).alias("a"))
+    rows = rows.select("id", matrix.eigen_analysis("a", F.lit(False)).alias("e"), matrix.observability("a", _m((0, c("id") % 2))).alias("o"), matrix.continuous_lqr("a", _m((0,), (1,)), _m((10, 0), (0, 1)), _m((1,))).alias("g"))
+    value = c("e.values")[0]
+    return rows.select("id", F.round(value[0], 6).alias("slowest_re"), (F.round(value[1], 6) + 0).alias("slowest_im"), "e.stable", c("o.rank").alias("rank"), F.round(c("g.k")[0][0], 6).alias("k1"), F.round(c("g.k")[0][1], 6).alias("k2"))
+
+
+@book.query("""WITH k AS (SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS q, CAST(p_partkey % 7 - 3 AS DOUBLE) AS r, CAST(p_size % 5 AS DOUBLE) AS z FROM part)
+SELECT id, [1.0, -(1 + r) + 0, r - 2 * q] AS denominator, [z, z * -(1 + r) + 3 + 0, z * (r - 2 * q) - r + q + 4 - 2] AS numerator FROM k""")
+def transfer_functions(spark, sf_dir):
+    """Transfer functions of second-order systems made from parts."""
+    q, r, z = c("p_size"), c("p_partkey") % 7 - 3, c("p_size") % 5
+    made = systems.transfer_function(_m((1, q), (2, r)), _m((1,), (1,)), _m((1, 2)), _m((z,)))
+    rows = table(spark, sf_dir, "part").select(c("p_partkey").alias("id"), made.alias("r"))
+    six = lambda x: F.transform(x, lambda v: F.round(v, 6) + 0)
+    return rows.select("id", six(c("r.denominator")).alias("denominator"), six(c("r.numerator")).alias("numerator"))
+
+
+@book.query("""WITH k AS (SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS p, CAST(p_partkey % 7 AS DOUBLE) AS q, CAST(p_partkey % 3 AS DOUBLE) AS r FROM part), d AS (SELECT *, p * r - q * 2 AS det FROM k)
+SELECT id, round(det, 6) AS determinant, p + r AS trace, CASE WHEN det = 0 THEN (CASE WHEN p = 0 AND q = 0 AND r = 0 THEN 0 ELSE 1 END) ELSE 2 END::DOUBLE AS rank, CASE WHEN det <> 0 THEN round(r / det, 6) + 0 END AS inverse11,
+  det = 0 AS singular, p * p + 2 * q AS square11, [p, 2] AS transposed1 FROM d""")
+def matrix_arithmetic(spark, sf_dir):
+    """Operations on matrices made from parts; singular ones have no inverse but a reason."""
+    a = _m((c("p_size"), c("p_partkey") % 7), (2, c("p_partkey") % 3))
+    none = F.lit(None).cast("array<array<double>>")
+    op = lambda name, other=none: systems.arithmetic(F.lit(name), c("a"), other)
+    rows = table(spark, sf_dir, "part").select(c("p_partkey").alias("id"), a.alias("a"))
+    rows = rows.select("id", op("determinant").alias("d"), op("trace").alias("t"), op("rank").alias("k"), op("inverse").alias("i"), op("multiply", c("a")).alias("m"), op("transpose").alias("p"))
+    return rows.select("id", (F.round("d.value", 6) + 0).alias("determinant"), c("t.value").alias("trace"), c("k.value").alias("rank"), (F.round(c("i.result")[0][0], 6) + 0).alias("inverse11"), (c("i.status") == "error").alias("singular"), c("m.result")[0][0].alias("square11"), c("p.result")[0].alias("transposed1"))
+
+
+@book.query("""WITH w AS (SELECT i, power(10, -3 + 7 * i / 1999) AS w FROM range(2000) AS r(i)), k AS (SELECT DISTINCT p_size AS k FROM part),
+g AS (SELECT k, i, w, k / (w * sqrt(1 + w * w) * sqrt(4 + w * w)) AS m, -90 - degrees(atan(w)) - degrees(atan(w / 2)) AS p FROM k, w),
+x AS (SELECT k, arg_min(w, (abs(m - 1), i)) AS gain_crossover, 180 + arg_min(p, (abs(m - 1), i)) AS phase_margin, arg_min(w, (abs(p + 180), i)) AS phase_crossover, 1 / arg_min(m, (abs(p + 180), i)) AS gain_margin FROM g GROUP BY k)
+SELECT p_partkey AS id, round(gain_crossover, 6) AS gain_crossover, round(phase_margin, 6) AS phase_margin, round(phase_crossover, 6) AS phase_crossover, round(gain_margin, 6) AS gain_margin, 1 AS gain_crossings,
+  CASE WHEN p_size > 6 THEN 2 ELSE 0 END AS closed_poles, 0 AS open_poles, CASE WHEN p_size > 6 THEN 2 ELSE 0 END AS encirclements, 1 AS at_origin FROM part JOIN x ON k = p_size""")
+def loop_margins(spark, sf_dir):
+    """Margins on the grid, and encirclements from root counts, of k / (s (s + 1) (s + 2))."""
+    num, den = F.array(c("p_size").cast("double")), F.array(*[F.lit(x) for x in (1.0, 3.0, 2.0, 0.0)])
+    rows = table(spark, sf_dir, "part").filter("p_size is not null").select(c("p_partkey").alias("id"), systems.stability_margins(num, den).alias("m"), systems.nyquist(num, den).alias("n"))
+    margins = [F.round(f"m.{x}", 6).alias(x) for x in ("gain_crossover", "phase_margin", "phase_crossover", "gain_margin")]
+    return rows.select("id", *margins, "m.gain_crossings", "n.closed_poles", "n.open_poles", "n.encirclements", "n.at_origin")
+
+
+_SCHEMA = '{"properties": {"A": {"type": "array", "items": {"type": "array", "items": {"type": "number"}}}, "n": {"type": "integer"}}, "required": ["A", "n", "b"]}'
+
+
+@book.query("""SELECT p_partkey AS id, CASE p_size % 4 WHEN 3 THEN NULL ELSE '{"A":[[' || p_size || ',2],[3,' || CASE p_size % 4 WHEN 2 THEN '"x"' ELSE '4' END || ']],"n":' || CASE p_size % 4 WHEN 1 THEN '"7"' ELSE '7' END || ',"b":0}' END AS arguments,
+  CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN '.n: not a integer' WHEN 2 THEN '.A[1][1]: not a number' ELSE 'arguments: not an object' END AS errors FROM part""")
+def coerced_arguments(spark, sf_dir):
+    """Arguments made from parts whose matrices came as text, under a schema."""
+    kind = c("p_size") % 4
+    n = c("p_size").cast("string")
+    text = F.when(kind == 0, F.concat(F.lit('{"A": "[['), n, F.lit(' 2] [3 4]]", "n": 7, "b": 0}'))).when(kind == 1, F.concat(F.lit('{"A": ["['), n, F.lit(', 2]", "[3, 4]"], "n": "7", "b": 0}')))
+    text = text.when(kind == 2, F.concat(F.lit('{"A": "[['), n, F.lit(', 2], [3, \\"x\\"]]", "n": 7, "b": 0}'))).otherwise("[1, 2]")
+    rows = table(spark, sf_dir, "part").select(c("p_partkey").alias("id"), calls.coerced(text, F.lit(_SCHEMA)).alias("r"))
+    return rows.select("id", "r.arguments", F.array_join("r.errors", "|").alias("errors"))
 
 
 @book.query("""WITH a AS (SELECT conv_id, turn, lower(text) AS t FROM conversations WHERE role = 'assistant')
@@ -145,12 +201,12 @@ def degenerate_arrays(spark, sf_dir):
     return rows.select("user_id", gates.degenerate_array(c("v")).alias("degenerate"), F.size("v").alias("n"))
 
 
-def _records(spark):
-    """Records of six kinds over an index, every fourth with one value off, every fifth without one."""
-    i = c("id").cast("double")
+def _records(parts):
+    """Records of six kinds over parts (id, n), those of every fourth n with one value off, those of every fifth without one."""
+    i = c("n").cast("double")
     m = lambda **values: F.map_from_arrays(F.array(*[F.lit(k) for k in values]), F.array(*[v.cast("double") for v in values.values()]))
     f = lambda x: F.lit(float(x))
-    off = F.when(c("id") % 4 == 0, 0.5).otherwise(0.0)
+    off = F.when(c("n") % 4 == 0, 0.5).otherwise(0.0)
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<array<double>>"))
     kinds = {
         "scalar_cbf_filter": m(x=i / 10, x_min=f(1), alpha=f(2), u_nom=-i, h=i / 10 - 1, u=F.greatest(-i, -2 * (i / 10 - 1)) + off),
@@ -162,7 +218,7 @@ def _records(spark):
     }
     rows = None
     for kind, s in kinds.items():
-        part = spark.range(1, 81).select("id", F.lit(kind).alias("kind"), F.when(c("id") % 5 == 0, F.map_filter(s, lambda k, v: k != s_names(kind)[0])).otherwise(s).alias("s"), none.alias("v"))
+        part = parts.select("id", F.lit(kind).alias("kind"), F.when(c("n") % 5 == 0, F.map_filter(s, lambda k, v: k != s_names(kind)[0])).otherwise(s).alias("s"), none.alias("v"))
         rows = part if rows is None else rows.unionAll(part)
     return rows
 
@@ -172,8 +228,9 @@ def s_names(kind: str) -> tuple[str, ...]:
     return {"scalar_cbf_filter": ("u",), "first_order_step": ("settling",), "scalar_stationary_covariance": ("p",), "small_gain": ("g1",), "crossover_margins": ("magnitude",), "zero_dynamics": ("zero",)}[kind]
 
 
-@book.query("""SELECT k AS kind, CAST(i AS BIGINT) AS id, CASE WHEN i % 5 = 0 THEN NULL ELSE i % 4 <> 0 END AS verified
-FROM range(1, 81) AS r(i), unnest(['scalar_cbf_filter', 'first_order_step', 'scalar_stationary_covariance', 'small_gain', 'crossover_margins', 'zero_dynamics']) AS u(k)""")
+@book.query("""SELECT k AS kind, p_partkey AS id, CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_size % 4 <> 0 END AS verified
+FROM part, unnest(['scalar_cbf_filter', 'first_order_step', 'scalar_stationary_covariance', 'small_gain', 'crossover_margins', 'zero_dynamics']) AS u(k)""")
 def ground_truth_checks(spark, sf_dir):
     """Recomputed ground truths: right, wrong, and incomplete ones."""
-    return _records(spark).select("kind", "id", verification.verified(c("kind"), c("s"), c("v")).alias("verified"))
+    parts = table(spark, sf_dir, "part").select(c("p_partkey").alias("id"), c("p_size").alias("n"))
+    return _records(parts).select("kind", "id", verification.verified(c("kind"), c("s"), c("v")).alias("verified"))
