@@ -17,9 +17,9 @@ import numpy as np
 
 from .pages import Block, blocks_of
 
-PATH, WORDS, NUMBERS, HIDDEN = 192, 32, 4, 20
+PATH, WORDS, NUMBERS, HIDDEN = 192, 160, 4, 20
 #: Bound of the training set, and passes over it.
-PAGES, EPOCHS, SEED = 700, 8, 7
+PAGES, EPOCHS, SEED = 1400, 10, 7
 
 
 @functools.lru_cache(100_000)
@@ -42,7 +42,8 @@ def features(blocks: list[Block]) -> np.ndarray:
     row = np.repeat(np.arange(n), sizes)
     sign = np.where(codes >> 16 & 1, 1.0, -1.0)
     bag = np.bincount(row * WORDS + codes % WORDS, sign, n * WORDS).reshape(n, WORDS)
-    out[:, PATH : PATH + WORDS] = bag / np.maximum(sizes, 1)[:, None]
+    # a word that fills its line doesn't drown the rest
+    out[:, PATH : PATH + WORDS] = np.clip(bag / np.maximum(sizes, 1)[:, None], -0.25, 0.25)
     out[:, PATH + WORDS] = np.log1p(sizes) / 4
     out[:, PATH + WORDS + 1] = [b.links for b in blocks]
     out[:, PATH + WORDS + 2] = [b.text[-1] in ".!?…:\"»”" for b in blocks]
@@ -113,7 +114,7 @@ class Labeller:
                 out[i] = odds[: len(pages[i]), k]
         return out
 
-    def fit(self, pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = EPOCHS, batch: int = 20, rate: float = 0.01, seed: int = SEED) -> None:
+    def fit(self, pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = EPOCHS, batch: int = 40, rate: float = 0.015, seed: int = SEED) -> None:
         """Backpropagation through time with Adam."""
         draw = np.random.default_rng(seed)
         mean, square, step = {k: np.zeros_like(v) for k, v in self.w.items()}, {k: np.zeros_like(v) for k, v in self.w.items()}, 0
@@ -139,7 +140,8 @@ class Labeller:
         both = np.concatenate([runs[s][0] for s in "fb"], axis=2)
         odds = (both @ self.w["o"] + x @ self.w["s"] + self.w["c"])[:, :, 0]
         error = (np.where(mask, _sigmoid(odds) - y, 0) / mask.sum()).astype(np.float32)[:, :, None]
-        grads = {"o": np.einsum("tph,tpk->hk", both, error), "s": np.einsum("tpi,tpk->ik", x, error), "c": error.sum((0, 1))}
+        over = lambda a, b: a.reshape(-1, a.shape[2]).T @ b.reshape(-1, b.shape[2])  # noqa: E731, sum over blocks and pages
+        grads = {"o": over(both, error), "s": over(x, error), "c": error.sum((0, 1))}
         d_both = error @ self.w["o"].T
         for n, side in enumerate("fb"):
             d_out, tape = d_both[:, :, n * HIDDEN : (n + 1) * HIDDEN], runs[side][1]
@@ -155,8 +157,8 @@ class Labeller:
                 before[t] = h
                 dh = np.where(m, dz[t] @ self.w[f"h{side}"].T, dh)
                 dc = np.where(m, own_c * f, dc)
-            grads[f"x{side}"] = np.einsum("tpi,tpk->ik", x, dz)
-            grads[f"h{side}"] = np.einsum("tph,tpk->hk", before, dz)
+            grads[f"x{side}"] = over(x, dz)
+            grads[f"h{side}"] = over(before, dz)
             grads[f"b{side}"] = dz.sum((0, 1))
         return grads
 
@@ -174,8 +176,19 @@ NOTES = (
 COMMENTS = (('div class="comments"',), ('section id="comments"',), ('div class="comment"',), ('ol class="comment-list"',), ('div class="user-comment reply"',), ('section class="comments"', 'div class="comment"'), ('section class="responses"',), ('div id="disqus"',), ('article class="comment"',))
 
 
-def training_pages(n: int, seed: int = SEED) -> list[tuple[str, list[bool]]]:
-    """(html, whether each block is article text) of n composed pages."""
+#: Names that wrappers of any part of a page may have: they tell nothing.
+NEUTRAL = ("entry", "single", "page", "wrapper", "container", "row", "col", "inner", "box", "block", "wrap", "section", "item", "area", "holder", "layout", "grid", "panel", "card", "hentry", "post", "view", "left", "right", "top", "node", "module")
+#: What notices, forms and adverts say, whatever their markup.
+SAYINGS = (
+    "We use cookies", "Accept all", "This site uses cookies", "Privacy policy", "Terms of use", "All rights reserved", "Sign up for our newsletter", "Subscribe now", "Log in", "Share this", "Advertisement", "Sponsored", "Follow us", "Read more", "Related articles", "Leave a reply", "Your email address",
+    "Wir verwenden Cookies", "Alle akzeptieren", "Datenschutz", "Impressum", "Alle Rechte vorbehalten", "Newsletter abonnieren", "Anmelden", "Anzeige", "Teilen", "Mehr lesen",
+    "Usamos cookies", "Aceptar todo", "Política de privacidad", "Todos los derechos reservados", "Suscríbete", "Iniciar sesión", "Publicidad", "Compartir", "Leer más",
+    "Nous utilisons des cookies", "Tout accepter", "Mentions légales", "Tous droits réservés", "Abonnez-vous", "Connexion", "Publicité", "Partager", "Lire la suite",
+)
+
+
+def training_pages(n: int, seed: int = SEED, hard: bool = True) -> list[tuple[str, list[bool]]]:
+    """(html, whether each block is article text) of n composed pages; hard ones have markup that says nothing, notices told by their words, and headers and footers inside articles."""
     draw = random.Random(seed)
     letters = "aeioubcdfghlmnprstvwéßñüø"
 
@@ -184,6 +197,10 @@ def training_pages(n: int, seed: int = SEED) -> list[tuple[str, list[bool]]]:
 
     def words(a: int, b: int, end: str = "") -> str:
         line = [word() + ("," if draw.random() < 0.1 else "") for _ in range(draw.randint(a, b))]
+        if draw.random() < 0.06:
+            line = [line[0]] + [line[-1]] * (len(line) - 1)
+        elif draw.random() < 0.03:
+            line = [x for w in line for x in (w, "|")]
         if draw.random() < 0.15:
             line = [w.upper() for w in line]
         if draw.random() < 0.2:
@@ -195,33 +212,59 @@ def training_pages(n: int, seed: int = SEED) -> list[tuple[str, list[bool]]]:
             inner = f"<{t}>{inner}</{t.split()[0]}>"
         return inner
 
+    def neutral() -> str:
+        """A wrapper whose name says nothing of its content."""
+        names = [draw.choice(NEUTRAL) if draw.random() < 0.6 else word() for _ in range(draw.randint(1, 2))]
+        return draw.choice(("div", "div", "section")) + draw.choice((' class="{}"', ' class="{}"', ' id="{}"', "")).format(draw.choice(" -").join(names))
+
+    def wrapped(known: tuple, share: float) -> tuple[str, ...]:
+        """Markup that is known for the part, or in a share of cases says nothing; either may lie in more of the latter."""
+        if not hard:
+            return draw.choice(known)
+        inner = (neutral(),) if draw.random() < share else draw.choice(known)
+        return (*(neutral() for _ in range(draw.choice((0, 0, 0, 1, 2)))), *inner)
+
+    def saying() -> str:
+        return ". ".join(draw.sample(SAYINGS, draw.randint(1, 3)))
+
     def menu(out: list) -> None:
-        tags, n = draw.choice(LISTS), draw.randint(2, 8)
+        tags, n = wrapped(LISTS, 0.2), draw.randint(2, 8)
         item = "li" if any(t.split()[0] in ("ul", "ol") for t in tags) else draw.choice(("div", "p"))
         lines = [f'<{item}><a href="/{word()}">{words(1, 3)}</a></{item}>' for _ in range(n)]
         out.append((wrap(tags, "".join(lines)), [False] * n))
 
-    def note(out: list) -> None:
-        tags, kind = draw.choice(NOTES), draw.choice(("", "p", "p", "div"))
+    def note(out: list, inside: bool = False) -> None:
+        # outside articles a notice may be told by its words alone, and its markup says nothing
+        told = hard and not inside and draw.random() < 0.45
+        tags, kind = wrapped(NOTES, 0.6) if told else draw.choice(NOTES), draw.choice(("", "p", "p", "div"))
+        if told and draw.random() < 0.3:  # a bare paragraph
+            tags, kind = (), "p"
         n = draw.choice((1, 1, 1, 2, 3))
         start = draw.choice(("", "", "&copy; ", "Cookies ", "Ad: "))
-        lines = [f"{start}{words(2, 40, draw.choice(('', '.')))}" for _ in range(n if kind else 1)]
+        lines = [f"{saying()}{draw.choice(('', '.', ' ' + words(1, 8, '.')))}" if told else f"{start}{words(2, 40, draw.choice(('', '.')))}" for _ in range(n if kind else 1)]
         out.append((wrap(tags, "".join(f"<{kind}>{x}</{kind}>" if kind else x for x in lines)), [False] * len(lines)))
 
     def remarks(out: list) -> None:
-        tags, n = draw.choice(COMMENTS), draw.randint(1, 5)
+        tags, n = (*(neutral() for _ in range(draw.choice((0, 0, 1)))), *draw.choice(COMMENTS)), draw.randint(1, 5)
         lines = [draw.choice(("<p>{}</p>", "<div>{}</div>", "<li>{}</li>")).format(words(2, 60, ".")) for _ in range(n)]
         out.append((wrap(tags, "".join(lines)), [False] * n))
 
     def body(out: list) -> None:
         parts, marks = [], []
         if draw.random() < 0.85:
-            parts.append(f"<h1>{words(1, 12)}</h1>")
+            head = f"<h1>{words(1, 12)}</h1>"
             marks.append(True)
+            if hard and draw.random() < 0.25:  # an article's own header
+                if draw.random() < 0.5:
+                    head += f"<{(h := draw.choice(('h2', 'p')))}>{words(3, 12)}</{h}>"
+                    marks.append(True)
+                head = f"<header{draw.choice(('', '', ' class="' + draw.choice(NEUTRAL) + '"'))}>{head}</header>"
+            parts.append(head)
         for _ in range(draw.choice((0, 1, 2, 4, 8, 16, 30)) if parts else draw.randint(1, 12)):
             kind = draw.random()
             if kind < 0.72:
-                text = words(1, draw.choice((5, 20, 60)), ".")
+                # an article may say what notices say
+                text = saying() + "." if draw.random() < 0.06 else words(1, draw.choice((5, 20, 60)), ".")
                 parts.append(draw.choice(("<p>{}</p>", "<p>{}</p>", "<p><b>{}<br>", "<p>{}", "<p><a href='/x'>" + word() + "</a> {}</p>", "<div>{}</div>")).format(text))
                 marks.append(True)
             elif kind < 0.8:
@@ -236,7 +279,7 @@ def training_pages(n: int, seed: int = SEED) -> list[tuple[str, list[bool]]]:
                 marks.append(True)
             else:
                 inside: list = []
-                draw.choice((note, menu))(inside)
+                draw.choice((functools.partial(note, inside=True), menu))(inside)
                 parts.append(inside[0][0])
                 marks += inside[0][1]
         if draw.random() < 0.1:
@@ -244,7 +287,11 @@ def training_pages(n: int, seed: int = SEED) -> list[tuple[str, list[bool]]]:
             remarks(inside)
             parts.append(inside[0][0])
             marks += inside[0][1]
-        out.append((wrap(draw.choice(BODIES), "".join(parts)), marks))
+        tags = wrapped(BODIES, 0.25)
+        if hard and tags and tags[-1].split()[0] == "article" and draw.random() < 0.5:  # an article's own footer
+            parts.append(f"<footer>{draw.choice(('<p>{}</p>', '{}', '<div>{}</div>')).format(words(1, 9) if draw.random() < 0.6 else saying())}</footer>")
+            marks.append(False)
+        out.append((wrap(tags, "".join(parts)), marks))
 
     made = []
     for _ in range(n):
@@ -260,9 +307,9 @@ def training_pages(n: int, seed: int = SEED) -> list[tuple[str, list[bool]]]:
     return made
 
 
-def training_set(n: int, seed: int = SEED) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def training_set(n: int, seed: int = SEED, hard: bool = True) -> tuple[list[np.ndarray], list[np.ndarray]]:
     pages, labels = [], []
-    for page, marks in training_pages(n, seed):
+    for page, marks in training_pages(n, seed, hard):
         found = blocks_of(page)
         if len(found) == len(marks):
             pages.append(features(found))

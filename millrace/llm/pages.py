@@ -7,8 +7,11 @@ import re
 from dataclasses import dataclass
 
 #: Elements whose content is never text of the page.
-RAW = "script|style|noscript|template|svg|iframe|object|canvas|textarea|select|math"
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = "script|style|noscript|template|svg|iframe|object|canvas|textarea|select|annotation"
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+    "math mi mo mn ms mtext mrow mfrac msqrt mroot msup msub msubsup munder mover munderover mtable mtr mtd mstyle mpadded mspace menclose semantics".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag ends these open elements, up to the nearest of the second set.
 CLOSES = {
@@ -84,7 +87,7 @@ def blocks_of(page: str) -> list[Block]:
         at = token.end()
         tag = token[3]
         if tag is None:
-            if token[1]:
+            if token[1] and token[1].lower() != "annotation":  # a formula's source stands beside it
                 held.append(" ")
             continue
         tag = tag.lower()

@@ -97,9 +97,10 @@ def test_media_columns(spark):
 
 def test_labeller_on_held_out_pages():
     net = labeller.trained()
-    inputs, labels = labeller.training_set(150, seed=1234)
-    right = [((s > 0) == (l > 0.5)) for s, l in zip(net.score(inputs), labels)]
-    assert np.concatenate(right).mean() > 0.99
+    for hard, least in ((False, 0.99), (True, 0.97)):
+        inputs, labels = labeller.training_set(150, seed=1234, hard=hard)
+        right = [((s > 0) == (l > 0.5)) for s, l in zip(net.score(inputs), labels)]
+        assert np.concatenate(right).mean() > least, hard
     assert net.score([]) == [] and len(net.score([np.zeros((0, inputs[0].shape[1]), np.float32)])[0]) == 0
 
 
