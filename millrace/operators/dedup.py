@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pandas as pd
@@ -62,10 +63,11 @@ def simhash_md5(rows: DataFrame, key: str, text: str) -> DataFrame:
     """
     words = F.array_distinct(X.terms(F.col(text)))
     flat = rows.select(key, F.explode(words).alias("word"))
-    digits = F.substring(F.md5("word"), 1, 16)
-    bit = [F.sum(2 * F.expr(f"cast(conv(substring(h, {b // 4 + 1}, 1), 16, 10) as int) >> {3 - b % 4} & 1") - 1) for b in range(64)]
-    votes = flat.select(key, digits.alias("h")).groupBy(key).agg(*[v.alias(f"b{n}") for n, v in enumerate(bit)])
-    return votes.select(key, F.concat(*[F.when(F.col(f"b{n}") >= 0, "1").otherwise("0") for n in range(64)]).alias("bits"))
+    half = lambda start: F.conv(F.substring("h", start, 8), 16, 10).cast("long")
+    halves = flat.select(key, F.md5("word").alias("h")).select(key, half(1).alias("h0"), half(9).alias("h1"))
+    ones = [F.sum(F.shiftright(f"h{b // 32}", 31 - b % 32).bitwiseAND(F.lit(1))).alias(f"b{b}") for b in range(64)]
+    votes = halves.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *ones)
+    return votes.select(key, F.concat(*[F.when(2 * F.col(f"b{b}") >= F.col("n"), "1").otherwise("0") for b in range(64)]).alias("bits"))
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -74,15 +76,30 @@ def distance(a: Column, b: Column) -> Column:
     return parts[0] + parts[1]
 
 
-def banded_pairs(marked: DataFrame, key: str, most: int = 3, bands: int = 4) -> DataFrame:
-    """(a, b, distance) of fingerprints that share a band and differ in at most `most` bits, a < b.
+def bands_for(n: int, most: int = 3) -> int:
+    """Blocks that 64 bits are cut into, so that a key of all but `most` of them has more values than there are fingerprints, where 7 blocks at most allow it."""
+    blocks = most + 1
+    while blocks < most + 4 and 64 * (blocks - most) / blocks < n.bit_length() - 4:
+        blocks += 1
+    return blocks
 
-    Exact for most < bands.  Equal fingerprints meet once, as classes: a and b
-    are the smallest keys of theirs, so copies don't multiply.
+
+def banded_pairs(marked: DataFrame, key: str, most: int = 3, blocks: int | None = None) -> DataFrame:
+    """(a, b, distance) of fingerprints that differ in at most `most` bits, a < b.
+
+    Of the blocks that a fingerprint is cut into, `most` differ at worst, so
+    two such fingerprints agree on some choice of the others: each choice is a
+    join key.  More fingerprints are cut into more blocks, whose keys are
+    longer, so buckets stay small at any size; the result is the same.  Equal
+    fingerprints meet once, as classes: a and b are the smallest keys of
+    theirs, so copies don't multiply.
     """
-    classes = marked.groupBy("bits").agg(F.min(key).alias(key))
-    width = 64 // bands
-    keyed = classes.select(key, "bits", F.explode(F.array(*[F.concat(F.lit(f"{i}:"), F.substring("bits", i * width + 1, width)) for i in range(bands)])).alias("band"))
+    classes = checkpointed(marked.groupBy("bits").agg(F.min(key).alias(key)))
+    blocks = blocks or bands_for(classes.count(), most)
+    cuts = [64 * i // blocks for i in range(blocks + 1)]
+    parts = [F.substring("bits", a + 1, b - a) for a, b in zip(cuts, cuts[1:])]
+    choices = itertools.combinations(range(blocks), blocks - most)
+    keyed = classes.select(key, "bits", F.explode(F.array(*[F.concat(F.lit(f"{n}:"), *[parts[i] for i in chosen]) for n, chosen in enumerate(choices)])).alias("band"))
     other = keyed.select(F.col(key).alias("b"), F.col("bits").alias("bits_b"), "band")
     pairs = keyed.withColumnRenamed(key, "a").join(other, "band").filter("a < b")
     return pairs.select("a", "b", distance(F.col("bits"), F.col("bits_b")).alias("distance")).filter(F.col("distance") <= most).distinct()

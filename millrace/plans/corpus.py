@@ -272,6 +272,16 @@ def benchmark_exact_leak(spark, sf_dir):
     return validation.exact_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@book.query(f"""WITH k AS (SELECT item_id, {_HASH} AS k FROM benchmark), h AS (SELECT doc_id * 2 AS doc_id, text FROM documents UNION ALL SELECT item_id * 2 + 1, '  ' || upper(text) || ' ' FROM benchmark WHERE text NOT LIKE '%ß%'),
+d AS (SELECT doc_id, {_HASH} AS k FROM h) SELECT doc_id, item_id FROM d JOIN k ON d.k = k.k""")
+def planted_exact_leak(spark, sf_dir):
+    """Documents and benchmark items in other case and spacing, against the items."""
+    items = table(spark, sf_dir, "benchmark")
+    planted = items.filter("text not like '%ß%'").select((F.col("item_id") * 2 + 1).alias("doc_id"), F.concat(F.lit("  "), F.upper("text"), F.lit(" ")).alias("text"))
+    docs = table(spark, sf_dir, "documents").select((F.col("doc_id") * 2).alias("doc_id"), "text")
+    return validation.exact_leaks(docs.unionByName(planted), items)
+
+
 @book.query(rf"""WITH t AS (SELECT 'd' AS side, doc_id AS id, regexp_extract_all(lower(replace(lower(text), 'ß', 'ss')), '[\p{{L}}\p{{N}}_]+|[+\-*/^]') AS w FROM documents
   UNION ALL SELECT 'b', item_id, regexp_extract_all(lower(replace(lower(text), 'ß', 'ss')), '[\p{{L}}\p{{N}}_]+|[+\-*/^]') FROM benchmark),
 g AS (SELECT DISTINCT side, id, array_to_string(w[i : i + 12], ' ') AS g FROM t, unnest(range(1, len(w) - 11)) AS u(i))
@@ -316,6 +326,14 @@ def page_hosts(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.coalesce((scheme == "https") & F.endswith(host, F.lit(".example.com")), F.lit(False)).alias("https_com"))
 
 
+@book.query("""SELECT page_id, f AS field FROM (SELECT page_id, unnest([CASE WHEN host = '' THEN 'host' END, CASE WHEN query IS NULL OR query = '' THEN 'query' END, CASE WHEN title = '' THEN 'title' END]) AS f FROM
+  (SELECT page_id, regexp_extract(url, '^https://([^/]+)', 1) AS host, nullif(regexp_extract(url, '[?](.*)$', 1), '') AS query, regexp_extract(html, '<h2>([^<]*)</h2>', 1) AS title FROM pages)) WHERE f IS NOT NULL""")
+def page_field_gaps(spark, sf_dir):
+    """Parts of pages that are null or empty."""
+    rows = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^https://([^/]+)", 1).alias("host"), F.nullif(F.regexp_extract("url", "[?](.*)$", 1), F.lit("")).alias("query"), F.regexp_extract("html", "<h2>([^<]*)</h2>", 1).alias("title"))
+    return validation.missing_fields(rows, "page_id", ["host", "query", "title"])
+
+
 _LINT = r"""SELECT conv_id, turn, unnest(list_filter([
   CASE WHEN regexp_replace(text, '^\s+|\s+$', '', 'g') = '' THEN 'EMPTY answer' WHEN contains(lower(text), 'i could not generate') THEN 'PLACEHOLDER non-answer' WHEN len(regexp_extract_all(text, '\S+')) < 40 THEN 'THIN answer (' || len(regexp_extract_all(text, '\S+')) || ' words)' END,
   CASE WHEN regexp_matches(text, '\\\\[a-zA-Z|{}()]') THEN 'DOUBLED LaTeX backslash' END,

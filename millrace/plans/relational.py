@@ -26,6 +26,24 @@ def anti_join_pending(spark, sf_dir):
     return files.pending(table(spark, sf_dir, "customer"), done, "c_custkey").select("c_custkey")
 
 
+@book.query("""SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = (SELECT min(o_orderpriority) FROM orders) AND o_totalprice > c_acctbal * 50)""")
+def pending_customers(spark, sf_dir):
+    """Customers without an order of the first priority that is large for their balance."""
+    orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    first = orders.agg(F.min("o_orderpriority").alias("first"))  # one row
+    urgent = orders.join(F.broadcast(first), F.col("o_orderpriority") == F.col("first")).join(customers.select(F.col("c_custkey").alias("o_custkey"), "c_acctbal"), "o_custkey")
+    done = urgent.filter(F.col("o_totalprice") > F.col("c_acctbal") * 50).select(F.col("o_custkey").alias("c_custkey"))
+    return files.pending(customers, done, "c_custkey").select("c_custkey")
+
+
+@book.query("""WITH d AS (SELECT source, lang, doc_id FROM documents), n AS (SELECT source || ':' || lang AS grp, doc_id % 7 = 3 AS held FROM d)
+SELECT grp FROM n GROUP BY grp HAVING bool_or(held) AND NOT bool_and(held)""")
+def pair_leaks(spark, sf_dir):
+    """Pairs of source and language that stand on both sides of a split by id."""
+    docs = table(spark, sf_dir, "documents").select(F.concat_ws(":", "source", "lang").alias("grp"), "doc_id")
+    return validation.group_leaks(docs.filter("doc_id % 7 != 3"), docs.filter("doc_id % 7 = 3"), "grp")
+
+
 @book.query("""WITH new AS (SELECT c_custkey, 'NEW' AS c_mktsegment FROM customer WHERE c_custkey % 7 = 0)
 SELECT * FROM new UNION ALL SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM new)""")
 def upsert_latest(spark, sf_dir):

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import calls, systems
-from millrace.operators import matching, retrieval
+from millrace.operators import dedup, matching, retrieval
 
 
 def titles(draw, n):
@@ -146,3 +146,25 @@ def test_arguments_are_coerced_by_schema(spark):
     df = spark.createDataFrame([(k,) for k in cases], "t string").select("t", calls.coerced("t", F.lit(schema)).alias("r"))
     got = {r.t: (r.r.arguments, list(r.r.errors)) for r in df.collect()}
     assert {k: v for k, v in got.items() if cases[k] != (None, None)} == {k: v for k, v in cases.items() if v != (None, None)}
+
+
+@pytest.mark.parametrize("blocks", [4, 5, 6, 7])
+def test_pairs_of_fingerprints_for_any_number_of_blocks(spark, blocks):
+    draw = random.Random(2)
+    marks = [draw.getrandbits(64) for _ in range(40)]
+    for base in marks[:20]:
+        for flips in (0, 1, 2, 3, 4):
+            near = base
+            for at in draw.sample(range(64), flips):
+                near ^= 1 << at
+            marks.append(near)
+    least = {}
+    for i, m in enumerate(marks):
+        least.setdefault(m, i)
+    want = {(min(i, j), max(i, j)): (a ^ b).bit_count() for a, i in least.items() for b, j in least.items() if i < j and (a ^ b).bit_count() <= 3}
+    df = spark.createDataFrame([(i, f"{m:064b}") for i, m in enumerate(marks)], "id long, bits string")
+    assert {(r.a, r.b): r.distance for r in dedup.banded_pairs(df, "id", blocks=blocks).collect()} == want
+
+
+def test_blocks_grow_with_the_number_of_fingerprints():
+    assert [dedup.bands_for(n) for n in (0, 1000, 2**20, 2**26, 2**33, 2**60)] == [4, 4, 5, 5, 6, 7]
