@@ -136,3 +136,31 @@ SELECT draw, doc_id FROM p JOIN w ON point >= CAST(upto - w AS DOUBLE) AND point
 def resampled_documents(spark, sf_dir):
     """3000 draws with replacement, by length."""
     return sampling.weighted_with(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id", 3000, SEED).select("draw", "doc_id")
+
+
+_TOOLS = "[" + ", ".join(f"'{f}'" for f in sorted(generation.TOOLS)) + "]"
+_MISSING = "[" + ", ".join(f"'{f}'" for f in sorted(generation.MISSING)) + "]"
+
+
+@book.query(f"""WITH k AS (SELECT o_orderkey, {_hex(f"'{SEED}:refuse:' || o_orderkey", 1, 13)} / power(2, 52) < 1.0 / 7 AS refused, row_number() OVER (ORDER BY md5('{SEED}:split:' || o_orderkey), CAST(o_orderkey AS VARCHAR)) AS place, count(*) OVER () AS n FROM orders)
+SELECT o_orderkey, CASE WHEN refused THEN {_MISSING}[1 + {_hex(f"'{SEED}:missing:' || o_orderkey", 1, 8)} % 6] ELSE {_TOOLS}[1 + {_hex(f"'{SEED}:' || o_orderkey", 1, 8)} % 3] END AS family,
+  CASE WHEN place <= floor(n * 0.85) THEN 'train' ELSE 'valid' END AS split, CASE WHEN refused THEN 3 ELSE 5 END AS n_messages, true AS verified FROM k""")
+def tool_trajectories(spark, sf_dir):
+    """A tool call with its result, or a request that lacks data, for each order; recomputed."""
+    rows = generation.trajectories(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", SEED)
+    return rows.select(F.col("key").cast("long").alias("o_orderkey"), "family", "split", F.size("messages").alias("n_messages"), G.verify(F.col("ground_truth"))["verified"].alias("verified"))
+
+
+@book.query(f"""WITH d AS (SELECT o_orderkey, ['multiply', 'inverse', 'rank'][1 + o_orderkey % 3] AS family, {_CELL[0]} AS a, {_CELL[1]} AS b, {_CELL[2]} AS c, {_CELL[3]} AS d FROM orders),
+t AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY o_orderkey) AS attempt FROM d),
+v AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY attempt) AS place FROM t WHERE attempt <= 4 * CASE family WHEN 'multiply' THEN 220 WHEN 'inverse' THEN 200 ELSE 60 END
+  AND CASE family WHEN 'inverse' THEN a * d <> b * c WHEN 'rank' THEN a * d = b * c ELSE true END)
+SELECT o_orderkey, family, attempt, place FROM v WHERE place <= CASE family WHEN 'multiply' THEN 220 WHEN 'inverse' THEN 200 ELSE 60 END""")
+def retried_tasks(spark, sf_dir):
+    """Matrix tasks by quota: inverses of regular matrices, ranks of singular ones, any products; each family tries four times its quota at most."""
+    digest = F.md5(F.concat_ws(":", F.lit(f"{SEED}:matrix"), F.col("o_orderkey").cast("string")))
+    family = F.element_at(F.array(F.lit("multiply"), F.lit("inverse"), F.lit("rank")), (1 + F.col("o_orderkey") % 3).cast("int"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", family.alias("family"), *[(F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("long") % 9 - 4).alias(n) for i, n in enumerate("abcd")])
+    regular = F.col("a") * F.col("d") != F.col("b") * F.col("c")
+    valid = F.when(F.col("family") == "inverse", regular).when(F.col("family") == "rank", ~regular).otherwise(F.lit(True))
+    return generation.first_successes(rows, "family", "o_orderkey", valid, {"multiply": 220, "inverse": 200, "rank": 60}).select("o_orderkey", "family", "attempt", "place")

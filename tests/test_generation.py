@@ -165,3 +165,27 @@ def test_split_spreads_a_hot_pool(spark):
     docs = spark.range(5000).select(F.col("id").cast("string").alias("doc_key"), F.when(F.col("id") < 4000, "hot").when(F.col("id") < 4999, "cold").otherwise("one").alias("pool"))
     got = {r.pool: r.n for r in sampling.stratified_split(docs, 5.0).filter("split = 'valid'").groupBy("pool").agg(F.count("*").alias("n")).collect()}
     assert got == {"hot": 200, "cold": 50, "one": 1}
+
+
+def test_trajectories_hold_their_calls(spark):
+    keys = spark.range(300).withColumnRenamed("id", "k")
+    rows = generation.trajectories(keys, "k", 5).collect()
+    assert len(rows) == 300 and sum(r.split == "train" for r in rows) == 255
+    lacking = [r for r in rows if r.family in generation.MISSING]
+    assert 15 < len(lacking) < 90
+    for r in rows:
+        roles = [m.role for m in r.messages]
+        truth = json.loads(r.ground_truth)
+        if r.family in generation.MISSING:
+            assert roles == ["system", "user", "assistant"] and G.required_terms(truth, r.messages[2].content) is None
+        else:
+            assert roles == ["system", "user", "assistant", "tool", "assistant"]
+            call = json.loads(r.messages[2].content.removeprefix("<tool_call>").removesuffix("</tool_call>"))
+            assert call["name"] == generation.TOOLS[r.family] and truth == {"kind": r.family} | call["arguments"] | json.loads(r.messages[3].content)
+    assert {r.key: r for r in generation.trajectories(keys.filter("k % 5 = 1").repartition(3), "k", 5).collect()}["6"].messages == next(r for r in rows if r.key == "6").messages
+
+
+def test_first_successes_lose_patience(spark):
+    rows = spark.range(100).select(F.col("id").alias("n"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("kind"))
+    got = generation.first_successes(rows, "kind", "n", F.col("n") >= 10, {"a": 3, "b": 1}).collect()
+    assert sorted((r.kind, r.n, r.attempt, r.place) for r in got) == [("a", 10, 6, 1), ("a", 12, 7, 2), ("a", 14, 8, 3)]
