@@ -1,7 +1,8 @@
 """Exact top-k search by inner product with block-at-a-time pruning.
 
-Vectors are integers.  Rows are dealt to tiles; a tile orders its rows so that
-alike ones lie together and cuts them into blocks of BLOCK rows, each with its
+Vectors are integers.  Rows are dealt to tiles of alike ones (cells of sampled
+pivots, cut where they are too full); a tile orders its rows so that
+alike ones lie together and cuts them into ranges, blocks of BLOCK rows, each with its
 forward index (the rows' values) and the largest and smallest value of every
 term (dimension).  The bound of a block for a query is the sum over terms of
 the larger of weight * largest and weight * smallest.  Each query visits the
@@ -10,9 +11,10 @@ k-th score so far; equal bounds are still visited, since ties go to the
 smaller id.
 
 A query is searched in its home tile first.  The k-th score found there is
-its floor in all other tiles, which drop every block whose bound is below it
-at once.  Queries go to the other tiles in batches, so that a task holds one
-tile and one batch; Spark merges the tiles' results.
+its floor elsewhere: tiles have bounds like blocks, and a query goes only to
+tiles whose bound isn't below its floor, which drop every block below it at
+once.  Queries go to tiles in batches, so that a task holds one tile and one
+batch; Spark merges the tiles' results.
 
 Edge cases: vectors that are null or hold null or non-finite components take
 no part, nor do rows without id; a query meets vectors of its own length only,
@@ -27,10 +29,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import stash
 
 K, BLOCK, TILE, BATCH, PIVOTS = 5, 64, 16_384, 16_384, 128
+#: Cells that rows are dealt to at most, and tiles whose bounds a task holds.
+CELLS, BOUNDS = 1_024, 4_096
 #: Queries of a batch that are searched together; bounds their matrix of bounds.
 TOGETHER = 1_024
 
@@ -105,15 +110,96 @@ def search(tile: Tile, ids: np.ndarray, queries: np.ndarray, k: int = K, floors:
     return row, best_id[row, place], best_score[row, place], scored
 
 
+def dealt(rows: DataFrame, tile: int, batch: int, most: int = CELLS) -> tuple[DataFrame, int, int]:
+    """(rows (tile, dim, vec_id, v, q), number of tiles, number of batches): alike rows lie in one tile of about `tile` rows.
+
+    Rows go to the cell of the pivot whose direction is nearest; pivots are the
+    `most` rows of smallest hash at most, one a tile.  A cell that is too full
+    is cut into tiles by hash.
+    """
+    rows = stash(rows.select(F.size("v").alias("dim"), "vec_id", "v", "q"), "vectors")
+    n, m = rows.agg(F.count(F.lit(1)), F.count_if("q")).first()
+    cells = min(most, max(1, -(-n // tile)))
+    pivots: dict[int, list] = {}
+    for r in rows.orderBy(F.xxhash64("vec_id", F.lit(7)), "vec_id").select("dim", "v").limit(cells).collect():  # at most CELLS vectors
+        pivots.setdefault(r.dim, []).append(r.v)
+    units = {d: np.array(v, np.float64) / np.maximum(np.linalg.norm(np.array(v, np.float64), axis=1, keepdims=True), 1) for d, v in pivots.items() if d}
+
+    @F.pandas_udf(T.IntegerType())
+    def cell(v: pd.Series) -> pd.Series:
+        sizes = v.map(len).to_numpy()
+        out = np.zeros(len(v), np.int32)
+        for d in np.unique(sizes):
+            if d in units:
+                at = np.flatnonzero(sizes == d)
+                out[at] = np.argmax(np.stack(v.iloc[at].to_numpy()).astype(np.float64) @ units[d].T, axis=1)
+        return pd.Series(out)
+
+    if cells > 1:
+        rows = stash(rows.withColumn("cell", cell("v")), "cells")
+    else:
+        rows = rows.withColumn("cell", F.lit(0))
+    counts = {r.cell: r.n for r in rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most CELLS rows
+    cuts = {c: -(-k // tile) for c, k in counts.items()}
+    first = dict(zip(cuts, np.cumsum([0, *cuts.values()]).tolist()))
+    table = [(c, first[c], cuts[c]) for c in cuts] or [(0, 0, 1)]
+    lookup = lambda i: F.element_at(F.create_map(*[F.lit(x) for r in table for x in (r[0], r[i])]), F.col("cell"))
+    rows = rows.withColumn("tile", (lookup(1) + F.pmod(F.xxhash64("vec_id", F.lit(1)), lookup(2))).cast("int"))
+    return rows.select("tile", "dim", "vec_id", "v", "q"), max(1, sum(cuts.values())), max(1, -(-m // batch))
+
+
+def tile_bounds(data: DataFrame) -> DataFrame:
+    """(tile, dim, most array<long>, least array<long>): the largest and smallest value of every term among a tile's rows of a length."""
+
+    def partial(frames):
+        for frame in frames:
+            out = []
+            for (tile, dim), part in frame.groupby(["tile", "dim"]):
+                v = np.stack(part["v"].to_numpy()).astype(np.int64)
+                out.append(pd.DataFrame({"tile": tile, "dim": dim, "term": np.arange(dim), "most": v.max(axis=0), "least": v.min(axis=0)}))
+            yield pd.concat(out) if out else pd.DataFrame({c: [] for c in ("tile", "dim", "term", "most", "least")})
+
+    terms = data.select("tile", "dim", "v").mapInPandas(partial, "tile int, dim int, term int, most long, least long")
+    terms = terms.groupBy("tile", "dim", "term").agg(F.max("most").alias("most"), F.min("least").alias("least"))
+    ordered = F.array_sort(F.collect_list(F.struct("term", "most", "least")))
+    found = terms.groupBy("tile", "dim").agg(ordered.alias("t")).select("tile", "dim", F.col("t.most").alias("most"), F.col("t.least").alias("least"))
+    none = F.array().cast("array<long>")
+    # rows without terms have bounds without terms
+    return data.select("tile", "dim").distinct().join(found, ["tile", "dim"], "left").select(*[F.expr(c).alias(c) for c in ("tile", "dim")], F.coalesce("most", none).alias("most"), F.coalesce("least", none).alias("least"))
+
+
+def visits(asked: DataFrame, bounds: DataFrame, tiles: int, group: int = BOUNDS) -> DataFrame:
+    """asked (dim, query_id, query, v, home, floor) once for each other tile whose bound isn't below the query's floor.
+
+    Bounds meet queries in groups of `group` tiles, so a task holds so many of them.
+    """
+    groups = -(-tiles // group)
+    sides = (asked.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select("group", "dim", "query_id", "query", "v", "home", "floor"), bounds.withColumn("group", F.floor(F.col("tile") / group).cast("int")))
+
+    def reached(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query_id": [], "query": [], "tile": []})
+        most, least = (np.stack(right[c].to_numpy()).astype(np.float64) for c in ("most", "least"))
+        names, parts = right["tile"].to_numpy(), []
+        for start in range(0, len(left), TOGETHER):
+            part = left.iloc[start : start + TOGETHER]
+            q = np.stack(part["v"].to_numpy()).astype(np.float64)
+            bound = np.maximum(q, 0) @ most.T + np.minimum(q, 0) @ least.T
+            slack = 1e-9 * (np.abs(q) @ np.maximum(np.abs(most), np.abs(least)).T)  # sums of large values are rounded
+            row, col = np.nonzero((bound + slack >= part["floor"].to_numpy(np.float64)[:, None]) & (part["home"].to_numpy()[:, None] != names[None, :]))
+            parts.append(pd.DataFrame({"query_id": part["query_id"].to_numpy()[row], "query": part["query"].to_numpy()[row], "tile": names[col]}))
+        return pd.concat(parts)
+
+    pairs = sides[0].groupBy("group", "dim").cogroup(sides[1].groupBy("group", "dim")).applyInPandas(reached, "query_id long, query long, tile int")
+    return pairs.join(asked.select("query_id", "query", "dim", "v", "floor"), ["query_id", "query"])
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = K, block: int = BLOCK, tile: int = TILE, batch: int = BATCH) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k best rows of vectors (vec_id, v array<long>) for every row that is_query marks."""
-    rows = vectors.filter("vec_id is not null and v is not null").withColumn("q", is_query)
-    n, m = rows.agg(F.count(F.lit(1)), F.count_if("q")).first()
-    tiles, batches = max(1, -(-n // tile)), max(1, -(-m // batch))
+    rows, tiles, batches = dealt(vectors.filter("vec_id is not null and v is not null").withColumn("q", is_query), tile, batch)
     of = lambda name, parts, salt: F.pmod(F.xxhash64(name, F.lit(salt)), F.lit(parts)).cast("int")
-    rows = rows.select(of("vec_id", tiles, 1).alias("home"), F.size("v").alias("dim"), "vec_id", "v", "q")
-    asked = rows.filter("q").select("home", "dim", F.col("vec_id").alias("query_id"), F.xxhash64("v").alias("query"), "v").distinct()
-    data = rows.select(F.col("home").alias("tile"), "dim", "vec_id", "v")
+    asked = rows.filter("q").select("tile", "dim", F.col("vec_id").alias("query_id"), F.xxhash64("v").alias("query"), "v").distinct()
+    data = rows.select("tile", "dim", "vec_id", "v")
 
     def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -134,15 +220,18 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, block: int = BLOCK,
         return data.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(work, "query_id long, query long, vec_id long, score long")
 
     least = F.lit(-(2**63)).cast("long")
-    at_home = searched(data, asked.withColumns({"tile": F.col("home"), "batch": F.lit(0), "floor": least}), ["tile", "dim"])
+    at_home = searched(data, asked.withColumns({"batch": F.lit(0), "floor": least}), ["tile", "dim"])
     found = at_home
     if tiles > 1:
-        # the query set meets all other tiles, batch by batch
+        # the query set meets the bounds of all other tiles, and those tiles that can hold something better, batch by batch
         at_home = stash(at_home, "home")
         kth = at_home.groupBy("query_id", "query").agg(F.min("score").alias("kth"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k)
-        away = asked.join(kth, ["query_id", "query"], "left").withColumn("floor", F.coalesce("kth", least)).withColumn("batch", of("query_id", batches, 2))
-        away = away.withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).filter(F.col("tile") != F.col("home"))
-        data = data.withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(batches - 1))))
+        floored = asked.join(kth, ["query_id", "query"], "left").withColumn("floor", F.coalesce("kth", least)).withColumnRenamed("tile", "home")
+        away = visits(floored, tile_bounds(data), tiles).withColumn("batch", of("query_id", batches, 2))
+        if batches > 1:
+            data = data.withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(batches - 1))))
+        else:
+            data = data.withColumn("batch", F.lit(0))
         found = at_home.unionByName(searched(data, away, ["tile", "batch", "dim"]))
     best = W.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -48,6 +48,21 @@ def test_bounds_spare_blocks():
     assert scored < 20 * len(tile.ids) / 2
 
 
+def test_queries_visit_only_tiles_whose_bound_reaches_their_floor(spark):
+    draw = np.random.default_rng(6)
+    centres = draw.integers(-400, 400, (16, 12))
+    rows = np.concatenate([c + draw.integers(-8, 9, (64, 12)) for c in centres])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, v array<long>").withColumn("q", F.col("vec_id") % 20 == 0)
+    dealt, tiles, _ = topk.dealt(df, 64, 1024)
+    best = {i: sorted((rows @ rows[i]).tolist(), reverse=True)[6] for i in range(0, len(rows), 20)}
+    floors = spark.createDataFrame([(i, int(s)) for i, s in best.items()], "query_id long, floor long")
+    asked = dealt.filter("q").select(F.col("tile").alias("home"), "dim", F.col("vec_id").alias("query_id"), F.xxhash64("v").alias("query"), "v").join(floors, "query_id")
+    pairs = topk.visits(asked, topk.tile_bounds(dealt), tiles, group=5)
+    assert tiles >= 16 and pairs.count() < 0.4 * len(best) * (tiles - 1)
+    got = {tuple(r) for r in topk.top_k(df.drop("q"), F.col("vec_id") % 20 == 0, tile=64).collect()}
+    assert got == brute([(i, v.tolist()) for i, v in enumerate(rows)], set(best), 5)
+
+
 def test_large_components_stay_exact():
     rows = np.array([[2**30, 3], [2**30 - 1, 5], [-(2**30), 7]], np.int64)
     row, ids, score, _ = topk.search(topk.Tile(np.arange(3), rows), np.array([0]), rows[:1], 2)
