@@ -1,230 +1,117 @@
-"""Matrix tools as Arrow UDFs: a row's matrices are small, and rows are spread over tasks.
+"""Matrix tools over stacks: rows of a batch whose matrices have the same shapes are solved in one call.
 
-Every tool takes and gives JSON-free columns: matrices are array<array<double>>,
-complex numbers [re, im].  A row that can't be computed gives status "error"
-and the reason, never an exception.
+Matrices are array<array<double>>, complex numbers [re, im].  A row that can't
+be computed gives status "error" and the reason, never an exception.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-def _matrix(x) -> np.ndarray:
-    return np.array([list(r) for r in x], dtype=float)
+from . import stacked as S
+from .systems import in_order, stacked_tool
 
 
-def expm(a: np.ndarray) -> np.ndarray:
-    """Scaling and squaring of the Taylor series."""
-    k = max(0, int(np.ceil(np.log2(max(np.linalg.norm(a, 1), 1e-300)))) + 4)
-    x, term, total = a / 2.0**k, np.eye(len(a)), np.eye(len(a))
-    for n in range(1, 19):
-        term = term @ x / n
-        total = total + term
-    for _ in range(k):
-        total = total @ total
-    return total
+def _norm(a: np.ndarray) -> np.ndarray:
+    return np.linalg.norm(a, axis=(1, 2))
 
 
-def zoh(a: np.ndarray, b: np.ndarray, step: float) -> tuple[np.ndarray, np.ndarray]:
-    n, m = b.shape
-    block = np.zeros((n + m, n + m))
-    block[:n, :n], block[:n, n:] = a, b
-    whole = expm(block * step)
-    return whole[:n, :n], whole[:n, n:]
-
-
-def lyapunov(a: np.ndarray, q: np.ndarray, discrete: bool) -> np.ndarray:
-    """A'P + PA + Q = 0, or A'PA - P + Q = 0."""
-    n, eye = len(a), np.eye(len(a))
-    left = np.kron(a.T, a.T) - np.eye(n * n) if discrete else np.kron(eye, a.T) + np.kron(a.T, eye)
-    return np.linalg.solve(left, -q.flatten(order="F")).reshape(n, n, order="F")
-
-
-def care(a: np.ndarray, b: np.ndarray, q: np.ndarray, r: np.ndarray) -> np.ndarray:
-    """The stabilising solution of the continuous Riccati equation, from the Hamiltonian's stable eigenspace."""
-    n = len(a)
-    values, vectors = np.linalg.eig(np.block([[a, -b @ np.linalg.solve(r, b.T)], [-q, -a.T]]))
-    stable = vectors[:, np.argsort(values.real)[:n]]
-    return np.real(stable[n:] @ np.linalg.inv(stable[:n]))
-
-
-def dare(a: np.ndarray, b: np.ndarray, q: np.ndarray, r: np.ndarray) -> np.ndarray:
-    """The discrete Riccati equation by the doubling algorithm."""
-    g, h, x = b @ np.linalg.solve(r, b.T), q.copy(), a.copy()
-    for _ in range(60):
-        w = np.linalg.inv(np.eye(len(a)) + g @ h)
-        new = h + x.T @ h @ w @ x
-        g, x = g + x @ w @ g @ x.T, x @ w @ x
-        if np.allclose(new, h, rtol=1e-14, atol=1e-14):
-            return new
-        h = new
-    return h
-
-
-def reach(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.hstack([np.linalg.matrix_power(a, k) @ b for k in range(len(a))])
-
-
-def ackermann(a: np.ndarray, b: np.ndarray, poles: np.ndarray) -> np.ndarray:
-    last = np.zeros(len(a))
-    last[-1] = 1
-    phi = sum((c * np.linalg.matrix_power(a, len(a) - i) for i, c in enumerate(np.real(np.poly(poles)))), np.zeros_like(a))
-    return (last @ np.linalg.solve(reach(a, b), phi))[None, :]
-
-
-def routh(coefficients: np.ndarray) -> list[float]:
-    """First column of the Routh array, descending coefficients; a vanishing entry becomes a small positive one."""
-    rows = [coefficients[0::2], coefficients[1::2]]
-    rows[1] = np.pad(rows[1], (0, len(rows[0]) - len(rows[1])))
-    while len(rows) < len(coefficients):
-        a, b = rows[-2], rows[-1]
-        lead = b[0] if abs(b[0]) > 1e-12 else 1e-9
-        rows.append(np.append((lead * a[1:] - a[0] * b[1:]) / lead, 0.0))
-    return [float(r[0]) for r in rows]
-
-
-def _rows(work, *columns):
-    out = []
-    for values in zip(*columns):
-        try:
-            out.append({"status": "success", "error": None} | work(*values))
-        except Exception as problem:  # a bad row is a result, not a failed task
-            out.append({"status": "error", "error": f"{type(problem).__name__}: {problem}"})
-    return out
-
-
-KINDS = {
-    "matrix": T.ArrayType(T.ArrayType(T.DoubleType())), "vector": T.ArrayType(T.DoubleType()),
-    "double": T.DoubleType(), "int": T.IntegerType(), "boolean": T.BooleanType(), "string": T.StringType(),
-}
-
-
-def tool(work, **fields: str):
-    """A pandas UDF that gives struct<status, error, fields> for each row."""
-    schema = T.StructType([T.StructField(n, KINDS[k]) for n, k in ({"status": "string", "error": "string"} | fields).items()])
-
-    @F.pandas_udf(schema)
-    def run(*columns: pd.Series) -> pd.DataFrame:
-        rows = _rows(work, *columns)
-        return pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype=object) for n in schema.names})
-
-    return run
-
-
-def _complex(values) -> list[list[float]]:
-    return [[float(v.real), float(v.imag)] for v in sorted(np.atleast_1d(values), key=lambda v: (round(v.real, 9), round(v.imag, 9)))]
+def _one(flags: np.ndarray) -> bool:
+    """The flag that the rows of a stack share; rows of a mixed stack are computed alone."""
+    if len(set(flags.tolist())) > 1:
+        raise ValueError("flags differ")
+    return bool(flags[0])
 
 
 def _zoh(a, b, step):
-    ad, bd = zoh(_matrix(a), _matrix(b), step)
-    return {"ad": ad.tolist(), "bd": bd.tolist()}
+    ad, bd = S.held(a, b, step)
+    return {"ad": ad, "bd": bd}
 
 
 def _eigen(a, discrete):
-    values = np.linalg.eigvals(_matrix(a))
-    return {"values": _complex(values), "stable": bool(np.all(np.abs(values) < 1) if discrete else np.all(values.real < 0))}
-
-
-def _rank(a, b):
-    m = reach(_matrix(a), _matrix(b))
-    return {"rank": int(np.linalg.matrix_rank(m)), "full": bool(np.linalg.matrix_rank(m) == len(m))}
+    z = np.linalg.eigvals(a) + 0j
+    return {"values": in_order(z), "stable": np.where(discrete > 0, (np.abs(z) < 1).all(axis=1), (z.real < 0).all(axis=1))}
 
 
-def _observe(a, c):
-    return _rank(_matrix(a).T.tolist(), _matrix(c).T.tolist())
+def _rank(m: np.ndarray, size: int) -> dict:
+    rank = np.linalg.matrix_rank(m)
+    return {"rank": rank, "full": rank == size}
 
 
 def _lyapunov(a, q, discrete):
-    a, q = _matrix(a), _matrix(q)
-    p = lyapunov(a, q, bool(discrete))
-    rest = a.T @ p @ a - p + q if discrete else a.T @ p + p @ a + q
-    return {"p": p.tolist(), "residual": float(np.linalg.norm(rest))}
+    if _one(discrete):
+        p = S.stein(S.t(a), q)
+        return {"p": p, "residual": _norm(S.t(a) @ p @ a - p + q)}
+    p = S.lyapunov(S.t(a), q)
+    return {"p": p, "residual": _norm(S.t(a) @ p + p @ a + q)}
 
 
 def _lqr(a, b, q, r):
-    a, b, q, r = map(_matrix, (a, b, q, r))
-    p = care(a, b, q, r)
-    k = np.linalg.solve(r, b.T @ p)
-    poles = np.linalg.eigvals(a - b @ k)
-    return {"k": k.tolist(), "residual": float(np.linalg.norm(a.T @ p + p @ a - p @ b @ k + q)), "poles": _complex(poles), "stable": bool(np.all(poles.real < 0))}
+    p, k = S.care(a, b, q, r)
+    z = np.linalg.eigvals(a - b @ k) + 0j
+    return {"k": k, "residual": _norm(S.t(a) @ p + p @ a - p @ b @ k + q), "poles": in_order(z), "stable": (z.real < 0).all(axis=1)}
 
 
 def _dlqr(a, b, q, r):
-    a, b, q, r = map(_matrix, (a, b, q, r))
-    p = dare(a, b, q, r)
-    k = np.linalg.solve(r + b.T @ p @ b, b.T @ p @ a)
-    poles = np.linalg.eigvals(a - b @ k)
-    return {"k": k.tolist(), "residual": float(np.linalg.norm(a.T @ p @ a - p - a.T @ p @ b @ k + q)), "poles": _complex(poles), "stable": bool(np.all(np.abs(poles) < 1))}
+    p, k = S.dare(a, b, q, r)
+    z = np.linalg.eigvals(a - b @ k) + 0j
+    return {"k": k, "residual": _norm(S.t(a) @ p @ a - p - S.t(a) @ p @ b @ k + q), "poles": in_order(z), "stable": (np.abs(z) < 1).all(axis=1)}
 
 
 def _place(a, b, poles):
-    a, b = _matrix(a), _matrix(b)
-    k = ackermann(a, b, np.array([complex(*p) for p in poles]))
-    return {"k": k.tolist(), "poles": _complex(np.linalg.eigvals(a - b @ k))}
+    k = S.placed(a, b, poles[..., 0] + 1j * poles[..., 1])
+    return {"k": k, "poles": in_order(np.linalg.eigvals(a - b @ k) + 0j)}
 
 
-def _routh(c):
-    column = routh(np.array(list(c), float))
-    changes = sum(x * y < 0 for x, y in zip(column, column[1:]))
+def _routh(coefficients):
+    """First column of the Routh array, descending coefficients; a vanishing entry becomes a small positive one."""
+    n, size = coefficients.shape
+    above, row = coefficients[:, 0::2], coefficients[:, 1::2]
+    row = np.concatenate((row, np.zeros((n, above.shape[1] - row.shape[1]))), axis=1)
+    column = [above[:, 0]]
+    while len(column) < size:
+        column.append(row[:, 0])
+        lead = np.where(np.abs(row[:, :1]) > 1e-12, row[:, :1], 1e-9)
+        above, row = row, np.concatenate(((lead * above[:, 1:] - above[:, :1] * row[:, 1:]) / lead, np.zeros((n, 1))), axis=1)
+    column = np.stack(column, axis=1)
+    changes = (column[:, 1:] * column[:, :-1] < 0).sum(axis=1)
     return {"column": column, "changes": changes, "stable": changes == 0}
 
 
+def _times(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return (a @ x[..., None])[..., 0]
+
+
 def _update(x, p, h, r, z):
-    x, z, p, h, r = np.array(list(x), float), np.array(list(z), float), *map(_matrix, (p, h, r))
-    s = h @ p @ h.T + r
-    k = np.linalg.solve(s.T, h @ p.T).T
-    keep = np.eye(len(x)) - k @ h
-    return {"x": (x + k @ (z - h @ x)).tolist(), "p": (keep @ p @ keep.T + k @ r @ k.T).tolist()}
+    s = h @ p @ S.t(h) + r
+    k = S.t(np.linalg.solve(S.t(s), h @ S.t(p)))
+    keep = S.eye(p) - k @ h
+    return {"x": x + _times(k, z - _times(h, x)), "p": keep @ p @ S.t(keep) + k @ r @ S.t(k)}
 
 
 def _predict(x, p, a, q):
-    x, p, a, q = np.array(list(x), float), *map(_matrix, (p, a, q))
-    return {"x": (a @ x).tolist(), "p": (a @ p @ a.T + q).tolist()}
+    return {"x": _times(a, x), "p": a @ p @ S.t(a) + q}
 
 
 def _arx(u, y, order):
-    u, y, n = np.array(list(u), float), np.array(list(y), float), int(order)
-    phi = np.array([[*(-y[t - n : t][::-1]), *(u[t - n : t][::-1])] for t in range(n, len(y))])
-    theta, *_ = np.linalg.lstsq(phi, y[n:], rcond=None)
-    return {"theta": theta.tolist(), "rms": float(np.sqrt(np.mean((phi @ theta - y[n:]) ** 2)))}
-
-
-def _step(num, den, end):
-    """Step response of num/den (descending) on 1000 points by exact discretisation."""
-    num, den = np.array(list(num), float), np.array(list(den), float)
-    n = len(den) - 1
-    num = np.pad(num, (n + 1 - len(num), 0)) / den[0]
-    den = den / den[0]
-    a = np.zeros((n, n))
-    a[0], a[1:, :-1] = -den[1:], np.eye(n - 1)
-    b = np.zeros((n, 1))
-    b[0] = 1
-    c, d = num[1:] - den[1:] * num[0], num[0]
-    t = np.linspace(0, end, 1000)
-    ad, bd = zoh(a, b, t[1])
-    x, y = np.zeros((n, 1)), []
-    for _ in t:
-        y.append(float(c @ x[:, 0] + d))
-        x = ad @ x + bd
-    final = float(num[-1] / den[-1]) if abs(den[-1]) > 1e-12 else y[-1]
-    y = np.array(y)
-    outside = np.flatnonzero(np.abs(y - final) > 0.02 * abs(final))
-    return {"final": float(y[-1]), "peak": float(y.max()), "overshoot": float(max(0.0, (y.max() - final) / final * 100)) if final else 0.0, "settling": float(t[min(len(t) - 1, outside[-1] + 1)]) if len(outside) else 0.0}
-
-
-exact_zoh = tool(_zoh, ad="matrix", bd="matrix")
-eigen_analysis = tool(_eigen, values="matrix", stable="boolean")
-controllability = tool(_rank, rank="int", full="boolean")
-observability = tool(_observe, rank="int", full="boolean")
-solve_lyapunov = tool(_lyapunov, p="matrix", residual="double")
-continuous_lqr = tool(_lqr, k="matrix", residual="double", poles="matrix", stable="boolean")
-discrete_lqr = tool(_dlqr, k="matrix", residual="double", poles="matrix", stable="boolean")
-place_poles = tool(_place, k="matrix", poles="matrix")
-routh_hurwitz = tool(_routh, column="vector", changes="int", stable="boolean")
-kalman_update = tool(_update, x="vector", p="matrix")
-kalman_predict = tool(_predict, x="vector", p="matrix")
-least_squares_arx = tool(_arx, theta="vector", rms="double")
-step_response = tool(_step, final="double", peak="double", overshoot="double", settling="double")
+    if len(set(order.tolist())) > 1:
+        raise ValueError("orders differ")
+    n, size = int(order[0]), y.shape[1]
+    past = lambda x: [x[:, n - i : size - i] for i in range(1, n + 1)]
+    phi, seen = np.stack(past(y) + past(u), axis=-1), y[:, n:]
+    theta = _times(np.linalg.pinv(phi), seen)
+    return {"theta": theta, "rms": np.sqrt(((_times(phi, theta) - seen) ** 2).mean(axis=1))}
+
+
+exact_zoh = stacked_tool(_zoh, ad="matrix", bd="matrix")
+eigen_analysis = stacked_tool(_eigen, values="matrix", stable="boolean")
+controllability = stacked_tool(lambda a, b: _rank(S.krylov(a, b), a.shape[1]), rank="int", full="boolean")
+observability = stacked_tool(lambda a, c: _rank(S.krylov(S.t(a), S.t(c)), a.shape[1]), rank="int", full="boolean")
+solve_lyapunov = stacked_tool(_lyapunov, p="matrix", residual="double")
+continuous_lqr = stacked_tool(_lqr, k="matrix", residual="double", poles="matrix", stable="boolean")
+discrete_lqr = stacked_tool(_dlqr, k="matrix", residual="double", poles="matrix", stable="boolean")
+place_poles = stacked_tool(_place, k="matrix", poles="matrix")
+routh_hurwitz = stacked_tool(_routh, column="vector", changes="int", stable="boolean")
+kalman_update = stacked_tool(_update, x="vector", p="matrix")
+kalman_predict = stacked_tool(_predict, x="vector", p="matrix")
+least_squares_arx = stacked_tool(_arx, theta="vector", rms="double")

@@ -79,7 +79,7 @@ def _cell(x):
     return x.tolist() if x.ndim else x.item()
 
 
-def _in_order(z: np.ndarray) -> np.ndarray:
+def in_order(z: np.ndarray) -> np.ndarray:
     """Complex numbers [n, k] as pairs, by real part, then imaginary part, to nine places."""
     order = np.lexsort((np.round(z.imag, 9), np.round(z.real, 9)), axis=-1)
     z = np.take_along_axis(z, order, axis=-1)
@@ -93,8 +93,8 @@ def _transfer(a, b, c, d):
     den, adjugate = S.characteristic(a)
     num = d[:, 0, :1] * den
     num[:, 1:] += np.einsum("nj,nkjl,nl->nk", c[:, 0], adjugate, b[:, :, 0])
-    zeros = [_in_order(S.roots(np.trim_zeros(np.where(np.abs(row) < ZERO, 0, row), "f")[None]))[0] for row in num]
-    return {"numerator": num, "denominator": den, "poles": _in_order(S.roots(den)), "zeros": zeros}
+    zeros = [in_order(S.roots(np.trim_zeros(np.where(np.abs(row) < ZERO, 0, row), "f")[None]))[0] for row in num]
+    return {"numerator": num, "denominator": den, "poles": in_order(S.roots(den)), "zeros": zeros}
 
 
 def _shape(a: np.ndarray) -> str:
@@ -124,7 +124,7 @@ def _arithmetic(operation, a, b):
         return {"value": np.trace(a, axis1=1, axis2=2)}
     if operation == "eigenvalues":
         z = np.linalg.eigvals(a) + 0j
-        return {"result": _in_order(z), "value": np.abs(z).max(axis=1)}
+        return {"result": in_order(z), "value": np.abs(z).max(axis=1)}
     det = np.linalg.det(a)
     if operation == "determinant":
         return {"value": det}
@@ -177,7 +177,7 @@ def _nyquist(num, den):
     opened = S.roots(den)
     count = lambda z: (np.real(z) > AXIS).sum(axis=1)
     z, p = count(closed), count(opened)
-    return {"encirclements": z - p, "open_poles": p, "at_origin": (np.abs(opened) < AXIS).sum(axis=1), "closed_poles": z, "poles": _in_order(closed), "stable": z == 0}
+    return {"encirclements": z - p, "open_poles": p, "at_origin": (np.abs(opened) < AXIS).sum(axis=1), "closed_poles": z, "poles": in_order(closed), "stable": z == 0}
 
 
 def _bode(num, den, low, high, points):

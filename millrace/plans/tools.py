@@ -197,8 +197,12 @@ def significant_figures(spark, sf_dir):
 @book.query("""SELECT user_id, len(v) > 25 AS degenerate, CAST(len(v) AS INTEGER) AS n FROM (SELECT user_id, list(value ORDER BY event_id) AS v FROM events GROUP BY user_id)""")
 def degenerate_arrays(spark, sf_dir):
     """Users whose values form an array too long to be an argument."""
-    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda x: x["value"]).alias("v"))
-    return rows.select("user_id", gates.degenerate_array(c("v")).alias("degenerate"), F.size("v").alias("n"))
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "value")
+    counts = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    # users with more are degenerate by their number; only arrays of at most 25 values are made
+    few = rows.join(counts.filter("n <= 25").select("user_id"), "user_id").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda x: x["value"]).alias("v"))
+    judged = counts.join(few.select("user_id", gates.degenerate_array(c("v")).alias("run")), "user_id", "left")
+    return judged.select("user_id", F.coalesce("run", F.lit(True)).alias("degenerate"), c("n").cast("int").alias("n"))
 
 
 def _records(parts):
