@@ -44,12 +44,14 @@ def ngrams(text: Column, n: int) -> Column:
 def ngram_leaks(docs: DataFrame, items: DataFrame, n: int = 13) -> DataFrame:
     """(doc_id, item_id, shared) of documents that share n-grams with benchmark items.
 
-    Only hashes of the documents' grams travel; the items' grams are the small
-    side of the join, and AQE decides whether to broadcast them.
+    Only hashes of the grams travel, 128 bits of each; the items' grams are the
+    small side of the join, and AQE decides whether to broadcast them.
     """
-    marks = items.select("item_id", F.explode(ngrams(F.col("text"), n)).alias("g")).select("item_id", F.xxhash64("g").alias("h"), "g").distinct()
-    flat = docs.select("doc_id", F.explode(ngrams(F.col("text"), n)).alias("g")).select("doc_id", F.xxhash64("g").alias("h"), "g")
-    return flat.join(marks, ["h", "g"]).groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared"))
+
+    def marks(rows: DataFrame, key: str) -> DataFrame:
+        return rows.select(key, F.explode(ngrams(F.col("text"), n)).alias("g")).select(key, F.xxhash64("g").alias("h"), F.xxhash64("g", F.lit(n)).alias("i"))
+
+    return marks(docs, "doc_id").join(marks(items, "item_id").distinct(), ["h", "i"]).groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared"))
 
 
 def exact_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
