@@ -46,7 +46,7 @@ class Tree:
 
     def _add(self, numbers: np.ndarray, leaf: int) -> int:
         at = len(self.points)
-        self.points.append(numbers)
+        self.points.append(np.sort(numbers))
         self.children.append([])
         if len(numbers) <= leaf:
             return at
@@ -91,7 +91,8 @@ class Tree:
                 best[rows[better]], number[rows[better]] = near[better], name[better]
                 away = np.sqrt(found[:, 0].astype(np.float64))
                 for child, low, high in self.children[at]:
-                    bounds[rows, child] = np.maximum(least, np.maximum(low - away, away - high) * (1 - 1e-9))
+                    # roots are rounded, the more the longer they are
+                    bounds[rows, child] = np.maximum(least, np.maximum(low - away, away - high) * (1 - 1e-9) - 1e-12 * (away + high))
         return number, best, taken
 
 

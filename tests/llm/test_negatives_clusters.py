@@ -103,3 +103,21 @@ def test_tree_prunes_and_keeps_ties():
     assert 9 not in number and taken < 0.8 * every.size
     equal = clusters.Tree(np.zeros((30, 4), np.int64))
     assert (equal.nearest(np.ones((3, 4), np.int64))[0] == 0).all()
+
+
+def test_tree_ties_within_a_leaf():
+    draw = np.random.default_rng(3)
+    for low, high, dim in ((-2, 3, 3), (-1, 2, 6), (2**26 - 3, 2**26, 4)):
+        centres, v = draw.integers(low, high, (40, dim)), draw.integers(low, high, (400, dim))
+        number, distance, _ = clusters.Tree(centres).nearest(v)
+        every = ((v[:, None, :] - centres[None]) ** 2).sum(axis=2)
+        assert (number == every.argmin(axis=1)).all() and (distance == every.min(axis=1)).all()
+
+
+def test_clusters_of_coarse_vectors(spark):
+    draw = np.random.default_rng(4)
+    rows = [(i, [float(x) / 256 for x in draw.integers(-1, 2, 6)], 0) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = clusters.cluster(clusters.kept_vectors(df, 6), 40, 3, 6)
+    found = sorted(((r.vec_id, r.cluster, r.distance, r.cluster_inertia, r.inertia, tuple(r.centroid)) for r in got.collect()), key=repr)
+    assert found == brute_clusters(rows, 6, 40, 3)
