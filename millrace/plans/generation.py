@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -79,7 +80,7 @@ def _spoilt(record: pd.Series, how: pd.Series) -> pd.Series:
     """Records with their last number claim off by a third and a bit (1), or without it (2)."""
 
     def off(x):
-        return [off(v) if n == 0 else v for n, v in enumerate(x)] if isinstance(x, list) else (not x if isinstance(x, bool) else x * 4 / 3 + 1)
+        return [off(v) if n == 0 else v for n, v in enumerate(x)] if isinstance(x, list) else (not x if isinstance(x, bool) else math.copysign(abs(x) * 4 / 3 + 1, x))
 
     out = []
     for text, n in zip(record, how):
