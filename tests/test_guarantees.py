@@ -168,3 +168,16 @@ def test_pairs_of_fingerprints_for_any_number_of_blocks(spark, blocks):
 
 def test_blocks_grow_with_the_number_of_fingerprints():
     assert [dedup.bands_for(n) for n in (0, 1000, 2**20, 2**26, 2**33, 2**60)] == [4, 4, 5, 5, 6, 7]
+
+
+@pytest.mark.parametrize("few, grams", [(0, 500_000), (0, 0), (1_024, 0)])
+def test_nearest_by_ngrams_by_either_way(spark, monkeypatch, few, grams):
+    """Few left rows or many, idf broadcast or joined: the same rows, and those of few never pair prefixes."""
+    draw = random.Random(8)
+    words = ["control", "kontrol", "state", "stated", "gain", "of", "the", "margin"]
+    make = lambda n: [(i, " ".join(draw.choice(words) for _ in range(draw.randint(0, 8)))) for i in range(n)] + [(n, None)]
+    left, right = spark.createDataFrame(make(30), "left_id long, text string"), spark.createDataFrame(make(50), "right_id long, text string")
+    want = sorted(map(tuple, retrieval.nearest_by_ngrams(left, right, 0.4).collect()))
+    monkeypatch.setattr(retrieval, "FEW", few)
+    monkeypatch.setattr(retrieval, "GRAMS", grams)
+    assert want and sorted(map(tuple, retrieval.nearest_by_ngrams(left, right, 0.4).collect())) == want
