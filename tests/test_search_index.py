@@ -138,3 +138,19 @@ def test_citations_and_suite(spark):
     cases = spark.createDataFrame([(7, ["nothing", "gain margin"]), (8, ["gain"]), (9, ["gain"])], "query_id long, keywords array<string>")
     report = {r.query_id: (r.matched, r.best_score, r.grounds) for r in citations.suite_report(cases, hits, docs).collect()}
     assert report == {7: (True, 3.0, True), 8: (False, 2.5, False), 9: (False, 0.0, False)}
+
+
+def test_many_alike_names_are_scored_by_class(spark, monkeypatch):
+    """As scoring everything; classes meet queries, not each of their documents."""
+    draw = random.Random(9)
+    rows = [(i, " ".join(draw.choice(("www", "blog", "m")) + draw.choice((" a example", " b example", " b b example")) for _ in range(draw.randint(1, 2))) + f" {draw.randint(0, 150)}") for i in range(600)]
+    names = spark.createDataFrame(rows, "doc_id long, text string")
+    asked = names.filter("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
+    made, whole = [], retrieval._by_classes
+    monkeypatch.setattr(retrieval, "_by_classes", lambda *a: made.append(whole(*a)) or made[-1])
+    for k in (3, 50):
+        want = retrieval.bm25(names, asked, k)
+        assert sorted(map(repr, retrieval.bm25(names, asked, k, alike=True).collect())) == sorted(map(repr, want.collect()))
+    assert len(made) == 2 and made[0].count() < 0.5 * 600 * 30
+    twice = names.unionAll(names.limit(5))
+    same(retrieval.bm25(twice, asked, 5, alike=True), twice, asked)
