@@ -154,3 +154,10 @@ def test_many_alike_names_are_scored_by_class(spark, monkeypatch):
     assert len(made) == 2 and made[0].count() < 0.5 * 600 * 30
     twice = names.unionAll(names.limit(5))
     same(retrieval.bm25(twice, asked, 5, alike=True), twice, asked)
+
+
+def test_bm25_shuffles_no_posting_of_other_terms(spark, queries, monkeypatch):
+    docs = corpus(spark, 60, 5)
+    want = sorted(map(repr, retrieval.bm25(docs, queries).collect()))
+    monkeypatch.setattr(retrieval, "postings", lambda docs: pytest.fail("all postings are made"))
+    assert want and sorted(map(repr, retrieval.bm25(docs, queries).collect())) == want
