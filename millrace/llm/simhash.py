@@ -18,7 +18,8 @@ class only through rows with an id.
 
 near_copies() is the wider operator of the pipeline: word shingles as sets,
 256-bit fingerprints that propose pairs, and exact Jaccard similarity that
-decides.
+decides.  What the proposals leave apart meets once more through the whole
+prefixes of the sets, without any cap, so its classes are exact.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import checkpointed, map_batches, stash, utf8
@@ -49,6 +51,11 @@ COPY_SHINGLE, SIMILAR, WIDE = 5, 0.8, 80
 KEYS, TILE, CUTS = 12, 1024, 3
 #: Differing bits of 256 up to which texts are as good as surely similar, and further candidates of a row beyond them.
 SURE, SPARE = 20, 8
+#: One text in so many is counted for frequent shingles, how many of these make one frequent, and how many frequent ones are told apart.
+#: They set the order of shingles only: the classes are the same with any.
+SAMPLE, OFTEN, LISTED = 16, 8, 50_000
+#: Names of texts that are broadcast; with more of them texts are shuffled.
+FETCHED = 500_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -225,7 +232,7 @@ def sketches(docs: DataFrame, shingle: int = COPY_SHINGLE, similar: float = SIMI
             for text in frame["text"]:
                 found = np.unique(shingle_hashes(utf8(text), shingle))
                 n = len(found)
-                most = min(KEYS, n - math.ceil(similar * n - 1e-9) + 1) if n else 0
+                most = min(KEYS, prefix_length(n, similar))
                 rows.append((_set_key(found), n, wide_fingerprint(found), found[:most].view(np.int64)))
             yield pd.DataFrame(rows, columns=["node", "size", "words", "keys"]).assign(doc_id=frame["doc_id"].to_numpy(), body=frame["body"].to_numpy())[["doc_id", "body", "node", "size", "words", "keys"]]
 
@@ -282,24 +289,89 @@ def _candidates(nodes: DataFrame, radius: int, similar: float) -> DataFrame:
     bits = sum((F.bit_count(F.col("words_u")[i].bitwiseXOR(F.col("words_v")[i])) for i in range(1, 4)), F.bit_count(F.col("words_u")[0].bitwiseXOR(F.col("words_v")[0])))
     twos = sizes.filter("n = 2 and a < b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct().join(side("u"), "u").join(side("v"), "v")
     twos = twos.filter((bits <= radius) & (F.least("size_u", "size_v") >= similar * F.greatest("size_u", "size_v") - 1e-9)).select("u", "v")
-    full = keyed.join(sizes.filter("n > 2").select("key", "n"), "key")
+    # fingerprints go only to the rows of keys that are left
+    full = keyed.select("node", "key").join(sizes.filter("n > 2").select("key", "n"), "key").join(nodes.select("node", "size", "words"), "node")
     tile = F.pmod(F.xxhash64("node", F.pmod("key", F.lit(CUTS))), F.ceil(F.col("n") / TILE))
     spans = full.select(F.concat_ws(":", "key", tile).alias("part"), "node", "size", "words").groupBy("part").applyInPandas(span, "u string, v string")
     return twos.unionAll(spans).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u < v").distinct()
 
 
-def near_copies(docs: DataFrame, shingle: int = COPY_SHINGLE, radius: int = WIDE, similar: float = SIMILAR) -> DataFrame:
-    """(doc_id, body, component_id, first) for every row of docs (doc_id, text): classes of documents linked by a Jaccard similarity of `similar` or more.
+def frequent_shingles(docs: DataFrame, shingle: int = COPY_SHINGLE) -> list[int]:
+    """Hashes of shingles that many texts of a sample hold, from rarer to more frequent; at most LISTED."""
 
-    body is body_of(text) and names a row together with its doc_id, so that
-    rows of one doc_id with different texts are told apart.  component_id is
-    the smallest doc_id of the class, null if none has one; first marks the
-    rows of the class's smallest (doc_id, body), null ids last: one row, or
-    repeats of one.  Texts without words are one class.
+    def work(frames):
+        for frame in frames:
+            found = [np.unique(shingle_hashes(utf8(t), shingle)) for t in frame["text"]]
+            yield pd.DataFrame({"hash": np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64)})
 
-    Equal sets are one node.  Candidates are spanning forests, so a group of
-    copies costs links in proportion to its size; each is confirmed on the sets.
+    sample = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
+    counts = sample.mapInPandas(work, "hash long").groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= OFTEN)
+    return [r.hash for r in counts.orderBy(F.desc("n"), "hash").limit(LISTED).collect()][::-1]
+
+
+def prefix_length(n: int, similar: float) -> int:
+    """Of a set of n: two sets of the similarity share one of so many first elements, in any order common to both."""
+    return n - math.ceil(similar * n - 1e-9) + 1 if n else 0
+
+
+def prefixes(docs: DataFrame, frequent: list[int], shingle: int = COPY_SHINGLE, similar: float = SIMILAR) -> DataFrame:
+    """(nid, key): the elements of each set's prefix, in order of (place in `frequent`, hash); nid is the hash of the set's digest.  A task gives equal sets once."""
+    listed = np.array(frequent, np.int64).view(np.uint64)
+    order = np.argsort(listed)
+    by_hash, rank = listed[order], order + 1
+
+    def first(found: np.ndarray) -> np.ndarray:
+        most = prefix_length(len(found), similar)
+        if len(by_hash):
+            at = np.minimum(np.searchsorted(by_hash, found), len(by_hash) - 1)
+            known = by_hash[at] == found
+            if known.any():
+                found = found[np.lexsort((found, np.where(known, rank[at], 0)))]
+        return found[:most].view(np.int64)
+
+    def work(frames):
+        seen = set()
+        for frame in frames:
+            rows = []
+            for text in frame["text"]:
+                found = np.unique(shingle_hashes(utf8(text), shingle))
+                name = _set_key(found)
+                if name not in seen:
+                    seen.add(name)
+                    rows.append((name, first(found)))
+            yield pd.DataFrame(rows, columns=["node", "keys"])
+
+    return docs.select("text").mapInPandas(work, "node string, keys array<long>").select(F.xxhash64("node").alias("nid"), F.explode("keys").alias("key"))
+
+
+def _apart(docs: DataFrame, classes: DataFrame, shingle: int, similar: float) -> DataFrame:
+    """(u, v): every pair of nodes of different classes that may reach the similarity; classes (node, size, class).
+
+    Such a pair shares an element of both prefixes.  What it shares beyond
+    them is at most what one of the sets has left, so pairs that share too few
+    of the prefixes' elements fall out on counts alone.  A key of many nodes
+    is cut into tiles that all meet.
     """
+    of_key = W.partitionBy("key")
+    shared = prefixes(docs, frequent_shingles(docs, shingle), shingle, similar)
+    shared = shared.withColumn("a", F.min("nid").over(of_key)).withColumn("b", F.max("nid").over(of_key)).filter("a < b").select("key", "nid").distinct()
+    shared = shared.join(classes.select(F.xxhash64("node").alias("nid"), "node", "size", "class"), "nid").select("key", "node", "size", "class")
+    # keys within one class, as of large groups of copies, have nothing left to link
+    shared = shared.withColumn("n", F.count(F.lit(1)).over(of_key)).withColumn("a", F.min("class").over(of_key)).withColumn("b", F.max("class").over(of_key)).filter("a < b")
+    open_ = stash(shared.select("key", "node", "size", "class", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), "open")
+    tile, every = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    named = lambda name: [F.col(c).alias(f"{c}_{name}") for c in ("node", "size", "class")]
+    left = open_.select("key", *named("u"), tile.alias("i"), every.alias("j"))
+    right = open_.select("key", *named("v"), tile.alias("j"), every.alias("i"))
+    fits = F.least("size_u", "size_v") >= similar * F.greatest("size_u", "size_v") - 1e-9
+    met = left.join(right, ["key", "i", "j"]).filter((F.col("class_u") < F.col("class_v")) & fits)
+    met = met.groupBy(F.col("node_u").alias("u"), F.col("node_v").alias("v"), "size_u", "size_v").agg(F.count(F.lit(1)).alias("n"))
+    rest = F.greatest(*[F.ceil(F.lit(similar) * F.col(c) - 1e-9) - 1 for c in ("size_u", "size_v")])
+    return met.filter(F.col("n") + rest >= similar / (1 + similar) * (F.col("size_u") + F.col("size_v")) - 1e-6).select("u", "v")
+
+
+def _confirmed(pairs: DataFrame, named: DataFrame, nodes: DataFrame, shingle: int, similar: float) -> DataFrame:
+    """The pairs (u, v) whose sets, made from named (doc_id, body, text), have the similarity."""
 
     def sets(frames):
         for frame in frames:
@@ -315,16 +387,36 @@ def near_copies(docs: DataFrame, shingle: int = COPY_SHINGLE, radius: int = WIDE
                 good.append(both >= similar * (len(a) + len(b) - both) - 1e-9)
             yield frame.loc[good, ["u", "v"]]
 
+    needed = pairs.select(F.col("u").alias("node")).unionAll(pairs.select("v")).distinct().join(nodes, "node").select(F.col("least.doc_id").alias("id"), F.col("least.body").alias("own"))
+    held = named.join(broadcast_if_few(checkpointed(needed)), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("body") == F.col("own"))).select("text").mapInPandas(sets, "node string, hashes binary")
+    held = held.dropDuplicates(["node"])  # both sides share its exchange
+    side = lambda name, value: held.select(F.col("node").alias(name), F.col("hashes").alias(value))
+    return pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b").mapInPandas(confirm, "u string, v string")
+
+
+def near_copies(docs: DataFrame, shingle: int = COPY_SHINGLE, radius: int = WIDE, similar: float = SIMILAR) -> DataFrame:
+    """(doc_id, body, component_id, first) for every row of docs (doc_id, text): classes of documents linked by a Jaccard similarity of `similar` or more.
+
+    body is body_of(text) and names a row together with its doc_id, so that
+    rows of one doc_id with different texts are told apart.  component_id is
+    the smallest doc_id of the class, null if none has one; first marks the
+    rows of the class's smallest (doc_id, body), null ids last: one row, or
+    repeats of one.  Texts without words are one class.
+
+    Equal sets are one node.  Candidates are spanning forests, so a group of
+    copies costs links in proportion to its size; each is confirmed on the sets.
+    They find nearly all links.  Nodes that are in different classes then are
+    joined by the whole prefixes of their sets (_apart), which misses none.
+    """
     named = docs.select("doc_id", body_of("text").alias("body"), "text")
     marked = stash(sketches(named, shingle, similar), "sketches")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body"))
     nodes = stash(marked.groupBy("node").agg(least.alias("least"), *[F.first(c).alias(c) for c in ("size", "words", "keys")]), "sets")
-    pairs = checkpointed(_candidates(nodes, radius, similar))
-    needed = pairs.select(F.col("u").alias("node")).unionAll(pairs.select("v")).distinct().join(nodes, "node").select(F.col("least.doc_id").alias("id"), F.col("least.body").alias("own"))
-    held = named.join(needed, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("body") == F.col("own"))).select("text").mapInPandas(sets, "node string, hashes binary")
-    held = stash(held.dropDuplicates(["node"]), "shingles")
-    side = lambda name, value: held.select(F.col("node").alias(name), F.col("hashes").alias(value))
-    found = components(pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b").mapInPandas(confirm, "u string, v string"))
+    found = checkpointed(components(_confirmed(checkpointed(_candidates(nodes, radius, similar)), named, nodes, shingle, similar)))
+    apart = checkpointed(_apart(docs, nodes.join(found, "node", "left").select("node", "size", F.coalesce("component", "node").alias("class")), shingle, similar))
+    if not apart.isEmpty():
+        links = found.select(F.col("node").alias("u"), F.col("component").alias("v"))
+        found = components(links.unionAll(_confirmed(apart, named, nodes, shingle, similar)))
     classes = checkpointed(nodes.select("node", "least").join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("class")))
     firsts = classes.groupBy("class").agg(F.min("least").alias("least"))
     classes = checkpointed(classes.select("node", "class").join(firsts, "class").select("node", "least"))
@@ -332,6 +424,11 @@ def near_copies(docs: DataFrame, shingle: int = COPY_SHINGLE, radius: int = WIDE
     return marked.select("doc_id", "body", "node").join(classes, "node").select("doc_id", "body", F.col("least.doc_id").alias("component_id"), first.alias("first"))
 
 
+def broadcast_if_few(names: DataFrame) -> DataFrame:
+    """names, broadcast if they are at most FETCHED."""
+    return F.broadcast(names) if names.count() <= FETCHED else names
+
+
 def body_of(text: str) -> Column:
     """A number that names a text; rows meet on it together with their doc_id."""
     return F.xxhash64(text, F.length(text))

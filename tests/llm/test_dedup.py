@@ -1,5 +1,7 @@
 """Near-duplicates, substrings and lines against brute force."""
 
+import random
+
 import numpy as np
 import xxhash
 from hypothesis import given, settings
@@ -219,3 +221,37 @@ def test_full_keys_are_cut_into_tiles_without_losing_links(spark, monkeypatch):
     docs = spark.createDataFrame([(i, t, "en", "src0", 1, "x") for i, t in enumerate(texts)], SCHEMA)
     got = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
     assert got == {i: 0 if i < 150 else i for i in range(190)}
+
+
+def test_near_copies_lose_no_link_to_caps(spark, monkeypatch):
+    """Proposals cut to next to nothing: tiles of two rows in one way, one key, a tight radius; the prefixes find what is left."""
+    draw = random.Random(11)
+    base = words(60, 21).split()
+    texts = []
+    for i in range(40):
+        mine = list(base)
+        for at in draw.sample(range(5, 60), 1):
+            mine[at] = f"w{i}"
+        texts.append(" ".join(mine))
+    texts += [words(50, 100 + i) for i in range(5)] + [words(3, 7), words(3, 7) + " x", "one", "one", ""]
+    for name, value in {"KEYS": 1, "TILE": 2, "CUTS": 1, "SPARE": 1, "SURE": 0}.items():
+        monkeypatch.setattr(simhash, name, value)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    want = _jaccard_classes(texts)
+    for sample, often in ((16, 8), (1, 2)):
+        monkeypatch.setattr(simhash, "SAMPLE", sample, raising=False)
+        monkeypatch.setattr(simhash, "OFTEN", often, raising=False)
+        got = {r.doc_id: r.component_id for r in simhash.near_copies(docs, radius=12).collect()}
+        assert got == want
+
+
+def _jaccard_classes(texts):
+    """The smallest index of each text's class, by all pairs."""
+    sets = [set(simhash.shingle_hashes(t.encode(), simhash.COPY_SHINGLE).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for _ in texts:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                if a == b or (a and b and len(a & b) >= simhash.SIMILAR * len(a | b) - 1e-9):
+                    root[i] = root[j] = min(root[i], root[j])
+    return dict(enumerate(root))
