@@ -10,7 +10,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +19,7 @@ from . import stacked as S
 
 VECTOR, MATRIX = T.ArrayType(T.DoubleType()), T.ArrayType(T.ArrayType(T.DoubleType()))
 KINDS = {"matrix": MATRIX, "vector": VECTOR, "double": T.DoubleType(), "int": T.IntegerType(), "boolean": T.BooleanType()}
+ARROW = {"matrix": pa.list_(pa.list_(pa.float64())), "vector": pa.list_(pa.float64()), "double": pa.float64(), "int": pa.int32(), "boolean": pa.bool_()}
 #: Rows of a stack whose response is held at once.
 TOGETHER = 128
 #: From here on a number counts as zero, a root as beyond the axis.
@@ -38,36 +40,86 @@ def _array(x):
     return np.array(rows, np.float64)
 
 
+def _stack(column: pa.Array):
+    """A column as one stack of floats, its one text, or None where it is missing throughout; Unfit if its rows differ in that or in shape."""
+    if column.null_count == len(column):
+        return None
+    if column.null_count:
+        raise Unfit("missing in some rows")
+    if pa.types.is_string(column.type):
+        texts = column.unique()
+        if len(texts) > 1:
+            raise Unfit("texts differ")
+        return texts[0].as_py()
+    shape = [len(column)]
+    while pa.types.is_list(column.type):
+        lengths = pc.list_value_length(column).to_numpy()
+        if (lengths != lengths[0]).any():
+            raise Unfit("shapes differ")
+        column = column.flatten()
+        shape.append(int(lengths[0]))
+        if column.null_count or not len(column):
+            raise Unfit("missing or no components")
+    return column.cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(shape)
+
+
+def _distinct(arguments: list, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first row of each set of equal arguments, place of each row among these); equal to the bit."""
+    flat = [a.reshape(n, -1) for a in arguments if isinstance(a, np.ndarray)]
+    if not flat:
+        return np.zeros(1, np.int64), np.zeros(n, np.int64)
+    rows = np.ascontiguousarray(np.concatenate(flat, axis=1))
+    _, first, place = np.unique(rows.view(np.dtype((np.void, rows.dtype.itemsize * rows.shape[1]))).ravel(), return_index=True, return_inverse=True)
+    return first, place
+
+
 def stacked_tool(work: Callable, **fields: str):
-    """A pandas UDF of struct<status, error, fields>; work gets a stack of each argument (texts and missing ones once) and gives stacks by name."""
+    """An Arrow UDF of struct<status, error, fields>; work gets a stack of each argument (texts and missing ones once) and gives stacks by name.
+
+    Equal arguments of a batch are computed once.  work may name the rows that
+    can't be computed, each with its reason, under "error".
+    """
     schema = T.StructType([T.StructField("status", T.StringType()), T.StructField("error", T.StringType()), *(T.StructField(n, KINDS[k]) for n, k in fields.items())])
 
-    def solve(rows: list[tuple]) -> list[dict]:
-        first = rows[0]
-        arguments = [a if a is None or isinstance(a, str) else np.array([r[i] for r in rows]) for i, a in enumerate(first)]
+    def solve(arguments: list, n: int) -> list[dict]:
         try:
             with np.errstate(all="ignore"):
-                found = work(*arguments)
-            return [{"status": "success", "error": None} | {n: _cell(v[i]) for n, v in found.items()} for i in range(len(rows))]
+                found = dict(work(*arguments))
+            errors = found.pop("error", {})
+            return [{"status": "error", "error": errors[i]} if i in errors else {"status": "success", "error": None} | {name: _cell(v[i]) for name, v in found.items()} for i in range(n)]
         except (ValueError, TypeError, IndexError, AttributeError, np.linalg.LinAlgError) as e:  # AttributeError: a missing argument
-            if len(rows) > 1:
-                return [r for row in rows for r in solve([row])]
+            if n > 1:
+                return [r for i in range(n) for r in solve([a[i : i + 1] if isinstance(a, np.ndarray) else a for a in arguments], 1)]
             return [{"status": "error", "error": str(e) if isinstance(e, Unfit) else f"{type(e).__name__}: {e}"}]
 
-    @F.pandas_udf(schema)
-    def run(*columns: pd.Series) -> pd.DataFrame:
+    def unlike(columns: tuple[pa.Array, ...]) -> list[dict]:
+        """Rows of several shapes, a stack each."""
         groups: dict = {}
         out: list = [None] * len(columns[0])
-        for i, cells in enumerate(zip(*columns)):
+        for i, cells in enumerate(zip(*[c.to_pandas() for c in columns])):
             try:
                 row = tuple(_array(x) for x in cells)
                 groups.setdefault(tuple(x if x is None or isinstance(x, str) else np.shape(x) for x in row), []).append((i, row))
             except (ValueError, TypeError) as e:
                 out[i] = {"status": "error", "error": f"{type(e).__name__}: {e}"}
         for held in groups.values():
-            for (i, _), made in zip(held, solve([r for _, r in held])):
+            arguments = [a if a is None or isinstance(a, str) else np.array([r[k] for _, r in held]) for k, a in enumerate(held[0][1])]
+            for (i, _), made in zip(held, solve(arguments, len(held))):
                 out[i] = made
-        return pd.DataFrame({n: pd.Series([r.get(n) for r in out], dtype=object) for n in schema.names})
+        return out
+
+    @F.arrow_udf(schema)
+    def run(*columns: pa.Array) -> pa.Array:
+        n = len(columns[0])
+        try:
+            arguments = [_stack(c) for c in columns]
+            first, place = _distinct(arguments, n)
+            made = solve([a[first] if isinstance(a, np.ndarray) else a for a in arguments], len(first))
+        except Unfit:
+            made, place = unlike(columns), np.arange(n)
+        kinds = [pa.string(), pa.string(), *(ARROW[k] for k in fields.values())]
+        found = pa.StructArray.from_arrays([pa.array([r.get(f) for r in made], kind, from_pandas=True) for f, kind in zip(schema.names, kinds)], names=schema.names)
+        return found.take(pa.array(place))
 
     return run
 
@@ -128,9 +180,9 @@ def _arithmetic(operation, a, b):
     det = np.linalg.det(a)
     if operation == "determinant":
         return {"value": det}
-    if (np.abs(det) < ZERO).any():
-        raise Unfit(f"Matrix is singular (determinant = {det[np.argmin(np.abs(det))]:g}); no inverse exists.")
-    return {"result": np.linalg.inv(a), "value": det}
+    singular = np.abs(det) < ZERO
+    errors = {i: f"Matrix is singular (determinant = {det[i]:g}); no inverse exists." for i in np.flatnonzero(singular).tolist()}
+    return {"result": np.linalg.inv(np.where(singular[:, None, None], S.eye(a), a)), "value": det, "error": errors}
 
 
 def response(num: np.ndarray, den: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -181,3 +181,14 @@ def test_nearest_by_ngrams_by_either_way(spark, monkeypatch, few, grams):
     monkeypatch.setattr(retrieval, "FEW", few)
     monkeypatch.setattr(retrieval, "GRAMS", grams)
     assert want and sorted(map(tuple, retrieval.nearest_by_ngrams(left, right, 0.4).collect())) == want
+
+
+def test_equal_arguments_of_a_batch_are_computed_once(spark):
+    """The value is the size of the stack that was computed: one where all rows are alike, also beside a missing argument."""
+    sized = systems.stacked_tool(lambda a, b: {"value": np.full(len(a), float(len(a)))}, value="double")
+    none = F.lit(None).cast("array<double>")
+    rows = spark.range(300).coalesce(1).select("id", F.array(F.array(F.lit(1.0), F.lit(2.0))).alias("a"), F.array(F.array(F.col("id") % 3 + 0.5)).alias("b"))
+    assert [r.v for r in rows.select(sized("a", none)["value"].alias("v")).distinct().collect()] == [1.0]
+    assert [r.v for r in rows.select(sized("b", none)["value"].alias("v")).distinct().collect()] == [3.0]
+    made = systems._arithmetic("inverse", np.array([[[1.0, 2.0], [2.0, 4.0]], [[2.0, 0.0], [0.0, 4.0]]]), None)
+    assert list(made["error"]) == [0] and made["result"][1].tolist() == [[0.5, 0], [0, 0.25]]
