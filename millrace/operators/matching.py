@@ -105,11 +105,11 @@ def first_local(targets: DataFrame, books: DataFrame) -> DataFrame:
 def pilot(chunks: DataFrame, topics: dict[str, tuple[str, ...]], each: int, distractors: int) -> DataFrame:
     """(chunk_id, topic): for each topic in turn the `each` best chunks not taken yet by (keyword score, tokens, id), scores above 0 only; then `distractors` of the rest by id.
 
-    chunks: chunk_id, text, tokens.
+    chunks: chunk_id, text, tokens.  Texts are read once, for their scores; all choices are made on these.
     """
     ready = X.for_matching(F.col("text"))
     scored = chunks.select("chunk_id", "tokens", *[sum((X.occurrences(ready, p) for p in phrases), F.lit(0)).alias(name) for name, phrases in topics.items()])
-    taken = None
+    scored, taken = checkpointed(scored), None
     for name in topics:
         left = scored if taken is None else scored.join(taken.select("chunk_id"), "chunk_id", "left_anti")
         best = left.filter(F.col(name) > 0).orderBy(F.desc(name), F.desc("tokens"), F.desc("chunk_id")).limit(each).select("chunk_id", F.lit(name).alias("topic"))

@@ -192,3 +192,11 @@ def test_equal_arguments_of_a_batch_are_computed_once(spark):
     assert [r.v for r in rows.select(sized("b", none)["value"].alias("v")).distinct().collect()] == [3.0]
     made = systems._arithmetic("inverse", np.array([[[1.0, 2.0], [2.0, 4.0]], [[2.0, 0.0], [0.0, 4.0]]]), None)
     assert list(made["error"]) == [0] and made["result"][1].tolist() == [[0.5, 0], [0, 0.25]]
+
+
+def test_pilot_reads_texts_once(spark):
+    """What is left to run after the scores are stored no longer holds the texts' expressions."""
+    rows = spark.createDataFrame([(i, "tion " * (i % 4) + "cion " * (i % 3), i % 7) for i in range(40)], "chunk_id long, text string, tokens long")
+    got = matching.pilot(rows, {"first": ("tion",), "second": ("cion",)}, 3, 4)
+    assert "regexp_replace" not in got._jdf.queryExecution().toString().lower()
+    assert sorted((r.topic, r.chunk_id) for r in got.collect()) == [("distractor", i) for i in range(4)] + [("first", i) for i in (19, 27, 39)] + [("second", i) for i in (5, 20, 26)]
