@@ -8,6 +8,7 @@ import zipfile
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -140,9 +141,9 @@ def html_text(page: str | None) -> str:
     return "\n".join(next((lines for lines in reader.found.values() if lines), []))
 
 
-@F.pandas_udf(T.StringType())
-def extract_html(pages: pd.Series) -> pd.Series:
-    return pages.map(html_text)
+@F.arrow_udf(T.StringType())
+def extract_html(pages: pa.Array) -> pa.Array:
+    return X.by_row(pages, html_text)
 
 
 def notebook_text(content: Column) -> Column:

@@ -13,13 +13,14 @@ import re
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+from ..functions import text as X
 from ..operators import gates
 
 PAGE = "page long, token string, next string, xml string"
@@ -164,9 +165,12 @@ def page_records(xml: str | None) -> list[dict] | None:
     return out
 
 
-@F.pandas_udf(RECORD)
-def records_of(pages: pd.Series) -> pd.Series:
-    return pages.map(page_records)
+_ARROW = pa.list_(pa.struct([("oai_identifier", pa.string()), *((n, pa.list_(pa.string())) for n in (*_LISTS, "licenseCondition")), ("issued", pa.string())]))
+
+
+@F.arrow_udf(RECORD)
+def records_of(pages: pa.Array) -> pa.Array:
+    return X.by_row(pages, page_records, _ARROW, 16)
 
 
 def _any_of(values: Column, known: tuple[str, ...]) -> Column:

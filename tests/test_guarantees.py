@@ -200,3 +200,32 @@ def test_pilot_reads_texts_once(spark):
     got = matching.pilot(rows, {"first": ("tion",), "second": ("cion",)}, 3, 4)
     assert "regexp_replace" not in got._jdf.queryExecution().toString().lower()
     assert sorted((r.topic, r.chunk_id) for r in got.collect()) == [("distractor", i) for i in range(4)] + [("first", i) for i in (19, 27, 39)] + [("second", i) for i in (5, 20, 26)]
+
+
+def test_cells_become_python_objects_few_at_a_time(spark):
+    """Each text made from a cell sees at most the cells of its run alive."""
+    import weakref
+
+    import pyarrow as pa
+
+    from millrace.functions import text as X
+    from millrace.sources import files, oai
+
+    class Made(str):
+        pass
+
+    alive: weakref.WeakSet = weakref.WeakSet()
+    most = []
+
+    def f(x):
+        made = Made(x)
+        alive.add(made)
+        most.append(sum(1 for _ in alive.data))
+        return made
+
+    names = [f"x{i}" for i in range(100)]
+    assert X.by_row(pa.array(names), f, together=8).to_pylist() == names and max(most) <= 16
+    assert X.by_row(pa.array([], pa.string()), f).to_pylist() == []
+    assert all(u.evalType == oai.records_of.evalType for u in (files.extract_html, X._nfkc))
+    rows = spark.createDataFrame([("<record><title>a b</title></record>",), ("no xml",), (None,)], "xml string").coalesce(1)
+    assert [r.r if r.r is None else r.r[0].title for r in rows.select(oai.records_of("xml").alias("r")).collect()] == [["a b"], None, None]
