@@ -4,6 +4,7 @@ import random
 import warnings
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from millrace.operators import citations, phrases, retrieval, segments
@@ -161,3 +162,37 @@ def test_bm25_shuffles_no_posting_of_other_terms(spark, queries, monkeypatch):
     want = sorted(map(repr, retrieval.bm25(docs, queries).collect()))
     monkeypatch.setattr(retrieval, "postings", lambda docs: pytest.fail("all postings are made"))
     assert want and sorted(map(repr, retrieval.bm25(docs, queries).collect())) == want
+
+
+def test_segments_shuffle_texts_only_and_searches_no_postings(spark, queries, tmp_path):
+    """The first range of keys that a row of postings is aggregated by deals them, so no posting moves; terms of few queries are broadcast."""
+    docs, path = corpus(spark, 200, 5), str(tmp_path / "index")
+    plans, write = [], DataFrameWriter.parquet
+
+    def kept(self, *args, **how):
+        plans.append(self._df._jdf.queryExecution().executedPlan().toString())
+        return write(self, *args, **how)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(DataFrameWriter, "parquet", kept)
+        segments.append(docs, path, 0, block=10)
+    assert plans[0].count("Exchange ") == 1 and "REPARTITION_BY_NUM" in plans[0], plans[0]
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        index = segments.Index(spark, path)
+        asked, bounds = index.bounds(queries)
+        assert "SortMergeJoin" not in bounds._jdf.queryExecution().executedPlan().toString()
+        same(index.search(queries)[0], docs, queries)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_segments_of_ids_that_are_no_numbers_or_null(spark, queries, tmp_path):
+    named = corpus(spark, 120, 6).withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    segments.append(named, str(tmp_path / "named"), 0, block=10)
+    same(segments.Index(spark, str(tmp_path / "named")).search(queries)[0], named, queries)
+    odd = spark.createDataFrame([(None, "a b"), (2, "a"), (2**60 + 1, "b b"), (2**60, "b b")], "doc_id long, text string")
+    segments.append(odd, str(tmp_path / "odd"), 0)
+    index = segments.Index(spark, str(tmp_path / "odd"))
+    assert (index.n_docs, index.mean_length) == (4, 7 / 4)
