@@ -10,7 +10,10 @@ more in a row) go to the library whole.
 
 from __future__ import annotations
 
-import functools
+import ctypes
+import gc
+import threading
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +21,8 @@ import pyarrow.compute as pc
 
 #: Pieces that a worker remembers, and characters of the longest one.
 CACHE, LONGEST = 700_000, 48
+#: Seconds without use after which a worker lets go of its encoders.
+IDLE = 4.0
 #: Marks that the tokenizers keep apart from an ASCII letter before them.
 MARKS = ".,"
 
@@ -68,6 +73,7 @@ class Encoder:
         self.library = Tokenizer.from_file(tokenizer_path(name))
         self.keeps_space = keeps_space
         self.words = Words()
+        self.used = time.monotonic()
         marks = {m: self.library.encode(m, add_special_tokens=False).ids for m in MARKS}
         self.marks = {m: ids[0] for m, ids in marks.items() if len(ids) == 1}
 
@@ -126,6 +132,7 @@ class Encoder:
 
     def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, ids of each)."""
+        self.used = time.monotonic()
         if not all(map(self.safe, texts)):
             parts = [self.flat([t]) if self.safe(t) else ((ids := self._whole([t])[0]), np.array([len(ids)])) for t in texts]
             return np.concatenate([p for p, _ in parts]), np.concatenate([n for _, n in parts]).astype(np.int64)
@@ -158,10 +165,37 @@ class Encoder:
         return np.split(ids, np.cumsum(counts)[:-1]) if len(counts) else []
 
 
-@functools.cache
+_held: dict[tuple[str, bool], Encoder] = {}
+_guard = threading.Lock()
+
+
+def _let_go(idle: float) -> None:
+    """Wait until no encoder was used for `idle` seconds, and give their memory back."""
+    while True:
+        time.sleep(idle / 4)
+        with _guard:
+            if all(time.monotonic() - e.used > idle for e in _held.values()):
+                _held.clear()
+                break
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def encoder(name: str, keeps_space: bool) -> Encoder:
-    """One encoder a worker process; its cache serves every batch of the worker."""
+    """One encoder a worker process; its cache serves every batch of the worker.
+
+    Workers outlive the stages that encode: what is not used for IDLE seconds goes.
+    """
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Encoder(name, keeps_space)
+    with _guard:
+        if not _held:
+            threading.Thread(target=_let_go, args=(IDLE,), daemon=True).start()
+        if (name, keeps_space) not in _held:
+            _held[name, keeps_space] = Encoder(name, keeps_space)
+        found = _held[name, keeps_space]
+        found.used = time.monotonic()
+        return found

@@ -1,10 +1,13 @@
 """Ids beyond 2^53 beside null ids: none is rounded and no row is lost."""
 
+import time
+import weakref
+
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from millrace.llm import extraction, lines, media, packing, quality, simhash, token_files
+from millrace.llm import extraction, lines, media, packing, quality, simhash, token_files, tokens
 
 from .helpers import words
 
@@ -66,3 +69,22 @@ def test_equal_rows_spread_over_groups(spark):
     assert len(per) == -(-4000 // 64)
     groups = [r.n for r in found.groupBy(F.shiftright("sequence_id", 32).alias("g")).agg(F.count("*").alias("n")).collect()]
     assert len(groups) >= 8 and max(groups) < 1000
+
+
+def test_idle_workers_let_go_of_their_encoders(monkeypatch):
+    monkeypatch.setattr(tokens, "IDLE", 0.4)
+    monkeypatch.setattr(tokens, "_held", {})
+    first = tokens.encoder("word_bpe_49k.json", False)
+    want = first.flat(["some words, twice"])[0].tolist()
+    assert tokens.encoder("word_bpe_49k.json", False) is first
+    used = weakref.ref(first)
+    for _ in range(6):  # what is in use stays
+        time.sleep(0.1)
+        first.flat(["some"])
+        assert tokens._held
+    del first
+    deadline = time.monotonic() + 10
+    while used() is not None and time.monotonic() < deadline:
+        time.sleep(0.1)
+    assert used() is None and not tokens._held
+    assert tokens.encoder("word_bpe_49k.json", False).flat(["some words, twice"])[0].tolist() == want
