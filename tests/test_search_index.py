@@ -196,3 +196,18 @@ def test_segments_of_ids_that_are_no_numbers_or_null(spark, queries, tmp_path):
     segments.append(odd, str(tmp_path / "odd"), 0)
     index = segments.Index(spark, str(tmp_path / "odd"))
     assert (index.n_docs, index.mean_length) == (4, 7 / 4)
+
+
+def test_bm25_of_few_terms_reads_texts_once(spark, monkeypatch):
+    """As the general path, with null texts and ids, terms in over half of the documents and repeated terms; lengths aren't read apart."""
+    odd = spark.createDataFrame([(None, "t3x1 common"), (900, None), (901, ""), (902, "common " * 40)], "doc_id long, text string")
+    docs = corpus(spark, 120, 8).unionAll(odd).coalesce(2)
+    asked = [(1, "common t3x1"), (2, "t3x1 t3x1 t4x2"), (3, "nowhere"), (4, None)]
+    rare, some = (spark.createDataFrame(rows, "query_id long, text string").coalesce(1) for rows in (asked[1:], asked))
+    monkeypatch.setattr(retrieval, "PICKED", -1)
+    want = [sorted(map(repr, retrieval.bm25(docs, q).collect())) for q in (rare, some)]
+    monkeypatch.setattr(retrieval, "PICKED", 2_000)
+    monkeypatch.setattr(retrieval, "document_lengths", lambda docs: pytest.fail("lengths are read apart"))
+    assert want[1] and sorted(map(repr, retrieval.bm25(docs, some).collect())) == want[1]
+    monkeypatch.setattr(retrieval, "frequencies", lambda docs: pytest.fail("no term needs the mean idf"))
+    assert want[0] and sorted(map(repr, retrieval.bm25(docs, rare).collect())) == want[0]
