@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import re
 import shutil
 import tempfile
@@ -10,6 +12,8 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,11 +79,29 @@ def ids_as_text(df: DataFrame, ids: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     return df.select(*[F.col(f"`{f.name}`").cast(_id_text(f.dataType)).alias(f.name) if f.name in ids else F.col(f"`{f.name}`") for f in df.schema])
 
 
+def give_back() -> None:
+    """Return freed memory of this process to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def tidy(work: Callable) -> Callable:
+    """work on batches, after which the worker gives freed memory back: Spark keeps workers for later tasks and stages, beside a heap that has grown meanwhile."""
+
+    def run(batches):
+        yield from work(batches)
+        give_back()
+
+    return run
+
+
 def map_batches(df: DataFrame, work: Callable, schema: str | T.StructType, ids: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """df.mapInPandas(work, schema) in which the named ids are text on both sides of work, and longs again outside."""
     fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     inner = T.StructType([T.StructField(f.name, _id_text(f.dataType)) if f.name in ids else f for f in fields])
-    out = ids_as_text(df, ids).mapInPandas(work, inner)
+    out = ids_as_text(df, ids).mapInPandas(tidy(work), inner)
     return out.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) if f.name in ids else F.col(f"`{f.name}`") for f in fields])
 
 
@@ -107,3 +129,16 @@ def blocks(frames: Iterator[pd.DataFrame], column: str, most: int = 4_000_000) -
             held += n
         if len(frame) > start:
             yield frame.iloc[start:]
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """blocks() of Arrow batches, without a copy, by bytes of the column."""
+    for batch in batches:
+        start, held = 0, 0
+        for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+            if i > start and held + n > most:
+                yield batch.slice(start, i - start)
+                start, held = i, 0
+            held += n
+        if batch.num_rows > start:
+            yield batch.slice(start)

@@ -17,11 +17,12 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, ids_as_text, map_batches, stash
+from .common import ids_as_text, slices, stash, tidy
 from .tokens import encoder
 
 ROOM = 4096
@@ -34,10 +35,10 @@ SLACK = 64
 def pieces(docs: DataFrame, name: str = "word_bpe_49k.json", end_id: int = END, room: int = ROOM) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every piece of docs (doc_id, text)."""
 
-    def work(frames):
+    def work(batches):
         encode = encoder(name, False).flat
-        for frame in blocks(frames, "text"):
-            ids, sizes = encode(frame["text"].fillna("").tolist())
+        for batch in slices(batches, "text"):
+            ids, sizes = encode(batch.column("text").fill_null("").to_pylist())
             data, sizes = memoryview(np.insert(ids, np.cumsum(sizes), end_id).astype("<u4").tobytes()), sizes + 1
             cut = -(-sizes // room)  # pieces of each document
             doc = np.repeat(np.arange(len(sizes)), cut)
@@ -45,9 +46,10 @@ def pieces(docs: DataFrame, name: str = "word_bpe_49k.json", end_id: int = END,
             length = np.minimum(room, sizes[doc] - piece * room)
             place = 4 * ((np.cumsum(sizes) - sizes)[doc] + piece * room)
             crc = [zlib.crc32(data[a:b]) for a, b in zip(place.tolist(), (place + 4 * length).tolist())]
-            yield pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(dtype=object)[doc], "piece": piece, "start": piece * room, "length": length, "ids_crc32": crc})
+            longs = (pa.array(x, pa.int64()) for x in (piece, piece * room, length, crc))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc)), *longs], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return map_batches(docs.select("doc_id", "text"), work, "doc_id long, piece long, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(work), "doc_id long, piece long, start long, length long, ids_crc32 long")
 
 
 def best_fit(lengths: list[int], room: int) -> list[list[int]]:

@@ -45,7 +45,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import blocks as runs
-from .common import checkpointed, ids_as_text, nested, shared_dir, stash, utf8
+from .common import checkpointed, ids_as_text, nested, shared_dir, stash, tidy, utf8
 from .kneser_ney import ALPHABET, BITS, ORDER, counts_of_counts, discounts, grams, levels, logs
 
 __all__ = ["ALPHABET", "BITS", "ORDER", "classify", "grams", "kept_documents"]
@@ -125,7 +125,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
 
     session, name = docs.sparkSession, f"quality_blocks_{uuid.uuid4().hex}"
     parts = int(session.conf.get("spark.sql.shuffle.partitions"))
-    ids_as_text(docs).mapInPandas(work, BLOCKS).write.bucketBy(parts, "block").option("path", f"{shared_dir(session)}/{name}").saveAsTable(name)
+    ids_as_text(docs).mapInPandas(tidy(work), BLOCKS).write.bucketBy(parts, "block").option("path", f"{shared_dir(session)}/{name}").saveAsTable(name)
     return session.table(name)
 
 
@@ -138,7 +138,7 @@ def _trusted_counts(blocks: DataFrame) -> DataFrame:
                 g, n = unpacked(g, np.int64), unpacked(n, np.int64)
                 yield pd.DataFrame({"lang": lang, "g": g[n > 0], "n": n[n > 0]})
 
-    return blocks.select("lang", "grams", "counts").mapInPandas(work, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n"))
+    return blocks.select("lang", "grams", "counts").mapInPandas(tidy(work), "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n"))
 
 
 def _statistics(known: DataFrame) -> tuple[dict, dict]:
@@ -186,7 +186,7 @@ def answers(blocks: DataFrame, known: DataFrame, asked: int = ASKED) -> DataFram
         return pd.DataFrame({"block": left["block"].to_numpy(), "d": left["d"].to_numpy(), "logs": [packed(x, 1) for x in np.split(found, ends[:-1])]})
 
     singles, cuts = _statistics(known)
-    wanted = blocks.filter(F.col("lang").isin(*singles) if singles else F.lit(False)).select("block", "lang", "grams").mapInPandas(requests, "block long, lang string, d long, m long, grams binary")
+    wanted = blocks.filter(F.col("lang").isin(*singles) if singles else F.lit(False)).select("block", "lang", "grams").mapInPandas(tidy(requests), "block long, lang string, d long, m long, grams binary")
     wanted = stash(wanted, "requests")
     # a row a language and character
     salts = wanted.groupBy("lang", "d").agg(F.greatest(F.ceil(F.sum("m") / asked), F.lit(1)).alias("salts"))

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_batches, stash, utf8
+from .common import checkpointed, map_batches, stash, tidy, utf8
 from .components import components
 
 RADIUS = 2
@@ -305,7 +305,7 @@ def frequent_shingles(docs: DataFrame, shingle: int = COPY_SHINGLE) -> list[int]
             yield pd.DataFrame({"hash": np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64)})
 
     sample = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
-    counts = sample.mapInPandas(work, "hash long").groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= OFTEN)
+    counts = sample.mapInPandas(tidy(work), "hash long").groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= OFTEN)
     return [r.hash for r in counts.orderBy(F.desc("n"), "hash").limit(LISTED).collect()][::-1]
 
 
@@ -341,7 +341,7 @@ def prefixes(docs: DataFrame, frequent: list[int], shingle: int = COPY_SHINGLE,
                     rows.append((name, first(found)))
             yield pd.DataFrame(rows, columns=["node", "keys"])
 
-    return docs.select("text").mapInPandas(work, "node string, keys array<long>").select(F.xxhash64("node").alias("nid"), F.explode("keys").alias("key"))
+    return docs.select("text").mapInPandas(tidy(work), "node string, keys array<long>").select(F.xxhash64("node").alias("nid"), F.explode("keys").alias("key"))
 
 
 def _apart(docs: DataFrame, classes: DataFrame, shingle: int, similar: float) -> DataFrame:
@@ -388,10 +388,10 @@ def _confirmed(pairs: DataFrame, named: DataFrame, nodes: DataFrame, shingle: in
             yield frame.loc[good, ["u", "v"]]
 
     needed = pairs.select(F.col("u").alias("node")).unionAll(pairs.select("v")).distinct().join(nodes, "node").select(F.col("least.doc_id").alias("id"), F.col("least.body").alias("own"))
-    held = named.join(broadcast_if_few(checkpointed(needed)), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("body") == F.col("own"))).select("text").mapInPandas(sets, "node string, hashes binary")
+    held = named.join(broadcast_if_few(checkpointed(needed)), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("body") == F.col("own"))).select("text").mapInPandas(tidy(sets), "node string, hashes binary")
     held = held.dropDuplicates(["node"])  # both sides share its exchange
     side = lambda name, value: held.select(F.col("node").alias(name), F.col("hashes").alias(value))
-    return pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b").mapInPandas(confirm, "u string, v string")
+    return pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b").mapInPandas(tidy(confirm), "u string, v string")
 
 
 def near_copies(docs: DataFrame, shingle: int = COPY_SHINGLE, radius: int = WIDE, similar: float = SIMILAR) -> DataFrame:

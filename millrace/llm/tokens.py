@@ -10,8 +10,6 @@ more in a row) go to the library whole.
 
 from __future__ import annotations
 
-import ctypes
-import gc
 import threading
 import time
 
@@ -19,8 +17,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import give_back
+
 #: Pieces that a worker remembers, and characters of the longest one.
-CACHE, LONGEST = 700_000, 48
+CACHE, LONGEST = 500_000, 48
+#: Characters that are cut at a time.
+RUN = 1_000_000
 #: Seconds without use after which a worker lets go of its encoders.
 IDLE = 4.0
 #: Marks that the tokenizers keep apart from an ASCII letter before them.
@@ -132,9 +134,15 @@ class Encoder:
 
     def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, ids of each)."""
+        upto = np.cumsum([len(t) for t in texts])
+        cuts = np.flatnonzero(np.diff(upto // RUN)) + 1
+        parts = [self._flat(texts[a:b]) for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(texts)])]
+        return np.concatenate([ids for ids, _ in parts]), np.concatenate([n for _, n in parts])
+
+    def _flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         self.used = time.monotonic()
         if not all(map(self.safe, texts)):
-            parts = [self.flat([t]) if self.safe(t) else ((ids := self._whole([t])[0]), np.array([len(ids)])) for t in texts]
+            parts = [self._flat([t]) if self.safe(t) else ((ids := self._whole([t])[0]), np.array([len(ids)])) for t in texts]
             return np.concatenate([p for p, _ in parts]), np.concatenate([n for _, n in parts]).astype(np.int64)
         cut = self._cut(pa.array(texts, pa.large_string()))
         coded = cut.values.dictionary_encode()
@@ -177,10 +185,7 @@ def _let_go(idle: float) -> None:
             if all(time.monotonic() - e.used > idle for e in _held.values()):
                 _held.clear()
                 break
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-        libc.malloc_trim(0)
+    give_back()
 
 
 def encoder(name: str, keeps_space: bool) -> Encoder:

@@ -3,11 +3,12 @@
 import time
 import weakref
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from millrace.llm import extraction, lines, media, packing, quality, simhash, token_files, tokens
+from millrace.llm import common, extraction, lines, media, packing, quality, simhash, token_files, tokens
 
 from .helpers import words
 
@@ -88,3 +89,44 @@ def test_idle_workers_let_go_of_their_encoders(monkeypatch):
         time.sleep(0.1)
     assert used() is None and not tokens._held
     assert tokens.encoder("word_bpe_49k.json", False).flat(["some words, twice"])[0].tolist() == want
+
+
+def test_an_encoder_holds_little_at_a_time(monkeypatch):
+    texts = [words(300, i) + f" {i}" for i in range(40)] + ["", "one  two\n\n three"] + [words(4000, 77)]
+    for name, keeps in (("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)):
+        encoder = tokens.Encoder(name, keeps)
+        want = [e.ids for e in encoder.library.encode_batch(texts, add_special_tokens=False)]
+        monkeypatch.setattr(tokens, "RUN", 10_000, raising=False)
+        most, cut = [], encoder._cut
+        monkeypatch.setattr(encoder, "_cut", lambda a: most.append(sum(map(len, a.to_pylist()))) or cut(a))
+        assert [x.tolist() for x in encoder.encode(texts)] == want
+        assert max(most) <= max(10_000 + max(map(len, texts[:40])), len(texts[-1]) + 5_000)
+
+
+def test_work_on_batches_gives_memory_back(spark, docs):
+    called = []
+    assert list(common.tidy(lambda frames: (called.append(0) or x for x in frames))([1, 2])) == [1, 2] and called == [0, 0]
+
+    def held(frames):
+        import pathlib
+
+        yield from frames
+        held.before = int(pathlib.Path("/proc/self/statm").read_text().split()[1])
+
+    def filled(frames):
+        small = [bytes(50_000) for _ in range(4_000)]
+        yield from held(frames)
+        del small[::2], small[:-1]
+
+    import pathlib
+
+    list(common.tidy(filled)([1]))
+    assert held.before - int(pathlib.Path("/proc/self/statm").read_text().split()[1]) > 150_000_000 // 4096
+
+
+def test_slices_cover_rows_of_any_size():
+    text = ["a" * 5, None, "", "b" * 30, "ä" * 6, "c", "d" * 4]
+    batch = pa.RecordBatch.from_pydict({"doc_id": [BIG, None, 3, 4, 5, 6, 7], "text": text})
+    parts = list(common.slices([batch, batch.slice(0, 0)], "text", 12))
+    assert [t for p in parts for t in p.column("text").to_pylist()] == text
+    assert [p.num_rows for p in parts] == [3, 1, 1, 2]
