@@ -62,10 +62,10 @@ def rendered(family: str, record: dict, opener: str) -> tuple[str, str, str, str
 
 
 MADE = T.StructType([T.StructField(c, T.StringType()) for c in ("prompt", "answer", "record", "given", "claims")])
+CHECKED = T.StructType([*MADE.fields, T.StructField("verified", T.BooleanType())])
 
 
-@F.pandas_udf(MADE)
-def _made(family: pd.Series, key: pd.Series, u: pd.Series) -> pd.DataFrame:
+def _drawn(family: pd.Series, key: pd.Series, u: pd.Series) -> pd.DataFrame:
     out: list = [("",) * 5] * len(family)
     for name, rows in family.groupby(family).groups.items():
         places = family.index.get_indexer(rows)
@@ -74,15 +74,30 @@ def _made(family: pd.Series, key: pd.Series, u: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=MADE.names)
 
 
+@F.pandas_udf(MADE)
+def _made(family: pd.Series, key: pd.Series, u: pd.Series) -> pd.DataFrame:
+    return _drawn(family, key, u)
+
+
+@F.pandas_udf(CHECKED)
+def _made_and_checked(family: pd.Series, key: pd.Series, u: pd.Series) -> pd.DataFrame:
+    made = _drawn(family, key, u)
+    return made.assign(verified=pd.array(G.check_records(made["record"].tolist())[0], "boolean"))
+
+
 def hash_of(key: str) -> int:
     """A number of a key that no process salts."""
     return sum((i + 1) * ord(c) for i, c in enumerate(key))
 
 
-def records(keys: DataFrame, key: str, seed: int, families: tuple[str, ...] = FAMILIES, share: float = 0.1) -> DataFrame:
-    """(key, family, split, messages, metadata) of one record a row of keys; metadata.ground_truth is JSON and metadata.solution_sha256 its digest."""
+def records(keys: DataFrame, key: str, seed: int, families: tuple[str, ...] = FAMILIES, share: float = 0.1, check: bool = False) -> DataFrame:
+    """(key, family, split, messages, metadata) of one record a row of keys; metadata.ground_truth is JSON and metadata.solution_sha256 its digest.
+
+    check adds verified, the recomputation from that JSON, in the worker that
+    made it: a second Python step would need a second worker a task.
+    """
     rows = keys.select(F.col(key).cast("string").alias("key")).withColumn("family", family_of(seed, F.col("key"), families))
-    rows = rows.withColumn("made", _made("family", "key", uniforms(seed, F.col("family"), F.col("key"))))
+    rows = rows.withColumn("made", (_made_and_checked if check else _made)("family", "key", uniforms(seed, F.col("family"), F.col("key"))))
     domains = F.create_map(*[F.lit(x) for f in families for x in (f, G.KINDS[f].domain)])
     metadata = F.struct(
         F.concat_ws("_", "family", "key").alias("id"), F.element_at(domains, F.col("family")).alias("domain"), "family", F.col("family").alias("split_group"), F.lit("numeric").alias("task_type"),
@@ -90,7 +105,7 @@ def records(keys: DataFrame, key: str, seed: int, families: tuple[str, ...] = FA
         F.col("made.record").alias("ground_truth"), F.sha2("made.record", 256).alias("solution_sha256"), F.lit("approved").alias("status"),
     )
     split = F.when(F.col("family").isin(held_out(families, seed, share)), "test").otherwise("train")
-    return rows.select("key", "family", split.alias("split"), F.array(_say("system", F.lit(ROLE)), _say("user", F.col("made.prompt")), _say("assistant", F.col("made.answer"))).alias("messages"), metadata.alias("metadata"))
+    return rows.select("key", "family", split.alias("split"), F.array(_say("system", F.lit(ROLE)), _say("user", F.col("made.prompt")), _say("assistant", F.col("made.answer"))).alias("messages"), metadata.alias("metadata"), *([F.col("made.verified")] if check else []))
 
 
 #: Tools of trajectories, by family.

@@ -199,3 +199,13 @@ def test_a_spoilt_claim_is_never_the_claim(spark):
     rows = generation.records(keys, "k", 7).select(F.col("metadata.ground_truth").alias("g"))
     found = rows.select(G.verify(F.col("g")).alias("a"), G.verify(_spoilt(F.col("g"), F.lit(1))).alias("b")).select("a.verified", "b.verified").collect()
     assert [tuple(r) for r in found] == [(True, False)] * 3
+
+
+def test_records_are_made_and_checked_by_one_worker_a_task(spark):
+    keys = spark.range(300).withColumnRenamed("id", "k")
+    found = generation.records(keys, "k", 7, check=True)
+    plan = found.select("key", "verified", "metadata.solution_sha256")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("EvalPython") == 1
+    plain = generation.records(keys, "k", 7)
+    want = plain.select("*", G.verify(F.col("metadata.ground_truth"))["verified"].alias("verified"))
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, want.collect()))
