@@ -3,11 +3,13 @@
 import random
 import warnings
 
+import numpy as np
 import pytest
 from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
-from millrace.operators import citations, phrases, retrieval, segments
+from millrace.operators import citations, phrases, retrieval, segments, sparse
+from millrace.plans import search
 from millrace.streaming import streams
 
 
@@ -211,3 +213,45 @@ def test_bm25_of_few_terms_reads_texts_once(spark, monkeypatch):
     assert want[1] and sorted(map(repr, retrieval.bm25(docs, some).collect())) == want[1]
     monkeypatch.setattr(retrieval, "frequencies", lambda docs: pytest.fail("no term needs the mean idf"))
     assert want[0] and sorted(map(repr, retrieval.bm25(docs, rare).collect())) == want[0]
+
+
+def test_bm25_topk_asks_every_benchmark_item(spark, tmp_path):
+    """Not only items whose id is divisible by 100."""
+    docs, path = corpus(spark, 60, 8), str(tmp_path)
+    asked = spark.createDataFrame([(i, f"t{i % 9}x1 common t{i % 7}x2") for i in range(1, 15)] + [(100, None), (101, "a b")], "item_id long, text string")
+    docs.write.parquet(f"{path}/documents.parquet")
+    asked.write.parquet(f"{path}/benchmark.parquet")
+    got = search.bm25_topk(spark, path)
+    same(got, docs, asked.withColumnRenamed("item_id", "query_id"))
+    assert {r.query_id for r in got.collect()} >= {1, 2, 7, 101}
+
+
+@pytest.mark.parametrize("block, cells, dense", [(1_024, 2_000_000, 32), (3, 40, 2), (5, 1, 1_000)])
+def test_bm25_of_many_queries_in_blocks(spark, monkeypatch, block, cells, dense):
+    """As the general path: many queries and equal documents, ids of either kind, a query without an id."""
+    docs = corpus(spark, 90, 9).unionAll(corpus(spark, 20, 9, first=200)).unionAll(spark.createDataFrame([(None, "a b"), (300, None), (301, "a " * 50)], "doc_id long, text string"))
+    asked = spark.createDataFrame([(i, f"t{i % 9}x{i % 12} t{i % 4}x3 common" + " a" * (i % 3)) for i in range(2**60, 2**60 + 30)] + [(None, "t1x1"), (5, "")], "query_id long, text string")
+    monkeypatch.setattr(retrieval, "PICKED", -1)
+    named = docs.withColumn("doc_id", F.concat(F.lit("é"), F.col("doc_id") % 17, F.lit("d"), "doc_id"))
+    want = [sorted(map(repr, retrieval.bm25(d, asked, 3).collect())) for d in (docs, named)]
+    monkeypatch.setattr(retrieval, "PICKED", 1_000)
+    monkeypatch.setattr(retrieval, "document_lengths", lambda docs: pytest.fail("the general path was taken"))
+    for name, value in (("BLOCK", block), ("CELLS", cells), ("DENSE", dense)):
+        monkeypatch.setattr(sparse, name, value)
+    for d, w in zip((docs, named), want):
+        assert w and sorted(map(repr, retrieval.bm25(d, asked, 3).collect())) == w
+
+
+@pytest.mark.parametrize("block, cells, dense", [(1_024, 2_000_000, 32), (3, 40, 2), (5, 1, 1_000), (4, 100, 10**9)])
+def test_sparse_products(monkeypatch, block, cells, dense):
+    for name, value in (("BLOCK", block), ("CELLS", cells), ("DENSE", dense)):
+        monkeypatch.setattr(sparse, name, value)
+    draw = np.random.default_rng(4)
+    a, b = (np.where(draw.random(shape) < share, draw.random(shape), 0) for shape, share in (((17, 9), 0.4), ((9, 11), 0.3)))
+    (row, term), (t, column) = np.nonzero(a), np.nonzero(b)
+    got = np.full((17, 11), np.nan)
+    for at, first, x in sparse.Columns(t, column, b[t, column], 9, 11).products(np.bincount(row, minlength=17), term, a[row, term]):
+        assert np.isnan(got[at : at + len(x), first : first + x.shape[1]]).all()
+        got[at : at + len(x), first : first + x.shape[1]] = x
+    assert np.allclose(got, a @ b)
+    assert not list(sparse.Columns(t, column, b[t, column], 9, 11).products(np.empty(0, int), term[:0], term[:0]))
