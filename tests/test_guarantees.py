@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import calls, systems
-from millrace.operators import dedup, matching, retrieval
+from millrace.operators import dedup, matching, retrieval, sparse
 
 
 def titles(draw, n):
@@ -183,6 +183,25 @@ def test_nearest_by_ngrams_by_either_way(spark, monkeypatch, few, grams):
     assert want and sorted(map(tuple, retrieval.nearest_by_ngrams(left, right, 0.4).collect())) == want
 
 
+@pytest.mark.parametrize("block, cells", [(1_024, 2_000_000), (7, 30)])
+def test_nearest_by_ngrams_shuffles_no_gram(spark, monkeypatch, block, cells):
+    """Held left rows: no row is exploded into grams after the counts; rows of one key are one, in chunks and blocks as at once."""
+    monkeypatch.setattr(sparse, "BLOCK", block)
+    monkeypatch.setattr(sparse, "CELLS", cells)
+    monkeypatch.setattr(retrieval, "CELLS", cells)
+    draw = random.Random(12)
+    words = ["contról", "kontrol", "state", "stated", "gain", "of", "the", "x", "😀y"]
+    make = lambda n: [(i, " ".join(draw.choice(words) for _ in range(draw.randint(0, 9)))) for i in range(n)]
+    left = spark.createDataFrame(make(25) + [(3, "gain of"), (None, "stated"), (70, None)], "left_id long, text string")
+    right = spark.createDataFrame([(f"{i}", t) for i, t in make(40)] + [("5", "the state"), ("90", "zzzz"), ("91", None)], "right_id string, text string")
+    got = retrieval.nearest_by_ngrams(left, right, 0.2)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(retrieval, "FEW", 0)
+    want = sorted(map(tuple, retrieval.nearest_by_ngrams(left, right, 0.2).collect()))
+    assert len(want) > 30 and sorted(map(tuple, got.collect())) == want
+    assert "Generate" not in plan and plan.count("Exchange") <= 1, plan
+
+
 def test_equal_arguments_of_a_batch_are_computed_once(spark):
     """The value is the size of the stack that was computed: one where all rows are alike, also beside a missing argument."""
     sized = systems.stacked_tool(lambda a, b: {"value": np.full(len(a), float(len(a)))}, value="double")
